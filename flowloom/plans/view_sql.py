@@ -24,7 +24,8 @@ mixed_raw as (
     case when k % 10 = 0 then 17 when k % 25 = 1 then 1 when k % 25 = 2 then 2 else 6 end as protocol,
     cast(case when u % 3 = 0 then 40 else 28 + floor(value) end as int) as ip_total_length,
     20 as ip_header_length,
-    case when event_type = 'error' then (case when k % 2 = 0 then 4 else 17 end)
+    case when u % 9 = 0 then (case when u = 0 and k = 50 then 10 else 2 end)
+         when event_type = 'error' then (case when k % 2 = 0 then 4 else 17 end)
          when u % 3 = 0 and k % 4 <> 3 then 2 when event_type = 'click' then 24
          when event_type = 'view' then 48 else 2 end as tcp_flags,
     1000 + k as tcp_window, 5 + k % 2 as tcp_data_offset,
@@ -54,6 +55,17 @@ mixed_v as (
   select *, cast(greatest(ip_total_length - ip_header_length - transport_header_length, 0) as bigint) as payload_length
   from mixed_fields where status = 'ok')"""
 
+SCAN = EVENTS + """,
+scan_v as (
+  select event_id as flow_no, concat('10.0.0.', cast(user_id % 10 as varchar)) as src_ip,
+    case when k < 90 then 1000 + k else 80 end as dst_port, case when k % 20 = 0 then 17 else 6 end as protocol,
+    cast(floor(us / 10000) as bigint) as end_us, cast(1 + k % 3 as double) as total_fwd_packets,
+    case when event_type = 'signup' then 1.0 else 0.0 end as total_backward_packets,
+    case when event_type = 'purchase' then 5.0 else 0.0 end as total_length_of_fwd_packets, 0.0 as ack_flag_count from ev),
+probes as (select * from scan_v where protocol = 6 and src_ip <> '' and dst_port > 0
+    and dst_port not in (80, 443, 53, 3001, 8000, 5173, 137, 138, 1900, 5353, 5355)
+    and total_backward_packets = 0 and total_fwd_packets <= 2 and total_length_of_fwd_packets = 0 and ack_flag_count = 0)"""
+
 LABELLED = """labelled_base as (
   select case when l_orderkey % 97 = 0 then '70000' else cast(l_partkey % 65536 as varchar) end as destination_port,
     case when l_orderkey % 101 = 0 then '-5' when l_orderkey % 103 = 0 then 'Infinity' when l_orderkey % 107 = 0 then ''
