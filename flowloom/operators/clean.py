@@ -155,6 +155,11 @@ def _label_bit(labels: Sequence[str]) -> Column:
     return F.pow(F.lit(2.0), position.cast("double")).cast("long")
 
 
+def _first_by(order: Sequence[str], keep: Sequence[str]) -> Column:
+    """The *keep* columns of the first row in *order* (a minimum, so partial results merge)."""
+    return F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *keep))
+
+
 def row_groups(df: DataFrame, labels: Sequence[str] = fv.CLASSES, order: Sequence[str] = ("_source_file", "_source_row")) -> DataFrame:
     """Rows grouped by equal features: first row in *order*, copies, and how many labels they carry.
 
@@ -162,7 +167,7 @@ def row_groups(df: DataFrame, labels: Sequence[str] = fv.CLASSES, order: Sequenc
     there are; the leading hash keeps its sort keys short.  NULLs are equal.
     """
     features = feature_columns(df)
-    first = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in (*fv.PROVENANCE, fv.TARGET)]))
+    first = _first_by(order, (*fv.PROVENANCE, fv.TARGET))
     return (
         df.withColumn("_hash", F.xxhash64(*features)).groupBy("_hash", *features)
         .agg(first.alias("first"), F.count("*").alias("copies"),
@@ -189,7 +194,7 @@ def group_counts(groups: DataFrame) -> DataFrame:
 def drop_exact_duplicates(df: DataFrame, order: Sequence[str] = ("_source_file", "_source_row")) -> DataFrame:
     """Keep the first row in *order* among rows with equal features and label."""
     features = feature_columns(df)
-    first = F.min(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in fv.PROVENANCE]))
+    first = _first_by(order, fv.PROVENANCE)
     grouped = df.withColumn("_hash", F.xxhash64(*features, fv.TARGET)).groupBy(
         "_hash", *features, fv.TARGET).agg(first.alias("first"))
     return grouped.select(*features, *[F.col(f"first.{c}").alias(c) for c in fv.PROVENANCE], fv.TARGET)

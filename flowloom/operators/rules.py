@@ -220,7 +220,7 @@ def _decide(df: DataFrame, threshold: float, scan_ports: Column) -> DataFrame:
     note = F.format_string(
         "Downgraded from %s (confidence %.1f%% < threshold %.0f%%)", "label", F.col("confidence") * 100, F.lit(threshold * 100))
     class_of = lambda c: (F.array_position(F.array(*[F.lit(x) for x in fv.CLASSES]), c) - 1).cast("int")
-    low_probs = F.transform_values("class_probabilities", lambda k, _: F.when(k == "BENIGN", left).otherwise(F.lit(0.0)))
+    low_probs = probabilities(F.lit("BENIGN"), peak=left)
     df = df.withColumns({"_confident": confident, "_rule": rule})
     decided = {
         "status": pick(F.lit("ATTACK"), F.lit("BENIGN"), "status"),
@@ -243,7 +243,7 @@ def apply_threshold(predicted: DataFrame, threshold: float = fv.ATTACK_THRESHOLD
     left = F.lit(1.0) - F.col("confidence")
     note = F.format_string(
         "Downgraded from %s (confidence %.1f%% < threshold %.0f%%)", "label", F.col("confidence") * 100, F.lit(threshold * 100))
-    low_probs = F.transform_values("class_probabilities", lambda k, _: F.when(k == "BENIGN", left).otherwise(F.lit(0.0)))
+    low_probs = probabilities(F.lit("BENIGN"), peak=left)
     pick = lambda low, name: F.when(lowered, low).otherwise(F.col(name))
     return predicted.withColumns({
         "status": pick(F.lit("BENIGN"), "status"), "class_id": pick(F.lit(0), "class_id"),

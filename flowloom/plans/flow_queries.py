@@ -94,9 +94,9 @@ def segment_flows_live(spark, sf_dir):
 @query(f"with {vs.PACKETS}, {vs.flows('packets_v', 'live')} select {_id_sql}, start_us, end_us, packet_count, "
        f"close_reason, {_feature_sql(fv.FEATURE_COLUMNS)} from flows")
 def hot_key_flows(spark, sf_dir):
-    """Live flows with every large key cut into chunks (the limit is a fifteenth of the mean key at any scale)."""
+    """Live flows with every large key cut into chunks (the limit is near the mean key size at any scale)."""
     packets = views.packets_v(spark, sf_dir)
-    limit = max(2, packets.count() // 150)
+    limit = max(2, packets.count() // 100)
     flows = fl.assemble_flows(packets, "live", max_key_rows=limit)
     return rounded(flows.select(*FID, "start_us", "end_us", "packet_count", "close_reason", *fv.FEATURE_COLUMNS))
 

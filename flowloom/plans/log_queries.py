@@ -25,15 +25,15 @@ def _log(spark, sf_dir):
     return views.attack_log_v(spark, sf_dir)
 
 
-@query(f"""with {_MIXED_LIVE}, {_FILTER}, z as (select *, 'BENIGN' as label, false as is_attack, 1.0 as confidence,
+@query(f"""with {_MIXED_LIVE}, {_FILTER}, z as (select *, 'BENIGN' as label, false as is_attack, 1.0::double as confidence,
     coalesce(bypass_reason, '') as error_in from filtered), ruled as (select *, {_RULE} as rule from z), {_DECIDED},
   o as (select {_OUT}, src_ip, dst_ip, src_port, dst_port, protocol, end_us from decided)
   select label as attack_type, src_ip, dst_ip, src_port, dst_port, protocol, confidence, cast(is_attack as int) as is_attack,
-    concat(src_ip, ':', src_port, '-', dst_ip, ':', dst_port, '-', protocol) as flow_id, round(end_us / 1e6, 4) as timestamp_utc from o""")
+    concat(src_ip, ':', src_port, '-', dst_ip, ':', dst_port, '-', protocol) as flow_id, end_us / 1e6 as timestamp_utc from o""")
 def to_attack_log(spark, sf_dir):
     f = ru.traffic_filter(mixed_flows(spark, sf_dir, "live"))
     out = ru.apply_rules(f.withColumns(ru.benign_result(F.col("bypass_reason"))))
-    return rounded(lg.to_attack_log(fl.with_flow_context(out).withColumn("timestamp_utc", F.col("end_us") / 1e6)))
+    return lg.to_attack_log(fl.with_flow_context(out).withColumn("timestamp_utc", F.col("end_us") / 1e6))
 
 
 @query(f"with {_L} select {_COLS} from attack_log_v where is_attack = 1 order by timestamp_utc desc, id desc limit 50 offset 100")
@@ -242,10 +242,10 @@ def dedup_alerts(spark, sf_dir):
     return se.dedup_alerts(_dense_log(spark, sf_dir)).select("id", "timestamp_utc", "flow_id", "attack_type")
 
 
-_THROTTLE = f"""with recursive {_DENSE}, at as (select timestamp_utc as t, min(id) as id from dense where is_attack = 1 group by 1),
-  sent as (select min(t) as t from at union all
-    select (select min(t) from at where at.t >= sent.t + 300) as t from sent where sent.t is not null)
-  select at.id, at.t as timestamp_utc from at join sent on at.t = sent.t"""
+_THROTTLE = f"""with recursive {_DENSE}, tt as (select timestamp_utc as t, min(id) as id from dense where is_attack = 1 group by 1),
+  sent as (select min(t) as t from tt union all
+    select (select min(t) from tt where tt.t >= sent.t + 300) as t from sent where sent.t is not null)
+  select tt.id, tt.t as timestamp_utc from tt join sent on tt.t = sent.t"""
 
 
 @query(_THROTTLE)
@@ -253,23 +253,23 @@ def throttle_alerts(spark, sf_dir):
     return se.throttle_alerts(_dense_log(spark, sf_dir), fv.MAIL_COOLDOWN_S).select("id", "timestamp_utc")
 
 
-@query(f"""with recursive {_DENSE}, at as (select attack_type as k, timestamp_utc as t, min(id) as id from dense where is_attack = 1 group by 1, 2),
-  sent as (select k, min(t) as t from at group by k union all
-    select k, (select min(t) from at where at.k = sent.k and at.t >= sent.t + 30) as t from sent where sent.t is not null)
-  select at.id, at.t as timestamp_utc, at.k as attack_type from at join sent on at.t = sent.t and at.k = sent.k""")
+@query(f"""with recursive {_DENSE}, tt as (select attack_type as k, timestamp_utc as t, min(id) as id from dense where is_attack = 1 group by 1, 2),
+  sent as (select k, min(t) as t from tt group by k union all
+    select k, (select min(t) from tt where tt.k = sent.k and tt.t >= sent.t + 30) as t from sent where sent.t is not null)
+  select tt.id, tt.t as timestamp_utc, tt.k as attack_type from tt join sent on tt.t = sent.t and tt.k = sent.k""")
 def throttle_alerts_by_type(spark, sf_dir):
     log = _dense_log(spark, sf_dir)
     limit = max(2, log.count() // 50)  # a small limit, so that chunks are used at any scale
     return se.throttle_alerts(log, fv.CHAT_COOLDOWN_S, "attack_type", max_rows=limit).select("id", "timestamp_utc", "attack_type")
 
 
-@query(f"""with {_L}, m as (select *, strftime(to_timestamp(timestamp_utc) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as at,
+@query(f"""with {_L}, m as (select *, strftime(to_timestamp(timestamp_utc) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as sent_at,
     printf('%.2f%%', confidence * 100) as share from attack_log_v where is_attack = 1)
   select id, concat('<b>⚠️ Attack Detected</b>', chr(10), '<b>Type:</b> ', attack_type, chr(10), '<b>Confidence:</b> ', share, chr(10), '<b>Source:</b> ', src_ip,
-    ':', src_port, chr(10), '<b>Destination:</b> ', dst_ip, ':', dst_port, chr(10), '<b>Time (UTC):</b> ', at) as chat_text,
+    ':', src_port, chr(10), '<b>Destination:</b> ', dst_ip, ':', dst_port, chr(10), '<b>Time (UTC):</b> ', sent_at) as chat_text,
     concat('[Alert] ', attack_type, ' Attack Detected') as mail_subject,
     concat('Attack Type: ', attack_type, '; Confidence: ', share, '; Source IP: ', src_ip, ':', src_port, '; Destination IP: ', dst_ip, ':', dst_port,
-      '; Time (UTC): ', at, ' UTC') as mail_details,
+      '; Time (UTC): ', sent_at, ' UTC') as mail_details,
     concat('Warning! ', attack_type, ' detected from IP ', src_ip) as spoken_text from m""")
 def alert_messages(spark, sf_dir):
     return se.alert_messages(_log(spark, sf_dir))

@@ -104,15 +104,15 @@ def benign_result(spark, sf_dir):
 
 @query(f"""with {_MIXED_LIVE}, {_SCORED} select {_fid}, is_attack and confidence >= 0.8 as kept,
   case when is_attack and confidence < 0.8 then 'BENIGN' else label end as label, is_attack and confidence >= 0.8 as is_attack,
-  round(case when is_attack and confidence < 0.8 then 1 - confidence else confidence end, 4) + 0.0 as confidence,
-  round(case when is_attack and confidence < 0.8 then 1 - confidence when label = 'BENIGN' then confidence else (1 - confidence) / 8 end, 4) + 0.0 as p_benign,
+  round(case when is_attack and confidence < 0.8 then 1 - confidence else confidence end, 6) + 0.0 as confidence,
+  round(case when is_attack and confidence < 0.8 then 1 - confidence when label = 'BENIGN' then confidence else (1 - confidence) / 8 end, 6) + 0.0 as p_benign,
   case when is_attack and confidence < 0.8 then printf('Downgraded from %s (confidence %.1f%% < threshold 80%%)', label, confidence * 100)
     else '' end as error from scored""")
 def apply_threshold(spark, sf_dir):
     scored = scored_flows(spark, sf_dir).withColumn("kept", F.col("is_attack") & (F.col("confidence") >= fv.ATTACK_THRESHOLD))
     out = ru.apply_threshold(scored)
     return rounded(out.select(*FID, "kept", "label", "is_attack", "confidence",
-                              F.element_at("class_probabilities", F.lit("BENIGN")).alias("p_benign"), "error"))
+                              F.element_at("class_probabilities", F.lit("BENIGN")).alias("p_benign"), "error"), 6)
 
 
 @query(f"with {vs.SCAN} select flow_no, src_ip, dst_port, end_us from probes")
@@ -133,7 +133,7 @@ def port_scan_alerts(spark, sf_dir):
     return ru.port_scan_alerts(ru.port_scan_probes(views.scan_flows_v(spark, sf_dir))).select("src_ip", "dst_port", "end_us", "flow_no", "ports")
 
 
-@query(f"with {_MIXED_LIVE}, z as (select *, false as is_attack, 1.0 as confidence from flows) "
+@query(f"with {_MIXED_LIVE}, z as (select *, false as is_attack, 1.0::double as confidence from flows) "
        f"select {_fid}, {_RULE} as rule from z where {_RULE} is not null")
 def flood_and_brute_force_rules(spark, sf_dir):
     rule = F.coalesce(ru.flood_label(), F.when(ru.is_brute_force(), F.lit("BruteForce")))
@@ -158,7 +158,7 @@ def rule_override(spark, sf_dir):
                               total.alias("p_total"), "class_id"))
 
 
-@query(f"""with {_MIXED_LIVE}, {_FILTER}, z as (select *, 'BENIGN' as label, false as is_attack, 1.0 as confidence,
+@query(f"""with {_MIXED_LIVE}, {_FILTER}, z as (select *, 'BENIGN' as label, false as is_attack, 1.0::double as confidence,
     coalesce(bypass_reason, '') as error_in from filtered), ruled as (select *, {_RULE} as rule from z), {_DECIDED}
   select {_fid}, bypass_reason, decision, {_OUT} from decided""")
 def filter_then_rules(spark, sf_dir):
@@ -183,7 +183,7 @@ def run_detection(spark, sf_dir):
 
 
 @query(f"""with {vs.PACKETS}, {vs.flows('packets_v', 'live')}, {_FILTER}, z as (select *, 'BENIGN' as label, false as is_attack,
-    1.0 as confidence, coalesce(bypass_reason, '') as error_in from filtered), ruled as (select *, {_RULE} as rule from z), {_DECIDED},
+    1.0::double as confidence, coalesce(bypass_reason, '') as error_in from filtered), ruled as (select *, {_RULE} as rule from z), {_DECIDED},
   o as (select {_OUT}, close_reason, packet_count from decided)
   select label, close_reason, count(*) as flows, cast(sum(packet_count) as bigint) as packets from o group by label, close_reason""")
 def flagship(spark, sf_dir):
