@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
-from flowloom.functions.scalar import _NUMERIC, capture_day, clean_label
+from flowloom.functions.scalar import capture_day, clean_label
 
-_INFINITE = r"(?i)^[+-]?inf(inity)?$"
 # fixed values: cell texts that mean "no value"
 _MISSING = ("", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 
@@ -36,17 +35,20 @@ def raw_manifest(df: DataFrame, label: str = fv.TARGET, file_col: str = "_source
         F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("labels"))
 
 
-def map_label(label, mapping: Mapping[str, str] = fv.LABEL_CLASSES) -> Column:
-    """Raw label -> class; blank -> NULL; an unknown label stops the job when it is read."""
-    text = clean_label(label)
+def class_of(raw, mapping: Mapping[str, str] = fv.LABEL_CLASSES) -> Column:
+    """Raw label -> class; blank -> NULL; an unknown label stops the job when it is read.
+
+    Labels that are already in the table skip the text repair.
+    """
+    trimmed = F.trim(F.col(raw) if isinstance(raw, str) else raw)
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    found = F.try_element_at(table, text)
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(
-        F.coalesce(found, F.raise_error(F.concat(F.lit("unknown label: "), text)).cast("string")))
+    unknown = F.raise_error(F.concat(F.lit("unknown label: "), trimmed)).cast("string")
+    return F.when(trimmed != "", F.coalesce(
+        F.try_element_at(table, trimmed), F.try_element_at(table, clean_label(raw)), unknown))
 
 
 def normalize_labels(df: DataFrame, raw: str = fv.TARGET, mapping: Mapping[str, str] = fv.LABEL_CLASSES) -> DataFrame:
-    out = df.withColumn(fv.TARGET, map_label(raw, mapping))
+    out = df.withColumn(fv.TARGET, class_of(raw, mapping))
     return out if raw == fv.TARGET else out.drop(raw)
 
 
@@ -54,38 +56,46 @@ def drop_missing_labels(df: DataFrame) -> DataFrame:
     return df.filter(F.col(fv.TARGET).isNotNull())
 
 
-def _text(c: str) -> Column:
-    t = F.trim(F.col(c).cast("string"))
-    return F.when(~t.isin(*_MISSING), t)
+def _parse_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Add ``_t_<c>`` (trimmed text, NULL when it means no value) and ``_p_<c>`` (its number) per column.
 
+    Separate projections, so that every text is trimmed and parsed once
+    however many conditions look at it.
+    """
+    def text(c):
+        t = F.trim(F.col(c).cast("string"))
+        return F.when(~t.isin(*_MISSING), t)
 
-def _parsed(c: str) -> Column:
-    t = _text(c)
-    return F.when(t.rlike(_NUMERIC) | t.rlike(_INFINITE), t.try_cast("double"))
+    def number(t, v):
+        # the cast also takes a type suffix, hexadecimal notation and NaN, which are not numbers here
+        suffix = F.lower(F.right(t, F.lit(1))).isin("d", "f") & (F.abs(v) != float("inf"))
+        return F.when(~(suffix | F.contains(F.lower(t), F.lit("x")) | F.isnan(v)), v)
+
+    df = df.withColumns({f"_t_{c}": text(c) for c in cols})
+    df = df.withColumns({f"_d_{c}": F.col(f"_t_{c}").try_cast("double") for c in cols})
+    df = df.withColumns({f"_p_{c}": number(F.col(f"_t_{c}"), F.col(f"_d_{c}")) for c in cols})
+    return df.drop(*[f"_d_{c}" for c in cols])
 
 
 def _repairs(c: str) -> dict[str, Column]:
-    """Conditions under which the value of column *c* is given up, first one wins."""
+    """Conditions under which the parsed value of column *c* is given up, first one wins."""
     name = fv.DISPLAY_NAMES.get(c, c)
-    value = _parsed(c)
-    infinite = F.abs(value) == float("inf")
-    checks = {
-        "parse": _text(c).isNotNull() & value.isNull(),
-        "infinite": F.coalesce(infinite, F.lit(False)),
-    }
-    ok = value.isNotNull() & ~infinite
+    value, text = F.col(f"_p_{c}"), F.col(f"_t_{c}")
+    infinite = F.coalesce(F.abs(value) == float("inf"), F.lit(False))
+    checks = {"parse": text.isNotNull() & value.isNull(), "infinite": infinite}
     negative = F.lit(False)
     if fv.nonnegative_columns([name]):
-        negative = ok & (value < 0)
+        negative = ~infinite & F.coalesce(value < 0, F.lit(False))
         checks["negative"] = negative
     if name == "Destination Port":
-        checks["port"] = ok & ~negative & ~value.between(0, 65535)
+        checks["port"] = ~infinite & ~negative & F.coalesce(~value.between(0, 65535), F.lit(False))
     return checks
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Text to double; unreadable text becomes NULL, infinities stay."""
-    return df.withColumns({c: _parsed(c) for c in cols})
+    parsed = _parse_columns(df, cols).withColumns({c: F.col(f"_p_{c}") for c in cols})
+    return parsed.select(*df.columns)
 
 
 def null_infinite(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -107,11 +117,11 @@ def repair(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     cols = list(cols or feature_columns(df))
     out = {}
     for c in cols:
-        bad = F.lit(False)
-        for cond in _repairs(c).values():
-            bad = bad | cond
-        out[c] = F.when(~bad, _parsed(c))
-    return df.withColumns(out)
+        keep = F.lit(True)
+        for kind, cond in _repairs(c).items():
+            keep = keep if kind == "parse" else keep & ~cond  # unreadable text is NULL already
+        out[c] = F.when(keep, F.col(f"_p_{c}"))
+    return _parse_columns(df, cols).withColumns(out).select(*df.columns)
 
 
 def repair_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -123,7 +133,7 @@ def repair_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
         for kind, cond in _repairs(c).items():
             totals[kind].append(F.count_if(labelled & cond))
     add = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0).cast("long")
-    return df.agg(
+    return _parse_columns(df, cols).agg(
         F.count("*").alias("raw_rows"),
         add(totals["parse"]).alias("numeric_parse_failures"),
         add(totals["infinite"]).alias("infinite_values_replaced"),

@@ -12,6 +12,7 @@ from flowloom.operators import models as md
 from flowloom.operators import mutual_info as mi
 from flowloom.operators import prep as pr
 from flowloom.operators import rules as ru
+from flowloom.operators.session import cut
 from flowloom.plans import view_sql as vs
 from flowloom.plans import views
 from flowloom.plans.registry import query, rounded
@@ -38,16 +39,21 @@ def _fixed(spark, sf_dir):
     return cl.drop_equal_columns(fixed, _PAIRS)[0]
 
 
-def cleaned(spark, sf_dir):
+def _clean(spark, sf_dir):
     return cl.clean_rows(cl.row_groups(_fixed(spark, sf_dir)))
 
 
+def cleaned(spark, sf_dir):
+    """Cleaned rows, written once per query for the several passes over them."""
+    return cut(_clean(spark, sf_dir))
+
+
 def _with_ids(df):
     return df.withColumns({f"_k_{c}": F.col(c).cast("long") for c in FEATURES})
 
 
 def split(spark, sf_dir):
-    return pr.stratified_split(_with_ids(cleaned(spark, sf_dir)), IDS)
+    return cut(pr.stratified_split(_with_ids(cleaned(spark, sf_dir)), IDS))
 
 
 def train_part(spark, sf_dir):
@@ -124,7 +130,7 @@ def capture_day(spark, sf_dir):
 @query(f'with {_LABELLED} select label_raw, label_text, "Label" as label, count(*) as rows from lab group by all')
 def normalize_labels(spark, sf_dir):
     v = views.labelled_v(spark, sf_dir)
-    named = v.select("label_raw", clean_label("label_raw").alias("label_text"), cl.map_label("label_raw").alias("label"))
+    named = v.select("label_raw", clean_label("label_raw").alias("label_text"), cl.class_of("label_raw").alias("label"))
     return named.groupBy("label_raw", "label_text", "label").agg(F.count("*").alias("rows"))
 
 
@@ -205,18 +211,18 @@ def drop_conflicts(spark, sf_dir):
 
 @query(f"with {_CLEAN} select {_ROW} from cleaned")
 def cleaned_rows(spark, sf_dir):
-    return cleaned(spark, sf_dir).select(*fv.PROVENANCE, *FEATURES, F.col(fv.TARGET).alias("label"))
+    return _clean(spark, sf_dir).select(*fv.PROVENANCE, *FEATURES, F.col(fv.TARGET).alias("label"))
 
 
 @query(f"""with {_CLEAN}, z as ({" union all ".join(f"select '{fv.DISPLAY_NAMES[c]}' as feature, count({c}) > 0 and count(*) filter ({c} <> 0) = 0 as zero from cleaned" for c in FEATURES)})
   select feature from z where zero""")
 def all_zero_columns(spark, sf_dir):
-    return cl.all_zero_columns(cleaned(spark, sf_dir))
+    return cl.all_zero_columns(_clean(spark, sf_dir))
 
 
 @query(f'with {_CLEAN} select "Label" as label, count(*) as rows from cleaned group by 1')
 def label_counts(spark, sf_dir):
-    return cl.label_counts(cleaned(spark, sf_dir)).withColumnRenamed(fv.TARGET, "label")
+    return cl.label_counts(_clean(spark, sf_dir)).withColumnRenamed(fv.TARGET, "label")
 
 
 @query(f"""with {_CLEAN}, {_COUNTS}, d as (select (select count(*) from repaired) - (select count(*) from dedup) as exact_duplicates_removed,
@@ -235,7 +241,7 @@ def cleaning_audit(spark, sf_dir):
 
 @query(f"""with {_CLEAN} select "Label" as label, string_agg(distinct _capture_day, ',' order by _capture_day) as days from cleaned group by 1""")
 def class_day_coverage(spark, sf_dir):
-    c = pr.class_day_coverage(cleaned(spark, sf_dir))
+    c = pr.class_day_coverage(_clean(spark, sf_dir))
     return c.select(F.col(fv.TARGET).alias("label"), F.array_join("days", ",").alias("days"))
 
 
@@ -557,9 +563,9 @@ def predictions_json(spark, sf_dir):
 def model_rows(spark, sf_dir):
     """(train, test) vectors with class codes of the fitted chain."""
     s = split(spark, sf_dir)
-    p = fitted(spark, sf_dir)
+    p = pr.fit_preprocessor(s.filter("part = 'train'"), FEATURES)
     out = pr.transform(pr.apply_label_index(s, p.classes), p, keep=["y", "part", *FEATURES])
-    rows = out.filter("success").select("y", "part", "vector", *FEATURES)
+    rows = cut(out.filter("success").select("y", "part", "vector", *FEATURES))
     return rows.filter("part = 'train'"), rows.filter("part = 'test'"), p
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.operators.session import prepare
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _events(spark, sf_dir) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return table(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
@@ -110,10 +111,14 @@ def labelled_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         label.alias("label_raw"),
         F.when(F.col("l_linestatus") == "O", "Monday-a.csv").otherwise("Friday-b.csv").alias("source_file"),
         (key * 1000 + F.col("l_linenumber")).alias("source_row"), key.alias("_key"))
-    copies = base.filter("_key % 50 = 0").withColumn("source_row", F.col("source_row") + 1_000_000_000)
-    other = base.filter("_key % 77 = 0").withColumns({
-        "source_row": F.col("source_row") + 2_000_000_000, "label_raw": F.lit("Bot")})
-    return base.unionByName(copies).unionByName(other).drop("_key")
+    # each row itself, an exact copy of some rows, and some rows again with another label
+    variant = lambda shift, text: F.struct((F.col("source_row") + shift).alias("row"), text.alias("label"))
+    variants = F.array_compact(F.array(
+        variant(0, F.col("label_raw")),
+        F.when(F.col("_key") % 50 == 0, variant(1_000_000_000, F.col("label_raw"))),
+        F.when(F.col("_key") % 77 == 0, variant(2_000_000_000, F.lit("Bot")))))
+    return base.withColumn("_v", F.explode(variants)).withColumns(
+        {"source_row": F.col("_v.row"), "label_raw": F.col("_v.label")}).drop("_v", "_key")
 
 
 def attack_log_v(spark: SparkSession, sf_dir: str) -> DataFrame:
