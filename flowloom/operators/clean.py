@@ -240,18 +240,20 @@ def label_counts(df: DataFrame) -> DataFrame:
 def clean(df: DataFrame, pairs: Mapping[str, str] | None = None, cut_groups: bool = True) -> tuple[DataFrame, DataFrame]:
     """The whole cleaning job: labelled text rows -> (clean rows, one-row audit).
 
-    *df* has text features, provenance columns and a raw ``Label``.  The
-    grouped rows feed both results; they are materialised once in the shared
-    folder unless ``cut_groups=False``.
+    *df* has text features, provenance columns and a raw ``Label``.  Repaired
+    rows feed the column comparison and the grouping, grouped rows feed both
+    results; each is materialised once in the shared folder unless
+    ``cut_groups=False``.
     """
     from flowloom.operators.session import cut
 
     pairs = {fv.snake(a): fv.snake(b) for a, b in fv.COPY_COLUMNS.items()} if pairs is None else pairs
     labelled = normalize_labels(df)
     counts = repair_counts(labelled)
-    fixed, dropped = drop_equal_columns(repair(drop_missing_labels(labelled)), pairs)
+    keep = cut if cut_groups else (lambda d: d)
+    fixed, dropped = drop_equal_columns(keep(repair(drop_missing_labels(labelled))), pairs)
     groups = row_groups(fixed)
-    groups = cut(groups) if cut_groups else groups
+    groups = keep(groups)
     rows = clean_rows(groups)
     zero = all_zero_columns(rows).agg(F.array_sort(F.collect_list("feature")).alias("all_zero_columns_observed"))
     by_label = label_counts(rows).agg(

@@ -35,7 +35,7 @@ def _labelled(spark, sf_dir):
 
 def _fixed(spark, sf_dir):
     """Repaired rows with a label, equal columns dropped."""
-    fixed = cl.repair(cl.drop_missing_labels(_labelled(spark, sf_dir)))
+    fixed = cut(cl.repair(cl.drop_missing_labels(_labelled(spark, sf_dir))))
     return cl.drop_equal_columns(fixed, _PAIRS)[0]
 
 
