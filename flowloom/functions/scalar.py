@@ -138,7 +138,7 @@ def is_special_ip(ip) -> Column:
     low = F.lower(c)
     v6 = low.rlike(_V6_FULL) | (
         low.rlike(_V6_SHORT) & ~low.rlike(r"::.*::") & (F.length(low) - F.length(F.replace(low, F.lit(":"), F.lit(""))) <= 7))
-    v6_special = low.rlike(r"^ff[0-9a-f]{2}:") | low.rlike(r"^fe[89ab][0-9a-f]:") | low.rlike(r"^(0{1,4}:){0,7}:?(:0{1,4}){0,7}$|^::$")
+    v6_special = low.rlike(r"^ff[0-9a-f]{2}:") | low.rlike(r"^fe[89ab][0-9a-f]:") | low.rlike(r"^[0:]+$")
     return ~(v4 | v6) | (v4 & v4_special) | (v6 & v6_special)
 
 

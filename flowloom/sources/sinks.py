@@ -112,21 +112,4 @@ def attack_export(log: DataFrame) -> DataFrame:
 
 def export_attacks_csv(log: DataFrame, path: str) -> None:
     """CSV with a header; a value is quoted only when it holds a comma."""
-    export = attack_export(log)
-    quoted = [F.when(F.col(c).contains(","), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.col(c)) for c in export.columns]
-    lines = export.select(F.concat_ws(",", *quoted).alias("value"))
-    # the csv writer would quote by its own rules, so the lines are written as text with the header first in each file
-    header = ",".join(export.columns)
-    lines.write.mode("overwrite").option("lineSep", "\n").text(path) if not header else _write_with_header(lines, header, path)
-
-
-def _write_with_header(lines: DataFrame, header: str, path: str) -> None:
-    def with_header(batches):
-        import pyarrow as pa
-        first = True
-        for b in batches:
-            if first and b.num_rows:
-                yield pa.RecordBatch.from_pydict({"value": [header]})
-                first = False
-            yield b
-    lines.mapInArrow(with_header, "value string").write.mode("overwrite").text(path)
+    attack_export(log).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)

@@ -129,7 +129,7 @@ def test_mutual_information_equals_brute_force(spark):
     n = 500
     d = rng.choice(list("abcd"), n, p=[.6, .25, .1, .05])
     d[0] = "alone"
-    pdf = pd.DataFrame({"l": d, "f1": rng.normal(size=n) + (d == "a"), "f2": rng.integers(0, 8, n) + (d == "b") * 3.0, "f3": np.round(rng.exponential(size=n), 2),
+    pdf = pd.DataFrame({"l": d, "f1": rng.normal(size=n) + (d == "a"), "f2": rng.integers(0, 8, n) + (d == "b") * 3.0, "f3": np.round(rng.exponential(size=n) * 64) / 64,
                         "f4": np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n) + (d == "c") * 4)})
     got = {r.feature: r.score for r in mi.mutual_information(spark.createDataFrame(pdf), ["f1", "f2", "f3", "f4"], "l").collect()}
     for c in got:
