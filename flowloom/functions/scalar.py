@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
 
-_NUMERIC = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-
-
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -24,11 +21,20 @@ def safe_ratio(num, den) -> Column:
     return F.coalesce(F.try_divide(_c(num).cast("double"), _c(den).cast("double")), F.lit(0.0))
 
 
-def finite_number(x) -> Column:
+def plain_number(text: Column, value: Column) -> Column:
+    """*value* (the cast of *text*) unless the text uses a type suffix, hexadecimal notation or NaN."""
+    suffix = F.lower(F.right(text, F.lit(1))).isin("d", "f") & (F.abs(value) != F.lit(float("inf")))
+    return F.when(~(suffix | F.contains(F.lower(text), F.lit("x")) | F.isnan(value)), value)
+
+
+def finite_number(x, is_text: bool = True) -> Column:
     """Any value to a finite double, else NULL (text is trimmed; only plain decimal notation counts)."""
-    text = F.trim(_c(x).cast("string"))
-    value = F.when(text.rlike(_NUMERIC), text.try_cast("double"))
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    if is_text:
+        text = F.trim(_c(x).cast("string"))
+        value = plain_number(text, text.try_cast("double"))
+    else:
+        value = _c(x).cast("double")
+    return F.when((F.abs(value) != F.lit(float("inf"))) & ~F.isnan(value), value)
 
 
 def null_if_not_finite(x) -> Column:

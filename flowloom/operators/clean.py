@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
-from flowloom.functions.scalar import capture_day, clean_label
+from flowloom.functions.scalar import capture_day, clean_label, plain_number
 
 # fixed values: cell texts that mean "no value"
 _MISSING = ("", "#N/A", "#NA", "-NaN", "-nan", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -66,14 +66,9 @@ def _parse_columns(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         t = F.trim(F.col(c).cast("string"))
         return F.when(~t.isin(*_MISSING), t)
 
-    def number(t, v):
-        # the cast also takes a type suffix, hexadecimal notation and NaN, which are not numbers here
-        suffix = F.lower(F.right(t, F.lit(1))).isin("d", "f") & (F.abs(v) != float("inf"))
-        return F.when(~(suffix | F.contains(F.lower(t), F.lit("x")) | F.isnan(v)), v)
-
     df = df.withColumns({f"_t_{c}": text(c) for c in cols})
     df = df.withColumns({f"_d_{c}": F.col(f"_t_{c}").try_cast("double") for c in cols})
-    df = df.withColumns({f"_p_{c}": number(F.col(f"_t_{c}"), F.col(f"_d_{c}")) for c in cols})
+    df = df.withColumns({f"_p_{c}": plain_number(F.col(f"_t_{c}"), F.col(f"_d_{c}")) for c in cols})
     return df.drop(*[f"_d_{c}" for c in cols])
 
 

@@ -154,7 +154,7 @@ def distinct_more_than(df: DataFrame, cols: Sequence[str], n: int = fv.CONTINUOU
     cols = list(cols)
     if not cols:
         return {}
-    rough = df.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in cols]).first()
+    rough = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
     near = [c for c in cols if rough[c] <= 10 * n]
     exact = df.agg(*[F.size(F.collect_set(c)).alias(c) for c in near]).first() if near else {}
     return {c: (exact[c] if c in near else rough[c]) > n for c in cols}
@@ -336,54 +336,64 @@ def _scaled(c: str, p: Params, value: Column) -> Column:
     return (x - F.lit(mid)) / F.lit(width)
 
 
-def validate_features(df: DataFrame, p: Params) -> DataFrame:
-    """Add ``missing_fields``, ``rejected_fields`` and a struct ``_v`` of usable values.
+def _checked(df: DataFrame, p: Params) -> DataFrame:
+    """Per input: ``_p_`` its number, ``_m_`` whether it is missing, ``_x_`` whether it is rejected.
 
-    Missing: absent or negative where that is impossible.  Rejected: present
-    but unreadable, not finite, or a port out of range.
+    Missing: absent, or negative where that is impossible.  Rejected: present
+    but unreadable, not finite, or a port out of range.  Two projections, so
+    each value is parsed once.
     """
-    present = set(df.columns)
-    missing, rejected, values = [], [], []
+    types = dict(df.dtypes)
+    name = lambda c: fv.DISPLAY_NAMES.get(c, c)
+    parsed = df.withColumns({
+        f"_p_{c}": finite_number(c, types[c] == "string") if c in types else F.lit(None).cast("double") for c in p.inputs})
+    flags = {}
     for c in p.inputs:
-        name = fv.DISPLAY_NAMES.get(c, c)
-        raw = F.col(c) if c in present else F.lit(None).cast("double")
-        value = finite_number(raw) if c in present else raw
-        bad = raw.isNotNull() & value.isNull()
-        if name in fv.PORT_COLUMNS:
-            bad = bad | (value.isNotNull() & ~value.between(0, 65535))
+        raw, value = (F.col(c) if c in types else F.lit(None)), F.col(f"_p_{c}")
         gone = raw.isNull()
-        if name in fv.SCORING_NONNEGATIVE:
+        if name(c) in fv.SCORING_NONNEGATIVE:
             gone = gone | F.coalesce(value < 0, F.lit(False))
-        missing.append(F.when(gone, F.lit(c)))
-        rejected.append(F.when(bad, F.lit(c)))
-        values.append(F.when(~gone & ~bad, value).alias(c))
-    pack = lambda xs: F.array_compact(F.array(*xs))
-    return df.withColumns({"missing_fields": pack(missing), "rejected_fields": pack(rejected), "_v": F.struct(*values)})
+        bad = raw.isNotNull() & value.isNull()
+        if name(c) in fv.PORT_COLUMNS:
+            bad = bad | F.coalesce(~value.between(0, 65535), F.lit(False))
+        flags |= {f"_m_{c}": gone, f"_x_{c}": bad}
+    return parsed.withColumns(flags)
+
+
+def _listed(prefix: str, cols: Sequence[str]) -> Column:
+    """Names of the columns whose flag is set."""
+    names = [F.when(F.col(f"{prefix}{c}"), F.lit(c)) for c in cols]
+    return F.array_compact(F.array(*names)) if names else F.array().cast("array<string>")
+
+
+def validate_features(df: DataFrame, p: Params) -> DataFrame:
+    """Add ``missing_fields`` and ``rejected_fields``."""
+    checked = _checked(df, p)
+    return checked.select(*df.columns, _listed("_m_", p.inputs).alias("missing_fields"), _listed("_x_", p.inputs).alias("rejected_fields"))
 
 
 def transform(df: DataFrame, p: Params, keep: Sequence[str] | None = None) -> DataFrame:
-    """Raw flow features -> scaled float vector with field diagnostics, as one projection.
+    """Raw flow features -> scaled float vector with field diagnostics, map-only.
 
     Adds ``vector`` (NULL when not finite), ``feature_quality``,
     ``missing_fields``, ``imputed_fields``, ``rejected_fields``, ``success``
     and ``error``.
     """
     keep = list(df.columns if keep is None else keep)
-    checked = validate_features(df, p)
-    vec = F.array(*[_scaled(c, p, F.col("_v")[c]).cast("float") for c in p.selected])
-    strings = lambda names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
-    surviving = strings(p.surviving)
-    bad = F.size(F.array_intersect(surviving, F.concat("missing_fields", "rejected_fields")))
-    finite = ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    off = lambda c: F.col(f"_m_{c}") | F.col(f"_x_{c}")
+    out = _checked(df, p)
+    out = out.withColumns({f"_s_{c}": _scaled(c, p, F.when(~off(c), F.col(f"_p_{c}"))).cast("float") for c in p.selected})
+    surviving = p.surviving
+    n_bad = sum((off(c).cast("int") for c in surviving), F.lit(0))
+    out = out.withColumns({"_bad": n_bad, "success": ~not_finite([f"_s_{c}" for c in p.selected])})
     quality = (
         F.when(~F.col("success"), "INVALID").when(F.col("_bad") == 0, "COMPLETE")
-        .when(F.col("_bad") / max(len(p.surviving), 1) >= fv.DEGRADED_SHARE, "DEGRADED").otherwise("PARTIAL"))
-    imputed = F.array_intersect(strings([c for c in p.inputs if c in p.medians]), F.concat("missing_fields", "rejected_fields"))
-    out = checked.withColumns({"vector": vec, "_bad": bad, "imputed_fields": imputed})
-    out = out.withColumn("success", finite)
+        .when(F.col("_bad") / max(len(surviving), 1) >= fv.DEGRADED_SHARE, "DEGRADED").otherwise("PARTIAL"))
+    imputed = [F.when(off(c), F.lit(c)) for c in p.inputs if c in p.medians]
     return out.select(
-        *keep, F.when(F.col("success"), F.col("vector")).alias("vector"), quality.alias("feature_quality"),
-        "missing_fields", "imputed_fields", "rejected_fields", "success",
+        *keep, F.when(F.col("success"), F.array(*[F.col(f"_s_{c}") for c in p.selected])).alias("vector"), quality.alias("feature_quality"),
+        _listed("_m_", p.inputs).alias("missing_fields"), F.array_compact(F.array(*imputed)).alias("imputed_fields"),
+        _listed("_x_", p.inputs).alias("rejected_fields"), "success",
         F.when(F.col("success"), "").otherwise("Non-finite value survived preprocessing").alias("error"))
 
 
