@@ -407,9 +407,9 @@ def fitted(spark, sf_dir) -> pr.Params:
 
 
 # raw rows scored with the fitted chain: bad text and bad ports are rejected, blanks and negatives are missing
-_BAD = lambda c: f"({c} is not null and (not regexp_full_match(trim({c}), '{_NUM}')" + (f" or cast(trim({c}) as double) not between 0 and 65535" if c == "destination_port" else "") + "))"
+_BAD = lambda c: f"({c} is not null and (not regexp_full_match(trim({c}), '{_NUM}')" + (f" or try_cast(trim({c}) as double) not between 0 and 65535" if c == "destination_port" else "") + "))"
 _NEG = {"flow_duration", "total_fwd_packets", "flow_bytes_per_s"}
-_GONE = lambda c: f"({c} is null" + (f" or (regexp_full_match(trim({c}), '{_NUM}') and cast(trim({c}) as double) < 0)" if c in _NEG else "") + ")"
+_GONE = lambda c: f"({c} is null" + (f" or (regexp_full_match(trim({c}), '{_NUM}') and try_cast(trim({c}) as double) < 0)" if c in _NEG else "") + ")"
 _SCORE_SRC = ", src as (select source_file, source_row, label_raw, destination_port, nullif(flow_duration, '') as flow_duration, total_fwd_packets, flow_bytes_per_s, bwd_psh_flags, fin_flag_count from labelled_v)"
 _names = lambda cond: "array_to_string(list_filter([" + ", ".join(f"case when {cond(c)} then '{c}' end" for c in FEATURES) + "], lambda x: x is not null), ',')"
 
@@ -429,7 +429,7 @@ def _score_source(spark, sf_dir):
         F.nullif(F.col(c), F.lit("")).alias(c) if c == "flow_duration" else F.col(c) for c in FEATURES])
 
 
-_VAL = lambda c: f"case when {_GONE(c)} or {_BAD(c)} then (select {c} from med) else cast(trim({c}) as double) end"
+_VAL = lambda c: f"case when {_GONE(c)} or {_BAD(c)} then (select {c} from med) else try_cast(trim({c}) as double) end"
 _TRANS = _SCALED + _SCORE_SRC + f""",
 tv as (select source_file, source_row, label_raw, {_names(_GONE)} as missing_fields, {_names(_BAD)} as rejected_fields,
   {" + ".join(f"cast({_GONE(c)} or {_BAD(c)} as int)" for c in _WORK)} as n_bad, {", ".join(f"{_VAL(c)} as {c}" for c in _WORK)} from src),
@@ -460,7 +460,11 @@ def feature_quality(spark, sf_dir):
 
 @query(f"""with {_SPLIT}, n as (select "Label" as lb, count(*) as c, sum(count(*)) over () as t from train group by 1),
   a0 as (select *, cast(t // 8 as bigint) as size, case when c <= 100 then c else least(c, greatest(1, (t // 8) * c // t)) end as take from n),
-  a as (select *, take + case when row_number() over (order by c * (c - take) desc, lb) = 1 then size - sum(take) over () else 0 end as quota from a0),
+  gap as (select max(size) - sum(take) as g from a0),
+  more as (select lb, row_number() over (order by c * (c - take - j) desc, lb) as place from a0, generate_series(0, 8) as s(j)),
+  less as (select lb, row_number() over (order by take - j desc, lb) as place from a0, generate_series(0, 199) as s(j) where c > 100),
+  a as (select a0.*, take + (select count(*) from more, gap where more.lb = a0.lb and place <= g)
+    - (select count(*) from less, gap where less.lb = a0.lb and place <= -g) as quota from a0),
   r as (select _source_file, _source_row, "Label" as label, row_number() over (partition by "Label" order by h) as rn from train)
   select _source_file, _source_row, label from r join a on lb = label where rn <= quota""")
 def class_aware_subset(spark, sf_dir):
