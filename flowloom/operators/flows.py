@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from flowloom import fixed_values as fv
 from flowloom.functions.scalar import has_flag, safe_ratio
 from flowloom.operators.packets import KEY, segment_flows
+from flowloom.operators.running import running_total
 
 FLOW_ID = (*KEY, "flow_no")
 
@@ -145,17 +146,24 @@ def with_flow_context(flows: DataFrame) -> DataFrame:
     })
 
 
-def active_bursts(segmented: DataFrame) -> DataFrame:
+def active_bursts(segmented: DataFrame, max_flow_rows: int | None = 5_000_000) -> DataFrame:
     """One row per burst of a flow: packets, start, end, duration and the idle gap before it.
 
     A burst starts at the first packet of a flow and after every gap of at
-    least one second.
+    least one second.  Burst numbers are a running count inside the flow; a
+    flow with more than *max_flow_rows* packets is counted in ordered chunks.
     """
-    order = W.partitionBy(*FLOW_ID).orderBy("timestamp_us", "seq").rowsBetween(W.unboundedPreceding, 0)
     gap = F.when(F.col("iat") >= fv.BURST_GAP_US, F.col("iat"))
+    breaks = F.when(gap.isNotNull(), 1).otherwise(0)
+    huge = max_flow_rows is not None and not (
+        segmented.groupBy(*FLOW_ID).count().filter(F.col("count") > max_flow_rows).isEmpty())
+    if huge:
+        numbered = running_total(segmented, FLOW_ID, ["timestamp_us", "seq"], {"burst_no": breaks})
+    else:
+        order = W.partitionBy(*FLOW_ID).orderBy("timestamp_us", "seq").rowsBetween(W.unboundedPreceding, 0)
+        numbered = segmented.withColumn("burst_no", F.sum(breaks).over(order))
     return (
-        segmented.withColumn("burst_no", F.count(gap).over(order))
-        .groupBy(*FLOW_ID, "burst_no")
+        numbered.groupBy(*FLOW_ID, "burst_no")
         .agg(F.count("*").alias("packets"), F.min("timestamp_us").alias("start_us"),
              F.max("timestamp_us").alias("end_us"), F.max(gap).alias("idle_before_us"))
         .withColumn("active_us", F.col("end_us") - F.col("start_us"))

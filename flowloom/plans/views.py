@@ -27,8 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def _events(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "events").select(
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table as a file stream."""
+    schema = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def _events(spark, sf_dir, stream: bool = False) -> DataFrame:
+    return (stream_table if stream else table)(spark, sf_dir, "events").select(
         "event_id", "user_id", "event_type", "value",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -38,7 +44,7 @@ def _ip(prefix: str, n) -> F.Column:
     return F.concat(F.lit(prefix), n.cast("string"))
 
 
-def packets_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets_v(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events as TCP packets between 100 clients and one server (time 1000 x faster)."""
     d = F.col("k") % 2
     user = F.col("user_id") % 100
@@ -48,7 +54,7 @@ def packets_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "view", 16)
         .when(F.col("event_type") == "click", 24).when(F.col("event_type") == "purchase", 17)
         .otherwise(F.when(F.col("k") < 20, 4).otherwise(16)))
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, stream).select(
         F.col("event_id").alias("seq"), F.floor(F.col("us") / 1000).cast("long").alias("timestamp_us"),
         F.when(d == 0, client).otherwise(server).alias("src_ip"),
         F.when(d == 0, server).otherwise(client).alias("dst_ip"),
@@ -94,10 +100,10 @@ def mixed_packets_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 97, "skipped").when(k == 98, "error").otherwise("ok").alias("status"))
 
 
-def scan_flows_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scan_flows_v(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events as one-sided flows of ten sources to many ports (time 10,000 x faster)."""
     k, kind = F.col("k"), F.col("event_type")
-    return _events(spark, sf_dir).select(
+    return _events(spark, sf_dir, stream).select(
         _ip("10.0.0.", F.col("user_id") % 10).alias("ip_a"), (F.col("event_id") % 20000 + 20000).cast("int").alias("port_a"),
         F.lit("10.1.0.1").alias("ip_b"), F.when(k < 90, 1000 + k).otherwise(80).alias("port_b"),
         F.when(k % 20 == 0, 17).otherwise(6).alias("protocol"), F.col("event_id").alias("flow_no"),
@@ -136,13 +142,13 @@ def labelled_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"source_row": F.col("_v.row"), "label_raw": F.col("_v.label")}).drop("_v", "_key")
 
 
-def attack_log_v(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attack_log_v(spark: SparkSession, sf_dir: str, stream: bool = False) -> DataFrame:
     """Events as a prediction log."""
     kind = (
         F.when(F.col("event_type") == "click", "DDoS").when(F.col("event_type") == "error", "PortScan")
         .when(F.col("event_type") == "purchase", "BruteForce").otherwise("BENIGN"))
     user = F.col("user_id") % 100
-    log = _events(spark, sf_dir).select(
+    log = _events(spark, sf_dir, stream).select(
         F.col("event_id").alias("id"), kind.alias("attack_type"), _ip("10.0.0.", user).alias("src_ip"),
         F.lit("10.1.0.1").alias("dst_ip"), (50000 + user).cast("int").alias("src_port"),
         (80 + F.col("k") % 5).cast("int").alias("dst_port"),

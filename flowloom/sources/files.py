@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from flowloom import fixed_values as fv
 from flowloom.functions.scalar import capture_day
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 1_000_000  # about 50 MB of block offsets
 
 
 def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
@@ -81,7 +81,9 @@ def with_source_row(df: DataFrame, file_col: str = "_source_file", block_col: st
     blocks = numbered.groupBy(file_col, block_col).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     earlier = W.partitionBy(file_col).orderBy(block_col).rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(file_col, block_col, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    return numbered.join(blocks, [file_col, block_col]).withColumn(
+    # one row per 128 MB of input: broadcast while that is small, so the rows themselves do not move
+    small = blocks.count() <= BROADCAST_ROWS
+    return numbered.join(F.broadcast(blocks) if small else blocks, [file_col, block_col]).withColumn(
         "_source_row", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_first", "_before", block_col)
 
 

@@ -34,6 +34,10 @@ def _push(m: list, x: float) -> None:
     m[5] = x if m[0] == 1 else max(m[5], x)
 
 
+def _mean(m: list) -> float:
+    return m[3] / m[0] if m[0] else 0.0
+
+
 def _std(m: list) -> float:
     return math.sqrt(max(m[2], 0.0) / m[0]) if m[0] > 1 else 0.0
 
@@ -94,12 +98,12 @@ def _row(key: tuple, f: dict, reason: str) -> tuple:
     per_s = lambda x: x / (us / 1e6) if us > 0 else 0.0
     bit = lambda b: float(bool(f["flags"] & b))
     features = (
-        f["src"][3], us, fwd[0], bwd[0], fwd[3], bwd[3], fwd[5], fwd[4], fwd[1], _std(fwd), bwd[4], _std(bwd),
+        f["src"][3], us, fwd[0], bwd[0], fwd[3], bwd[3], fwd[5], fwd[4], _mean(fwd), _std(fwd), bwd[4], _std(bwd),
         per_s(fwd[3] + bwd[3]), per_s(both[0]), _std(ga), ga[4], gf[3], _std(gf), gf[4], gb[3], _std(gb), gb[4],
-        f["head"][0], f["head"][1], per_s(bwd[0]), both[5], both[1], _std(both),
+        f["head"][0], f["head"][1], per_s(bwd[0]), both[5], _mean(both), _std(both),
         bit(fv.FIN), bit(fv.PSH), bit(fv.ACK), bit(fv.URG), bwd[0] / fwd[0] if fwd[0] else 0.0,
         f["window"][0] or 0, f["window"][1] or 0, f["data"], 4 * f["offset"],
-        f["active"] / f["bursts"] if f["bursts"] else 0.0, f["idle"][1], _std(f["idle"]))
+        f["active"] / f["bursts"] if f["bursts"] else 0.0, _mean(f["idle"]), _std(f["idle"]))
     tcp_state = "CLOSING" if f["end"] else "ESTABLISHED" if f["syn"] else "NEW"
     state = "TIMEOUT" if reason == "timeout" else "COMPLETED"
     return (*key, *f["src"], f["start"], f["last"], both[0], state, tcp_state, reason, _half_open(f), *map(float, features))

@@ -132,3 +132,9 @@ def test_windows_equal_sequential_fold(make_packets, mode, seed):
 def test_features_are_finite(make_packets):
     assert tuple(fl.feature_check(fl.assemble_flows(make_packets(random_packets(5)), "live")).first())[1] == 0
     assert len(fv.FEATURE_COLUMNS) == 40 and len(set(fv.LABELLED_COLUMNS)) == 75
+
+
+def test_bursts_of_a_huge_flow(make_packets):
+    seg = pk.segment_flows(make_packets(random_packets(2)))
+    show = lambda d: sorted(map(tuple, d.select(*fl.FLOW_ID, "burst_no", "packets", "start_us", "end_us", "active_us").collect()))
+    assert show(fl.active_bursts(seg, max_flow_rows=10)) == show(fl.active_bursts(seg))
