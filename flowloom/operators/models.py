@@ -213,8 +213,6 @@ def predict(df: DataFrame, model) -> DataFrame:
 
 def score(flows: DataFrame, model, params: Params, classes: Sequence[str] = fv.CLASSES, model_version: str = "") -> DataFrame:
     """Raw flow features -> prediction rows; rows that cannot be transformed become REJECTED without reaching the model."""
-    from flowloom.operators.session import cut  # noqa: F401  (callers may materialise the result)
-
     keep = [c for c in flows.columns if c != "vector"]
     prepared = transform(flows.select(*keep), params)
     good = predict(prepared.filter("success"), model)
