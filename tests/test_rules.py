@@ -80,7 +80,7 @@ def test_flood_and_brute_force(spark):
             assert r.confidence == 0.9 and sum(r.class_probabilities.values()) == pytest.approx(1.0)
 
 
-def reference_alerts(events):
+def plain_alerts(events):
     """Plain list-based fold, as a check: [(src, time, port, ports)]."""
     history, last, out = {}, {}, []
     for src, t, port in events:
@@ -105,7 +105,7 @@ def test_scan_alerts_equal_plain_fold(spark, max_rows):
         rows.append(dict(src_ip=rng.choice(["10.0.0.1", "10.0.0.1", "10.0.0.2"]), dst_port=1000 + rng.randrange(9), end_us=t))
     probes = ru.port_scan_probes(flow_rows(spark, rows))
     got = ru.port_scan_alerts(probes, max_rows=max_rows)
-    want = reference_alerts([(r["src_ip"], r["end_us"], r["dst_port"]) for r in rows])
+    want = plain_alerts([(r["src_ip"], r["end_us"], r["dst_port"]) for r in rows])
     assert len(want) > 20
     assert sorted((r.src_ip, r.end_us, r.dst_port, r.ports) for r in got.collect()) == want
 
@@ -156,6 +156,6 @@ def test_log_populations(spark):
     lines = [r.advice for r in lg.report_recommendations(report, as_of=10_000.0).orderBy("line").collect()]
     assert lines[:3] == [dict(fv.TYPE_ADVICE)[t] for t in ("DDoS", "BruteForce", "PortScan")] and lines[-1] == fv.CLOSING_ADVICE
     assert [r.advice for r in lg.report_recommendations(report.filter("is_attack = 0"), as_of=1e4).orderBy("line").collect()] == [fv.CALM_ADVICE, fv.CLOSING_ADVICE]
-    empty = log([]) if False else report.limit(0)
+    empty = report.limit(0)
     assert lg.threat_level(empty).first().threat_level == "SAFE" and lg.report_summary(empty).first().attack_percentage == 0.0
     assert [r.src_ip for r in lg.top_attackers(report, 1).collect()] == ["a"]
