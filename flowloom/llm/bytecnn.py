@@ -29,10 +29,10 @@ WINDOW = 96
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 EMBED = 6
-PER_LANGUAGE = 250
+PER_LANGUAGE = 400
 #: Training windows of one document, from its whole length at even steps.
 WINDOWS_PER_DOC = 4
-EPOCHS = 12
+EPOCHS = 15
 #: Windows that are run at once.
 BATCH = 1024
 _LETTER = re.compile(r"[^\W\d_]").search

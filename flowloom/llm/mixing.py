@@ -116,7 +116,7 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, most: int = MAX_PA
 
 
 def select_by_hash(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """*docs* (pattern, size, hash) with ``extra``: whether the document is among the first by hash whose sizes come nearest to the pattern's ``rest``.
+    """*docs* (pattern, doc_id, row, size, hash) with ``extra``: the first by hash whose sizes stay within the pattern's ``rest``, and one that fills what is left.
 
     The cut is found by histograms of the hash's digits: each level sums the sizes
     in the bin that the cut falls into, so nothing is sorted but at most 256 bins
@@ -131,19 +131,26 @@ def select_by_hash(docs: DataFrame, rest: DataFrame) -> DataFrame:
         # the bin in which the running size passes what is left; patterns whose whole rest is taken have none
         cut = sums.where((F.col("before") <= F.col("left")) & (F.col("left") < F.col("before") + F.col("size")))
         bins = stored(cut.select("pattern", F.col("bin").alias("lead"), (F.col("left") - F.col("before")).alias("left")), "cut")
-    # the document on the cut itself is taken when that comes nearer to the rest
     width = 2 * LEVELS
     last = docs.where("size > 0").join(F.broadcast(bins), "pattern").where(F.substring("hash", 1, width) == F.col("lead"))
     run = Window.partitionBy("pattern").orderBy("hash", "row")
-    last = last.withColumn("end", F.sum("size").over(run))
-    inside = last.where((F.col("end") <= F.col("left")) | ((F.col("end") - F.col("size") < F.col("left")) & (2 * (F.col("left") - F.col("end") + F.col("size")) > F.col("size"))))
+    inside = last.withColumn("end", F.sum("size").over(run)).where("end <= left")
     edge = inside.groupBy("pattern").agg(F.max(F.struct("hash", "row")).alias("edge"))
-    limits = rest.select("pattern", (F.col("rest") > 0).alias("some")).join(bins.select("pattern", "lead"), "pattern", "left").join(edge, "pattern", "left")
-    out = docs.join(F.broadcast(limits), "pattern", "left")
+    limits = rest.select("pattern", "rest").join(bins.select("pattern", "lead"), "pattern", "left").join(edge, "pattern", "left")
     lead = F.substring("hash", 1, width)
-    extra = F.when(F.col("lead").isNull(), F.lit(True)).otherwise(
+    under = F.when(F.col("lead").isNull(), F.lit(True)).otherwise(
         (lead < F.col("lead")) | ((lead == F.col("lead")) & F.coalesce(F.struct("hash", "row") <= F.col("edge"), F.lit(False))))
-    return out.withColumn("extra", F.coalesce(F.col("some") & extra, F.lit(False))).drop("lead", "edge", "some")
+    out = docs.join(F.broadcast(limits), "pattern", "left")
+    out = stored(out.withColumn("extra", F.coalesce((F.col("rest") > 0) & under, F.lit(False))).drop("lead", "edge"), "chosen")
+    # what the cut leaves over goes to the document whose size comes nearest to it, ties by hash
+    over = out.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("over")).where("over > 0")
+    off = F.abs(F.col("size") - F.col("over"))
+    fill = (out.where(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(over), "pattern").where(off < F.col("over"))
+            .groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "hash", "row", "doc_id")).alias("fill")))
+    fill = fill.select("pattern", F.col("fill.row").alias("fill_row"), F.col("fill.doc_id").alias("fill_doc"))
+    out = out.join(F.broadcast(fill), "pattern", "left")
+    chosen = F.coalesce((F.col("row") == F.col("fill_row")) & F.col("doc_id").eqNullSafe(F.col("fill_doc")), F.lit(False))
+    return out.withColumn("extra", F.col("extra") | chosen).drop("rest", "fill_row", "fill_doc")
 
 
 def mix(docs: DataFrame, sources: Column | None = None, weights=WEIGHTS, most: int = MAX_PASSES, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from flowloom.llm.common import bounded_sample, fold_table
 PER_CLASS = 4000
 #: Lengths of word beginnings that may become entries.
 STEMS = (4, 5, 6, 7)
-#: Toxic documents that an entry must stand in, and its least log odds.
+#: Toxic documents, and different contexts in them, that an entry must stand in, and its least log odds.
 LEAST_DOCS = 5
 LEAST_WEIGHT = 3.0
 #: The heaviest entries are kept, up to this many.
@@ -99,6 +99,15 @@ def _entries(text: str) -> set[str]:
     return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) > k}
 
 
+def _contexts(text: str, lexicon: Lexicon) -> set[tuple[str, str]]:
+    """(entry, what stands around it) of each match."""
+    line = f" {fold(text)} "
+    if not lexicon.entries:
+        return set()
+    return {(line[end - size + 1:end + 1], line[max(0, end - size - 11):end + 13])
+            for end, (size, weight) in _machine(lexicon).iter(line) if weight is not None}
+
+
 def fit(docs: DataFrame, labelled: DataFrame, label: str, per_class: int = PER_CLASS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Learn a lexicon from *docs* (doc_id, text) and *labelled* (doc_id and the 0/1 column *label*)."""
     sample = bounded_sample(labelled.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "y", per_class)
@@ -126,7 +135,18 @@ def fit(docs: DataFrame, labelled: DataFrame, label: str, per_class: int = PER_C
     top = (texts.mapInArrow(count, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
            .where(F.col("toxic") >= LEAST_DOCS).select("entry", weight.alias("weight"), "toxic").where(F.col("weight") >= LEAST_WEIGHT)
            .orderBy(F.desc("weight"), F.desc("toxic"), "entry").limit(MAX_ENTRIES))
-    lexicon = Lexicon(tuple((r["entry"], float(r["weight"])) for r in top.collect()), 1.0, 0.0, exceptions)
+    first = Lexicon(tuple((r["entry"], float(r["weight"])) for r in top.collect()), 1.0, 0.0, exceptions)
+
+    def contexts(batches):
+        for batch in batches:
+            seen = {c for t in batch.column(0) for c in _contexts(t.as_py() or "", first)}
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], names=["entry", "context"])
+
+    # words of a passage that is copied from text to text always stand in the same context: only entries met in enough different ones stay
+    spread = (texts.where("y = 1").select("text").mapInArrow(contexts, "entry string, context string").distinct()
+              .groupBy("entry").count().where(F.col("count") >= LEAST_DOCS))
+    kept = {r["entry"] for r in spread.collect()}
+    lexicon = Lexicon(tuple(e for e in first.entries if e[0] in kept), 1.0, 0.0, exceptions)
 
     def raw(batches):
         for batch in batches:
