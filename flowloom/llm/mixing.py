@@ -31,6 +31,8 @@ MAX_PATTERNS = 100_000
 SEED = "mix-1"
 #: Two hexadecimal digits of the hash for each histogram level: 256 bins, then 256 in the bin that the cut falls into, and so on.
 LEVELS = 3
+#: Documents that may fill, one after another, what the cut leaves over of a pattern's rest.
+FILLS = 3
 
 
 def size_of(text: Column) -> Column:
@@ -142,15 +144,17 @@ def select_by_hash(docs: DataFrame, rest: DataFrame) -> DataFrame:
         (lead < F.col("lead")) | ((lead == F.col("lead")) & F.coalesce(F.struct("hash", "row") <= F.col("edge"), F.lit(False))))
     out = docs.join(F.broadcast(limits), "pattern", "left")
     out = stored(out.withColumn("extra", F.coalesce((F.col("rest") > 0) & under, F.lit(False))).drop("lead", "edge"), "chosen")
-    # what the cut leaves over goes to the document whose size comes nearest to it, ties by hash
-    over = out.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("over")).where("over > 0")
-    off = F.abs(F.col("size") - F.col("over"))
-    fill = (out.where(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(over), "pattern").where(off < F.col("over"))
-            .groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "hash", "row", "doc_id")).alias("fill")))
-    fill = fill.select("pattern", F.col("fill.row").alias("fill_row"), F.col("fill.doc_id").alias("fill_doc"))
-    out = out.join(F.broadcast(fill), "pattern", "left")
-    chosen = F.coalesce((F.col("row") == F.col("fill_row")) & F.col("doc_id").eqNullSafe(F.col("fill_doc")), F.lit(False))
-    return out.withColumn("extra", F.col("extra") | chosen).drop("rest", "fill_row", "fill_doc")
+    # what the cut leaves over goes to the document whose size comes nearest to it, ties by hash; then what that leaves, and so on
+    for _ in range(FILLS):
+        over = out.groupBy("pattern").agg((F.max("rest") - F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0))).alias("over")).where("over > 0")
+        off = F.abs(F.col("size") - F.col("over"))
+        fill = (out.where(~F.col("extra") & (F.col("size") > 0)).join(F.broadcast(over), "pattern").where(off < F.col("over"))
+                .groupBy("pattern").agg(F.min(F.struct(off.alias("off"), "hash", "row", "doc_id")).alias("fill")))
+        fill = stored(fill.select("pattern", F.col("fill.row").alias("fill_row"), F.col("fill.doc_id").alias("fill_doc")), "fill")
+        out = out.join(F.broadcast(fill), "pattern", "left")
+        chosen = F.coalesce((F.col("row") == F.col("fill_row")) & F.col("doc_id").eqNullSafe(F.col("fill_doc")), F.lit(False))
+        out = out.withColumn("extra", F.col("extra") | chosen).drop("fill_row", "fill_doc")
+    return out.drop("rest")
 
 
 def mix(docs: DataFrame, sources: Column | None = None, weights=WEIGHTS, most: int = MAX_PASSES, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:

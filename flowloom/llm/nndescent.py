@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import components, salted_join, stored
@@ -53,6 +53,15 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def _units(column):
+    """A function from bounds to the unit vectors of those rows; rows of one length are made ready at once."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if len(set(np.diff(column.offsets.to_numpy()).tolist())) == 1:
+        whole = _unit(_matrix(column))
+        return lambda lo, hi: whole[lo:hi]
+    return lambda lo, hi: _unit(_matrix(column.slice(lo, hi - lo)))
+
+
 def _runs(*keys: np.ndarray) -> list[tuple[int, int]]:
     """Bounds of the runs of equal keys."""
     n = len(keys[0])
@@ -92,13 +101,17 @@ def _whole_runs(batches, n_keys: int, longest: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _can_link() -> Column:
+    value = F.col("embedding")
+    return F.coalesce(
+        F.col("label").isNotNull() & value.isNotNull() & (F.size(value) > 0)
+        & F.forall(value, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
+        & F.exists(value, lambda x: F.coalesce(x != 0, F.lit(False))), F.lit(False))
+
+
 def nodes_of(vectors: DataFrame) -> DataFrame:
     """node (hash of label and vector), grp (hash of label and length), vec, least vec_id, rows; only of vectors that can link."""
-    value = F.col("embedding")
-    good = (F.col("label").isNotNull() & value.isNotNull() & (F.size(value) > 0)
-            & F.forall(value, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False)))
-            & F.exists(value, lambda x: x != 0))
-    rows = vectors.where(good).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), value.alias("vec"))
+    rows = vectors.where(_can_link()).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col("embedding").alias("vec"))
     return (rows.groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("rows"))
             .select(F.xxhash64("label", "vec").alias("node"), F.xxhash64("label", F.size("vec")).alias("grp"), "vec", "least", "rows"))
 
@@ -123,8 +136,9 @@ def _ordered_neighbours(nodes: DataFrame, orderings: range) -> DataFrame:
         for t in _whole_runs(batches, 2, 4 * ROWS):
             turn, grp, node = (t.column(i).to_numpy() for i in (0, 1, 3))
             us, vs, ss = [], [], []
+            units = _units(t.column(4))
             for lo, hi in _runs(turn, grp):
-                unit = _unit(_matrix(t.column(4).slice(lo, hi - lo)))
+                unit = units(lo, hi)
                 for a in range(0, max(1, hi - lo - STEP), STEP):
                     part, names = unit[a:a + WINDOW], node[lo + a:min(hi, lo + a + WINDOW)]
                     if len(names) > 1:
@@ -182,14 +196,15 @@ def _introduce(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     def meet(batches):
         for t in _whole_runs(batches, 1, ROWS):
             centre, node, worst_ = (t.column(i).to_numpy() for i in range(3))
-            unit = _unit(_matrix(t.column(3)))
+            unit = _units(t.column(3))
             us, vs, ss = [], [], []
             for lo, hi in _runs(centre):
                 for a in range(lo, hi, CENTRE):
                     b = min(hi, a + CENTRE)
                     if b - a < 2:
                         continue
-                    u, v, s = _best(unit[a:b] @ unit[a:b].T, LIST)
+                    part = unit(a, b)
+                    u, v, s = _best(part @ part.T, LIST)
                     better = s > worst_[a:b][u] + 1e-12
                     us.append(node[a:b][u[better]])
                     vs.append(node[a:b][v[better]])
@@ -236,13 +251,13 @@ def _enlarged(nodes: DataFrame, roots: DataFrame, saturated: DataFrame, threshol
         for t in _whole_runs(batches, 3, 1 << 60):  # a block pair has about 2 * BLOCK rows
             root, a, b, side, node, rows = (t.column(i).to_numpy() for i in (0, 1, 2, 3, 4, 6))
             full = t.column(5).to_numpy(zero_copy_only=False)
-            unit = _unit(_matrix(t.column(7)))
+            unit = _units(t.column(7))
             out: list[list[np.ndarray]] = [[], [], [], []]
             for lo, hi in _runs(root, a, b):
                 mid = lo + int((side[lo:hi] == 0).sum())
                 if mid == lo or mid == hi:
                     continue
-                near = (unit[lo:mid] @ unit[mid:hi].T >= threshold) & (node[lo:mid, None] != node[None, mid:hi])
+                near = (unit(lo, mid) @ unit(mid, hi).T >= threshold) & (node[lo:mid, None] != node[None, mid:hi])
                 out[0].append(node[lo:mid])
                 out[1].append(np.full(mid - lo, np.iinfo(np.int64).min))
                 out[2].append(near.sum(axis=1))
@@ -317,7 +332,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     joined = stored(joined, "joined")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(salted_join(joined, least, ["root"], ["node"]).select("node", "n_links", "component_id"), "named")
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(F.col("label").isNotNull() & F.col("embedding").isNotNull(), F.xxhash64("label", "embedding")).alias("node"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(_can_link(), F.xxhash64("label", "embedding")).alias("node"))
     found = salted_join(rows, named.withColumn("linked", F.lit(True)), ["node"], ["vec_id"], "left")
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

@@ -113,7 +113,7 @@ def fit_labelled(rows: DataFrame, labelled: DataFrame, label: str, per_class: in
     """Fit on feature rows (doc_id, x) of at most *per_class* labelled documents of each class."""
     sample = bounded_sample(labelled.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "y", per_class)
     got = rows.select("doc_id", "x").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("x", "y").collect()
-    return fit(np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["y"] for r in got], dtype=int))
+    return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], dtype=int))
 
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, label: str, held_out: Column, threshold: float = 0.7) -> DataFrame:

@@ -90,7 +90,7 @@ def raw_score(text: str, lexicon: Lexicon) -> float:
     for a, b in excused:
         for start in [s for s in best if a <= s < b]:
             del best[start]
-    n_words = line.count(" ") + 1
+    n_words = len(line.split())
     return sum(best.values()) / (1 + n_words / LENGTH_SCALE)
 
 
