@@ -185,7 +185,6 @@ ATTACK_THRESHOLD = 0.80
 SCAN_WINDOW_US = 1_500_000
 SCAN_MIN_PORTS = 5
 SCAN_COOLDOWN_US = 5_000_000
-SCAN_MEMORY = 1000
 FLOOD_MIN_PACKETS = 10
 FLOOD_DDOS_PACKETS = 100
 BRUTE_MIN_PACKETS = 50
@@ -197,7 +196,6 @@ RULE_OTHER_WEIGHT = 0.01
 THREAT_WINDOW_S = 60
 ELEVATED_ATTACKS = 1
 CRITICAL_ATTACKS = 6
-HISTORY_PAGE_CAP = 500
 
 # --- fixed values: report lines ------------------------------------------------
 LEVEL_ADVICE = (

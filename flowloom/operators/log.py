@@ -33,9 +33,9 @@ def _page_filter(attack_type: str | None, only_attacks: bool) -> Column:
 
 
 def attack_history(log: DataFrame, limit: int = 50, offset: int = 0, attack_type: str | None = None, only_attacks: bool = False) -> DataFrame:
-    """One page of the log, newest first (ties by id); at most 500 rows a page."""
+    """One page of the log, newest first (ties by id)."""
     page = log.filter(_page_filter(attack_type, only_attacks))
-    return page.orderBy(F.desc("timestamp_utc"), F.desc("id")).offset(offset).limit(min(limit, fv.HISTORY_PAGE_CAP))
+    return page.orderBy(F.desc("timestamp_utc"), F.desc("id")).offset(offset).limit(limit)
 
 
 def attack_history_total(log: DataFrame, page_size: int = 50, attack_type: str | None = None, only_attacks: bool = False) -> DataFrame:
@@ -130,6 +130,8 @@ def threat_level_series(log: DataFrame, keys: tuple[str, ...] = (), slot_s: int
     """
     t, span = F.col("timestamp_utc"), fv.THREAT_WINDOW_S
     per_time = log.filter(_is_attack()).groupBy(*keys, "timestamp_utc").agg(F.count("*").alias("attacks"))
+    if slot_s < span:
+        raise ValueError(f"slot_s must be at least the window of {span} s")
     slot = F.floor(t / slot_s)
     late = F.floor((t + span) / slot_s) > slot
     rows = per_time.withColumn("_slot", F.explode(F.when(late, F.array(slot, slot + 1)).otherwise(F.array(slot))))

@@ -7,6 +7,8 @@ model whose ``transform`` adds the MLlib vector column ``probability``.
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -46,20 +48,24 @@ def check_training_inputs(train: DataFrame, test: DataFrame, n_classes: int) ->
 
 def allocate(counts: dict, size: int, rare: int = fv.RARE_CLASS_ROWS) -> dict:
     """Rows to take per class: proportional, at least one, rare classes whole, exactly *size* in total."""
-    total = sum(counts.values())
+    total, classes = sum(counts.values()), sorted(counts)
     if not 0 < size <= total:
         raise ValueError("subset size must be between 1 and the number of rows")
-    if size < len(counts):
+    if size < len(classes):
         raise ValueError("subset too small to hold every class")
-    take = {c: n if n <= rare else min(n, max(1, size * n // total)) for c, n in sorted(counts.items())}
-    while sum(take.values()) > size:
-        can = [c for c in take if counts[c] > rare and take[c] > 1]
-        if not can:
-            raise ValueError("rare classes alone exceed the subset size")
-        take[max(can, key=lambda c: take[c])] -= 1
-    while sum(take.values()) < size:
-        take[max((c for c in take if take[c] < counts[c]), key=lambda c: counts[c] * (counts[c] - take[c]))] += 1
-    return take
+    share = {c: counts[c] if counts[c] <= rare else max(1, counts[c] * size // total) for c in classes}
+    gap = size - sum(share.values())
+    # every row more or less is a unit with a rank; the best units close the gap at once
+    units = []
+    for place, c in enumerate(classes):
+        if gap > 0:  # the next rows of a class rank by its size and by how many rows of it are left out
+            units += [(counts[c] * (counts[c] - k), -place, c) for k in range(share[c], min(counts[c], share[c] + gap))]
+        elif counts[c] > rare:  # the last rows of the largest shares go first, never a class's only row
+            units += [(height, -place, c) for height in range(max(2, share[c] + gap + 1), share[c] + 1)]
+    picked = Counter(c for _, _, c in heapq.nlargest(abs(gap), units))
+    if picked.total() < abs(gap):
+        raise ValueError("rare classes alone exceed the subset size")
+    return {c: share[c] + (picked[c] if gap > 0 else -picked[c]) for c in classes}
 
 
 def class_aware_subset(df: DataFrame, size: int, id_cols: Sequence[str], label: str = fv.TARGET, seed: int = fv.SEED) -> DataFrame:
@@ -79,10 +85,15 @@ def with_balanced_weight(df: DataFrame, label: str = "y") -> DataFrame:
 
 
 def resample_by_weight(df: DataFrame, id_cols: Sequence[str] | None = None, seed: int = fv.SEED) -> DataFrame:
-    """Repeat rows about ``weight`` times (for learners without weights); the fraction is decided by a row hash."""
+    """Repeat rows in proportion to ``weight`` (for learners without weights): rows of the least weight once, so that none
+    is lost; the fraction is decided by a row hash."""
     cols = list(id_cols or df.columns)
+    least = df.agg(F.min("weight")).first()[0]
+    if least is None:
+        return df
     share = F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1_000_000)) / 1e6
-    times = F.floor("weight") + F.when(share < F.col("weight") - F.floor("weight"), 1).otherwise(0)
+    weight = F.col("weight") / F.lit(least)
+    times = F.floor(weight + 1e-9) + F.when(share < weight - F.floor(weight + 1e-9), 1).otherwise(0)
     return df.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).drop("_copy")
 
 

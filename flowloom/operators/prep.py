@@ -8,6 +8,7 @@ those values.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Sequence
@@ -199,30 +200,25 @@ def apply_clip(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFra
     return df.withColumns({c: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi)) for c, (lo, hi) in bounds.items()})
 
 
-def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column with each earlier one, as rows (a, b, r), in one aggregate."""
-    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
-    row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)]
-    return row.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
-
+#: Pairs of columns in one aggregate: the plan and its code grow with them, the passes over the rows fall.
+CORRELATIONS = 300
 
-def correlation_wide(df: DataFrame, cols: Sequence[str]) -> dict[tuple[str, str], float]:
-    """All pairwise correlations with one linear pass over assembled vectors (for many columns)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
 
-    vec = VectorAssembler(inputCols=list(cols), outputCol="_v", handleInvalid="error").transform(df).select("_v")
-    m = Correlation.corr(vec, "_v").first()[0].toArray()
-    return {(a, b): float(m[i][j]) for j, b in enumerate(cols) for i, a in enumerate(cols[:j])}
+def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Pearson correlation of every column with each earlier one, as rows (a, b, r): one aggregate for each *CORRELATIONS* pairs."""
+    pairs = [(a, b) for j, b in enumerate(cols) for a in cols[:j]]
+    parts = []
+    for lo in range(0, len(pairs), CORRELATIONS):
+        part = pairs[lo:lo + CORRELATIONS]
+        row = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        entries = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(part)]
+        parts.append(row.select(F.explode(F.array(*entries)).alias("e")).select("e.*"))
+    return functools.reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], "a string, b string, r double")
 
 
 def fit_correlated(train: DataFrame, cols: Sequence[str], limit: float = fv.CORRELATION_LIMIT) -> list[str]:
     """Columns too similar to any earlier column (also to one that is itself dropped)."""
-    if len(cols) > 12:
-        r = correlation_wide(train, cols)
-    else:
-        r = {(x["a"], x["b"]): x["r"] for x in correlation_matrix(train, cols).collect()}
+    r = {(x["a"], x["b"]): x["r"] for x in correlation_matrix(train, cols).collect()}  # one row per pair of columns
     high = {b for (a, b), v in r.items() if v is not None and abs(v) > limit}
     return [c for c in cols if c in high]
 

@@ -120,16 +120,15 @@ def port_scan_candidates(
 def scan_step(state: dict, now: int, port: int, window_us: int, min_ports: int, cooldown_us: int) -> int | None:
     """One probe against a source's scan state; returns the port count when it raises an alert.
 
-    The state remembers, per port, the time and number of its latest probe: a
-    source that has not raised an alert has fewer than *min_ports* of them.
+    The state remembers, per port, the time of its latest probe: a source that
+    has not raised an alert has fewer than *min_ports* of them.
     """
     last = state.get("alert")
     if last is not None and now - last < cooldown_us:
         return None
-    n = state["n"] = state.get("n", 0) + 1
     seen = state.setdefault("ports", {})
-    seen[str(port)] = [now, n]
-    for p in [p for p, (at, k) in seen.items() if at < now - window_us or k <= n - fv.SCAN_MEMORY]:
+    seen[str(port)] = now
+    for p in [p for p, at in seen.items() if at < now - window_us]:
         del seen[p]
     if len(seen) < min_ports:
         return None
@@ -165,20 +164,11 @@ def port_scan_alerts(
         alerts = pdf.iloc[hits][columns].copy()
         alerts["ports"] = counts
         alerts["ports"] = alerts["ports"].astype("int64")
-        return alerts, json.dumps(_settle(memory), sort_keys=True)
+        return alerts, json.dumps(memory, sort_keys=True)
 
     return chunked_fold(rows, ["src_ip"], order, fold, out, max_rows)
 
 
-def _settle(memory: dict) -> dict:
-    """State with probe numbers made relative to the latest, so equal pasts give equal text."""
-    if not memory.get("ports"):
-        return {k: v for k, v in memory.items() if k == "alert"}
-    n = memory["n"]
-    kept = {p: [at, k - n + fv.SCAN_MEMORY] for p, (at, k) in memory["ports"].items()}
-    return {"n": fv.SCAN_MEMORY, "ports": kept, **({"alert": memory["alert"]} if "alert" in memory else {})}
-
-
 # --- rules and threshold -----------------------------------------------------------------------
 
 def flood_label() -> Column:

@@ -41,7 +41,7 @@ def attack_history(spark, sf_dir):
     return rounded(lg.attack_history(_log(spark, sf_dir), 50, 100, only_attacks=True))
 
 
-@query(f"with {_L} select {_COLS} from attack_log_v where attack_type = 'DDoS' order by timestamp_utc desc, id desc limit 500")
+@query(f"with {_L} select {_COLS} from attack_log_v where attack_type = 'DDoS' order by timestamp_utc desc, id desc limit 10000")
 def attack_history_by_type(spark, sf_dir):
     return rounded(lg.attack_history(_log(spark, sf_dir), 10_000, 0, "DDoS"))
 

@@ -128,7 +128,21 @@ def port_scan_candidates(spark, sf_dir):
     return ru.port_scan_candidates(ru.port_scan_probes(views.scan_flows_v(spark, sf_dir)))
 
 
-@query()
+_ALERTS = f"""with recursive {vs.SCAN}, p as (select src_ip, dst_port, end_us, flow_no,
+    row_number() over (partition by src_ip order by end_us, dst_port, flow_no) as rn from probes),
+  walk as (
+    select src_ip, cast(1 as bigint) as start, cast(null as bigint) as hit, cast(null as bigint) as ports from p where rn = 1
+    union all
+    select n.src_ip, (select min(q.rn) from p q where q.src_ip = n.src_ip and q.rn > n.hit and q.end_us >= n.at_us + 5000000) as start, n.hit, n.ports
+    from (select c.src_ip, min(c.rn) as hit, arg_min(c.end_us, c.rn) as at_us, arg_min(c.ports, c.rn) as ports from (
+        select a.src_ip, b.rn, b.end_us, count(distinct e.dst_port) as ports from walk a
+        join p b on b.src_ip = a.src_ip and b.rn >= a.start
+        join p e on e.src_ip = a.src_ip and e.rn between a.start and b.rn and e.end_us >= b.end_us - 1500000
+        where a.start is not null group by a.src_ip, b.rn, b.end_us having count(distinct e.dst_port) >= 5) c group by c.src_ip) n)
+  select p.src_ip, p.dst_port, p.end_us, p.flow_no, walk.ports from walk join p on p.src_ip = walk.src_ip and p.rn = walk.hit"""
+
+
+@query(_ALERTS)
 def port_scan_alerts(spark, sf_dir):
     return ru.port_scan_alerts(ru.port_scan_probes(views.scan_flows_v(spark, sf_dir))).select("src_ip", "dst_port", "end_us", "flow_no", "ports")
 

@@ -2,29 +2,15 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.operators.session import prepare
 
 
-SMALL_FILE = 64 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table.
-
-    A small file is one row group and would be read, and everything up to the
-    next shuffle computed, by a single task; below 64 MB its rows are first
-    spread over the cores.  Large tables have row groups enough.
-    """
-    path = f"{sf_dir}/{name}.parquet"
-    df = prepare(spark).read.parquet(path)
-    if os.path.isfile(path) and os.path.getsize(path) < SMALL_FILE and os.path.getsize(path) > 500_000:
-        df = df.repartition(spark.sparkContext.defaultParallelism, *df.columns[:2])
-    return df
+    """A driver table."""
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

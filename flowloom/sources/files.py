@@ -26,8 +26,8 @@ def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
 
 
 def validate_labelled(
-    headers: dict[str, list[str]], expected_files: int | None = fv.EXPECTED_FILES,
-    expected_cols: int | None = fv.EXPECTED_COLUMNS, target: str = fv.TARGET,
+    headers: dict[str, list[str]], expected_files: int | None = None,
+    expected_cols: int | None = None, target: str = fv.TARGET,
 ) -> list[str]:
     """Check file count, column count, equal headers, repeated names and the label column; returns the header."""
     if expected_files is not None and len(headers) != expected_files:
@@ -49,8 +49,8 @@ def validate_labelled(
 
 
 def read_labelled_csv(
-    spark: SparkSession, path: str, expected_files: int | None = fv.EXPECTED_FILES,
-    expected_cols: int | None = fv.EXPECTED_COLUMNS, ordinals: bool = True,
+    spark: SparkSession, path: str, expected_files: int | None = None,
+    expected_cols: int | None = None, ordinals: bool = True,
 ) -> DataFrame:
     """All CSV files of a directory as text columns (snake_case) with label and provenance.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from flowloom import fixed_values as fv
 from flowloom.functions import scalar as sc
@@ -22,6 +23,7 @@ ATTACK_LOG = T.StructType([
     T.StructField("flow_id", T.StringType()),
     T.StructField("timestamp_utc", T.DoubleType()),
     T.StructField("day", T.DateType()),
+    T.StructField("query_id", T.StringType()),
     T.StructField("batch_id", T.LongType()),
 ])
 
@@ -43,29 +45,33 @@ def write_audit(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-def log_rows(rows: DataFrame, batch_id: int) -> DataFrame:
-    """Log rows with a day partition, a batch number and an id that is the same on every retry."""
-    key = F.concat_ws("|", F.lit(str(batch_id)), "flow_id", F.col("timestamp_utc").cast("string"), "attack_type")
+def log_rows(rows: DataFrame, batch_id: int, query_id: str) -> DataFrame:
+    """Log rows with a day partition, the query and batch that wrote them, and an id of their own that is the same on every retry."""
+    columns = [c.name for c in ATTACK_LOG.fields[1:11]]
+    copy = F.row_number().over(W.partitionBy(*columns).orderBy(F.lit(0)))  # tells equal rows of a batch apart
+    key = F.concat_ws("|", F.lit(query_id), F.lit(str(batch_id)), "flow_id", F.col("timestamp_utc").cast("string"), F.xxhash64(*columns).cast("string"), copy.cast("string"))
     return rows.select(
-        F.sha2(key, 256).alias("id"), *[c.name for c in ATTACK_LOG.fields[1:11] if c.name != "day"],
-        F.to_date(F.timestamp_seconds("timestamp_utc")).alias("day"), F.lit(batch_id).cast("long").alias("batch_id"))
+        F.sha2(key, 256).alias("id"), *columns, F.to_date(F.timestamp_seconds("timestamp_utc")).alias("day"),
+        F.lit(query_id).alias("query_id"), F.lit(batch_id).cast("long").alias("batch_id"))
 
 
-def append_predictions(rows: DataFrame, path: str, batch_id: int) -> None:
+def append_predictions(rows: DataFrame, path: str, batch_id: int, query_id: str) -> None:
     """Write one batch of log rows; a repeated batch replaces itself, so a retry adds nothing twice.
 
-    The log is partitioned by batch and day: time filters prune days, and a
-    batch owns its partitions.
+    The log is partitioned by day, query and batch: time filters prune days, and
+    a batch owns its partitions.  Batch numbers count from 0 for every query, so
+    *query_id* must name the query (its checkpoint), and a new one a new query.
     """
-    out = log_rows(rows, batch_id)
+    out = log_rows(rows, batch_id, query_id)
     (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id", "day").parquet(path))
+     .partitionBy("day", "query_id", "batch_id").parquet(path))
 
 
-def log_sink(path: str):
-    """``foreachBatch`` function that appends to the log once per batch."""
+def log_sink(path: str, checkpoint: str):
+    """``foreachBatch`` function that appends to the log once per batch of the query that keeps its state in *checkpoint*."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        append_predictions(batch, path, batch_id)
+        query_id = batch.sparkSession.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
+        append_predictions(batch, path, batch_id, query_id)
     return write
 
 

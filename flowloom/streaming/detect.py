@@ -69,7 +69,7 @@ def stream_detect(flows: DataFrame, log_path: str, checkpoint: str, score: Calla
             benign = checked.filter("bypass_reason is not null").withColumns(ru.benign_result(F.col("bypass_reason")))
             predicted = benign.unionByName(score(checked.filter("bypass_reason is null")).select(*benign.columns))
         decided = ru._decide(predicted, threshold, F.col("ports")).withColumn("timestamp_utc", F.col("end_us") / 1e6)
-        log_sink(log_path)(to_attack_log(with_flow_context(decided)), batch_id)
+        log_sink(log_path, checkpoint)(to_attack_log(with_flow_context(decided)), batch_id)
 
     return mark_port_scans(flows).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"availableNow": True})).start()

@@ -87,7 +87,6 @@ def plain_alerts(events):
         if t - last.get(src, -10**12) < fv.SCAN_COOLDOWN_US:
             continue
         rec = [x for x in history.get(src, []) if x[0] >= t - fv.SCAN_WINDOW_US] + [(t, port)]
-        rec = rec[-fv.SCAN_MEMORY:]
         history[src] = rec
         n = len({p for _, p in rec})
         if n >= fv.SCAN_MIN_PORTS:

@@ -100,9 +100,12 @@ def test_log_appends_once(spark, new_dir):
     rows = views.attack_log_v(spark, SF).select(*[F.col(c) for c in (
         "attack_type", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "confidence", "is_attack", "flow_id")], F.col("timestamp_utc").cast("double"))
     path = new_dir + "/log"
-    for batch in (0, 1, 1):
-        sinks.append_predictions(rows, path, batch)
-    assert sinks.read_log(spark, path).count() == 2 * rows.count()
+    for batch, query in ((0, "a"), (1, "a"), (1, "a"), (0, "b")):
+        sinks.append_predictions(rows, path, batch, query)
+    assert sinks.read_log(spark, path).count() == 3 * rows.count()
+    twins = rows.limit(1).unionByName(rows.limit(1))
+    sinks.append_predictions(twins, path + "2", 0, "a")
+    assert sinks.read_log(spark, path + "2").select("id").distinct().count() == 2
     sinks.reset_log(spark, path)
     assert sinks.read_log(spark, path).count() == 0
 
