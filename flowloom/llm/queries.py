@@ -69,4 +69,34 @@ def op10_language(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_bpe, op3_simhash, op4_pii, op5_toxicity, op6_mixing, op7_warc, op8_nn_descent, op9_quality_qda, op10_language)}
-ORACLES: dict[str, str] = {}
+
+_SPACE = r"[ \t-\r]"
+ORACLES = {
+    "op1_quality_rules": rf"""with d as (select doc_id, source, coalesce(text, '') as t from documents),
+  w as (select doc_id, t, [x for x in string_split_regex(t, '{_SPACE}+') if x <> ''] as ws from d),
+  windows as (select doc_id, i, list_slice(ws, i, i + 7) as g from w, unnest(range(1, len(ws) - 6)) u(i)),
+  repeated as (select doc_id, i from windows qualify count(*) over (partition by doc_id, g) > 1),
+  covered as (select doc_id, count(distinct i + k) as n from repeated, range(0, 8) r(k) group by 1),
+  l as (select doc_id, source, t, x, trim(regexp_replace(regexp_replace(lower(x), '[0-9]', '0', 'g'), '{_SPACE}+', ' ', 'g')) as norm
+    from d, unnest(string_split(t, chr(10))) u(x) where regexp_matches(x, '[^ \t-\r]')),
+  hosts as (select source, count(distinct t) as host_docs from d group by 1),
+  frequent as (select l.source, norm from l join hosts on l.source is not distinct from hosts.source group by l.source, norm, host_docs
+    having count(distinct t) > {quality.MAX_LINE_DOCS} and 100 * count(distinct t) > {quality.MAX_LINE_PERCENT} * host_docs),
+  line_sums as (select doc_id, count(*) - count(distinct x) as n_dup_lines, count(f.norm) as n_removed_lines, sum(length(x)) as total,
+      coalesce(sum(length(x)) filter (f.norm is not null), 0) as removed
+    from l left join frequent f on l.norm = f.norm and l.source is not distinct from f.source group by doc_id),
+  m as (select w.doc_id, len(ws) as n_words, length(array_to_string(ws, '')) as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+      coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n, 0) as n_repeat_words, coalesce(n_removed_lines, 0) as n_removed_lines,
+      coalesce(100 * removed > {quality.MAX_REMOVED_PERCENT} * total, false) as depleted
+    from w left join covered using (doc_id) left join line_sums using (doc_id))
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and not depleted as kept from m""",
+    "op7_warc": f"""with p as (select page_id, coalesce(html, '') as h from pages),
+  x as (select page_id, strlen(h) as payload_bytes, sha256(h) as payload_digest, min(page_id) over (partition by h) as first from p)
+  select page_id, payload_bytes, payload_digest, case when payload_bytes >= {warc.LEAST_BYTES} and page_id <> first then 'revisit' else 'response' end as record_type,
+    case when payload_bytes >= {warc.LEAST_BYTES} and page_id <> first then first end as refers_to from x""",
+    "op8_nn_descent": f"""with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null and len(embedding) > 0),
+  l as (select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= {nndescent.THRESHOLD}),
+  reach(u, r) as (select vec_id, vec_id from embeddings union select l.u, reach.r from reach join l on l.v = reach.u),
+  n as (select u, count(*) as n_links from l group by u)
+  select reach.u as vec_id, coalesce(any_value(n_links), 0) as n_links, min(r) as component_id, reach.u = min(r) as kept from reach left join n on n.u = reach.u group by reach.u""",
+}

@@ -231,3 +231,18 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (4, 4), (7, 8), (8, 9), (9, 10), (10, 11), (11, 7), *[(100, 100 + i) for i in range(1, 50)]]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 1 for i in (1, 2, 3)}, 4: 4, 5: 4, **{i: 7 for i in range(7, 12)}, **{100 + i: 100 for i in range(50)}}
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op7_warc", "op8_nn_descent"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "pages", "embeddings"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    df = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    columns = sorted(df.columns)
+    found = con.execute(entry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == columns
+    want = sorted(str(tuple(r[names.index(c)] for c in columns)) for r in found.fetchall())
+    assert sorted(str(tuple(r[c] for c in columns)) for r in df.collect()) == want
