@@ -128,7 +128,7 @@ def port_scan_candidates(spark, sf_dir):
     return ru.port_scan_candidates(ru.port_scan_probes(views.scan_flows_v(spark, sf_dir)))
 
 
-_ALERTS = f"""with recursive {vs.SCAN}, p as (select src_ip, dst_port, end_us, flow_no,
+ALERTS = f"""with recursive {vs.SCAN}, p as (select src_ip, dst_port, end_us, flow_no,
     row_number() over (partition by src_ip order by end_us, dst_port, flow_no) as rn from probes),
   walk as (
     select src_ip, cast(1 as bigint) as start, cast(null as bigint) as hit, cast(null as bigint) as ports from p where rn = 1
@@ -142,7 +142,7 @@ _ALERTS = f"""with recursive {vs.SCAN}, p as (select src_ip, dst_port, end_us, f
   select p.src_ip, p.dst_port, p.end_us, p.flow_no, walk.ports from walk join p on p.src_ip = walk.src_ip and p.rn = walk.hit"""
 
 
-@query(_ALERTS)
+@query(ALERTS)
 def port_scan_alerts(spark, sf_dir):
     return ru.port_scan_alerts(ru.port_scan_probes(views.scan_flows_v(spark, sf_dir))).select("src_ip", "dst_port", "end_us", "flow_no", "ports")
 

@@ -14,6 +14,7 @@ from flowloom.plans import view_sql as vs
 from flowloom.plans import views
 from flowloom.plans.log_queries import _DENSE, _THROTTLE
 from flowloom.plans.registry import query, rounded
+from flowloom.plans.rule_queries import ALERTS
 from flowloom.streaming import detect as sd
 from flowloom.streaming import flows as sf
 
@@ -40,7 +41,7 @@ def stream_flows(spark, sf_dir):
     return rounded(_finish(spark, stream).select(*pk.KEY, "start_us", "end_us", "packet_count", "close_reason", *fv.FEATURE_COLUMNS), 3)
 
 
-@query()
+@query(ALERTS)
 def stream_port_scan(spark, sf_dir):
     alerts = sd.stream_port_scan(views.scan_flows_v(spark, sf_dir, stream=True))
     return _finish(spark, alerts).select("src_ip", "dst_port", "end_us", "flow_no", "ports")
