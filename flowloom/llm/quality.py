@@ -57,7 +57,7 @@ def _covered(windows: Column) -> Column:
 
 
 def base_metrics(docs: DataFrame) -> DataFrame:
-    """doc_id, source, row_key, the base counts and ``lines``: an array of (hash, characters) of the lines with a word.  One row per distinct document row."""
+    """doc_id, source, row_key, the base counts and ``lines``: an array of (hash, characters) of the lines with a word.  A row per row of *docs*."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
     df = df.select("doc_id", "source", row_key("doc_id", "source", "text").alias("row_key"), F.xxhash64("text").alias("text_key"), text.alias("text"))
@@ -98,12 +98,12 @@ def _judged(docs: DataFrame) -> DataFrame:
     metrics = stored(base_metrics(docs), "metrics")
     tag = F.coalesce(F.xxhash64("source"), F.lit(7))  # the join key where a null host meets itself
     frequent = _frequent(metrics).select(tag.alias("host"), "hash", F.lit(True).alias("frequent"))
-    lines = metrics.select("doc_id", "row_key", tag.alias("host"), F.explode("lines").alias("line")).select(
-        "doc_id", "row_key", "host", F.col("line.hash").alias("hash"), F.col("line.chars").alias("chars"))
-    lines = lines.groupBy("doc_id", "row_key", "host", "hash").agg(F.sum("chars").alias("chars"), F.count("*").alias("times"))
-    hit = salted_join(lines, frequent, ["host", "hash"], ["doc_id", "row_key"])
-    removed = hit.groupBy("doc_id", "row_key").agg(
-        F.sum("chars").alias("removed_chars"), F.sum("times").alias("n_removed_lines"), F.collect_list("hash").alias("removed"))
+    lines = metrics.select("doc_id", "row_key", tag.alias("host"), F.posexplode("lines").alias("place", "line")).select(
+        "doc_id", "row_key", "host", "place", F.col("line.hash").alias("hash"), F.col("line.chars").alias("chars"))
+    # a repeated row has its lines again at the same places: a place counts once, within the one shuffle that gathers a document's hits
+    hit = salted_join(lines, frequent, ["host", "hash"], ["doc_id", "row_key"]).repartition("doc_id", "row_key")
+    removed = hit.groupBy("doc_id", "row_key", "place").agg(F.first("hash").alias("hash"), F.first("chars").alias("chars")).groupBy("doc_id", "row_key").agg(
+        F.sum("chars").alias("removed_chars"), F.count("*").alias("n_removed_lines"), F.collect_set("hash").alias("removed"))
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
     out = metrics.alias("m").join(removed.alias("r"), (F.col("m.row_key") == F.col("r.row_key")) & F.col("m.doc_id").eqNullSafe(F.col("r.doc_id")), "left")
     out = out.select(

@@ -22,7 +22,6 @@ has none); an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +38,6 @@ LEAF_ROWS = 8192
 WALK_ROWS = 65536
 STEP_BITS = 6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-_WORDS = re.compile(rb"[^ \t-\r]+").finditer
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
 

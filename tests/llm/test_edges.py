@@ -85,6 +85,16 @@ def test_equal_rows_get_equal_results(docs):
         assert len(twins) == 3 and len(set(twins)) == 2
 
 
+def test_a_repeated_row_counts_its_lines_once(spark):
+    """A document of which half goes is not depleted, however often its row is there."""
+    shared, own = "this line stands in all of them and goes everywhere it stands", "own words of text {} come here in one line with some more of them too"
+    rows = [row(i, f"{shared}\n{own.format('n' * i)}\n{' '.join(own.format('m' * i).split()[::-1])}") for i in range(1, 40)]
+    got = {(r.doc_id, r.n_removed_lines, r.depleted) for r in quality.verdicts(spark.createDataFrame(rows + rows[:1] * 5, SCHEMA)).collect()}
+    assert got == {(i, 1, False) for i in range(1, 40)}
+    kept = quality.clean(spark.createDataFrame(rows + rows[:1] * 5, SCHEMA)).where("doc_id = 1").collect()
+    assert len(kept) == 6 and {r.text.count("\n") for r in kept} == {1}
+
+
 def test_simhash_of_nothing_and_ties(docs):
     got = {(r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
     assert {(i, "0" * 16, 2) for i in (2, 3, 4)} <= got  # null, empty and blank texts link
