@@ -271,6 +271,8 @@ class Params:
     classes: list[str] = field(default_factory=list)
     version: int = fv.PREPROCESSING_VERSION
     fitted_on: str = "train"
+    fit_rows: int = 0
+    fit_hash: str = ""
 
     @property
     def surviving(self) -> list[str]:
@@ -278,6 +280,18 @@ class Params:
         return [c for c in self.inputs if c not in gone]
 
 
+def fit_summary(rows: DataFrame, cols: Sequence[str]) -> dict:
+    """Number and order-free hash of the rows a fit reads, as parameters of the fit."""
+    found = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*cols, fv.TARGET).cast("decimal(20,0)")).cast("string").alias("h")).first()
+    return {"fit_rows": found["n"], "fit_hash": found["h"] or "0"}
+
+
+def check_no_leakage(p: Params, train: DataFrame) -> None:
+    """Stop when the parameters were fitted on other rows than those of the train part."""
+    if fit_summary(train, p.inputs) != {"fit_rows": p.fit_rows, "fit_hash": p.fit_hash}:
+        raise ValueError("the parameters were fitted on other rows than the train part")
+
+
 def fit_preprocessor(
     train: DataFrame, cols: Sequence[str], k: int = fv.SELECTED_FEATURES, score=None, method: str = "auto",
 ) -> Params:
@@ -289,7 +303,7 @@ def fit_preprocessor(
     from flowloom.operators.mutual_info import mutual_information
 
     cols = list(cols)
-    p = Params(inputs=cols, classes=fit_label_index(train))
+    p = Params(inputs=cols, classes=fit_label_index(train), **fit_summary(train, cols))
     p.all_null, p.medians = fit_imputer(train, cols, method)
     work = [c for c in cols if c not in p.all_null]
     df = impute(train, p.medians)

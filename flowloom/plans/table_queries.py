@@ -230,7 +230,11 @@ def label_counts(spark, sf_dir):
   l as (select string_agg(concat(lb, '=', n), ';' order by lb) as output_label_counts from (select "Label" as lb, count(*) as n from cleaned group by 1) z)
   select counts.*, d.*, l.*, 'Subflow Fwd Packets' as duplicate_feature_columns_removed, 'Bwd PSH Flags' as all_zero_columns_observed, 3 as version from counts, d, l""")
 def cleaning_audit(spark, sf_dir):
-    audit = cl.clean(raw_rows(spark, sf_dir))[1]
+    return audit_text(cl.clean(raw_rows(spark, sf_dir))[1])
+
+
+def audit_text(audit):
+    """The audit with its map and lists as text."""
     text = F.transform(F.array_sort(F.map_entries("output_label_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return audit.withColumns({
         "output_label_counts": F.array_join(text, ";"), "all_zero_columns_observed": F.array_join("all_zero_columns_observed", ";"),

@@ -10,32 +10,32 @@ from pyspark.sql import Window as W
 from flowloom import fixed_values as fv
 from flowloom.functions.scalar import capture_day
 
-BROADCAST_ROWS = 1_000_000  # about 50 MB of block offsets
 
+def csv_headers(spark: SparkSession, path: str) -> dict[str, tuple[list[str], int]]:
+    """The distinct headers of the CSV files under *path* (names stripped) and their numbers of files, by the first file that has each.
 
-def csv_headers(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Header of every CSV file under *path* (names stripped), by file name."""
-    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path").collect()
-    headers = {}
-    for (file,) in sorted(names):
-        # Spark reads the header line itself; all columns stay text
-        cols = spark.read.option("header", True).option("inferSchema", False).csv(file).columns
-        raw = spark.read.text(file).limit(1).first()
-        headers[file.rsplit("/", 1)[-1]] = [c.strip() for c in raw[0].split(",")] if raw else [c.strip() for c in cols]
-    return headers
+    One distributed job over the files' first blocks; files come together by header, so the driver sees no list of files.
+    """
+    meta = F.col("_metadata")
+    lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path).select(
+        "value", meta.file_path.alias("file"), meta.file_block_start.alias("block"), F.monotonically_increasing_id().alias("id")).filter("block = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("header"))
+    found = first.groupBy("header").agg(F.count("*").alias("files"), F.min("file").alias("file")).collect()
+    return {r["file"].rsplit("/", 1)[-1]: ([c.strip() for c in r["header"].split(",")], r["files"]) for r in sorted(found, key=lambda r: r["file"])}
 
 
 def validate_labelled(
-    headers: dict[str, list[str]], expected_files: int | None = None,
+    headers: dict[str, tuple[list[str], int]], expected_files: int | None = None,
     expected_cols: int | None = None, target: str = fv.TARGET,
 ) -> list[str]:
     """Check file count, column count, equal headers, repeated names and the label column; returns the header."""
-    if expected_files is not None and len(headers) != expected_files:
-        raise ValueError(f"expected {expected_files} CSV files, found {len(headers)}")
+    n_files = sum(n for _, n in headers.values())
+    if expected_files is not None and n_files != expected_files:
+        raise ValueError(f"expected {expected_files} CSV files, found {n_files}")
     if not headers:
         raise ValueError("no CSV files found")
-    first = next(iter(headers.values()))
-    for file, cols in headers.items():
+    first = next(iter(headers.values()))[0]
+    for file, (cols, _) in headers.items():
         repeated = sorted({c for c in cols if cols.count(c) > 1})
         if repeated:
             raise ValueError(f"{file}: repeated column names {repeated}")
@@ -64,9 +64,9 @@ def read_labelled_csv(
         spark.read.schema(schema).option("header", True).option("enforceSchema", True)
         .option("pathGlobFilter", "*.csv").csv(path))
     meta = F.col("_metadata")
-    df = raw.select(*names, meta.file_name.alias("_source_file"), meta.file_block_start.alias("_block"))
+    df = raw.select(*names, meta.file_name.alias("_source_file"), meta.file_path.alias("_path"), meta.file_block_start.alias("_block"))
     df = df.withColumn("_capture_day", capture_day("_source_file"))
-    df = with_source_row(df) if ordinals else df.withColumn("_source_row", F.lit(None).cast("long"))
+    df = with_source_row(df, "_path") if ordinals else df.withColumn("_source_row", F.lit(None).cast("long"))
     features = [n for n in names if n != fv.TARGET]
     return df.select(*features, *fv.PROVENANCE, fv.TARGET)
 
@@ -81,9 +81,8 @@ def with_source_row(df: DataFrame, file_col: str = "_source_file", block_col: st
     blocks = numbered.groupBy(file_col, block_col).agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     earlier = W.partitionBy(file_col).orderBy(block_col).rowsBetween(W.unboundedPreceding, -1)
     blocks = blocks.select(file_col, block_col, "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    # one row per 128 MB of input: broadcast while that is small, so the rows themselves do not move
-    small = blocks.count() <= BROADCAST_ROWS
-    return numbered.join(F.broadcast(blocks) if small else blocks, [file_col, block_col]).withColumn(
+    # one row per block: few enough that adaptive execution broadcasts them and the rows themselves stay where they are
+    return numbered.join(blocks, [file_col, block_col]).withColumn(
         "_source_row", F.col("_before") + F.col("_id") - F.col("_first")).drop("_id", "_first", "_before", block_col)
 
 

@@ -41,7 +41,7 @@ def test_labelled_csv(spark, new_dir):
             files.read_labelled_csv(spark, new_dir, **kw)
     for header in ("A,B,C", "A,A,Label", "A,B,Label"):
         with pytest.raises(ValueError):
-            files.validate_labelled({"x": ["Destination Port", "Flow Duration", "Label"], "y": header.split(",")}, 2, 3)
+            files.validate_labelled({"x": (["Destination Port", "Flow Duration", "Label"], 1), "y": (header.split(","), 1)}, 2, 3)
 
 
 def test_row_numbers_over_many_blocks(spark, new_dir):
