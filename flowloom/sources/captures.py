@@ -1,4 +1,4 @@
-"""Capture files (classic pcap) as a Spark data source: one input partition per byte range of a file list."""
+"""Capture files (pcap and pcapng) as a Spark data source: one input partition per file."""
 
 from __future__ import annotations
 
@@ -21,8 +21,14 @@ _MAGIC = {
     b"\xd4\xc3\xb2\xa1": ("<", False), b"\xa1\xb2\xc3\xd4": (">", False),
     b"\x4d\x3c\xb2\xa1": ("<", True), b"\xa1\xb2\x3c\x4d": (">", True),
 }
+# fixed values: block types and byte-order mark of the newer format
+_SECTION, _INTERFACE, _SIMPLE, _ENHANCED = 0x0A0D0D0A, 1, 3, 6
+_BYTE_ORDER = {b"\x4d\x3c\x2b\x1a": "<", b"\x1a\x2b\x3c\x4d": ">"}
 _ETHERNET, _RAW_IP = 1, (101, 12, 14)
 
+#: Bytes of a protocol's header that are read; a frame that ends before them is an error.
+_LEAST_HEADER = {6: 16, 17: 8, 1: 4}
+
 
 def decode_frame(frame: bytes, link_type: int) -> tuple:
     """(src, dst, sport, dport, proto, ip_len, ip_head, head, payload, flags, window, offset, status) of one frame."""
@@ -50,51 +56,117 @@ def decode_frame(frame: bytes, link_type: int) -> tuple:
         sport = dport = head = flags = window = offset = 0
         body = at + ip_head
         if frag & 0x1FFF == 0:  # only the first fragment carries the transport header
-            if proto == 6 and len(frame) >= body + 16:
+            if proto in _LEAST_HEADER and len(frame) < body + _LEAST_HEADER[proto]:
+                return (*nothing, "error")
+            if proto == 6:
                 sport, dport = struct.unpack_from(">HH", frame, body)
                 offset, flags, window = frame[body + 12] >> 4, frame[body + 13], struct.unpack_from(">H", frame, body + 14)[0]
                 head = offset * 4
-            elif proto == 17 and len(frame) >= body + 8:
+            elif proto == 17:
                 sport, dport = struct.unpack_from(">HH", frame, body)
                 head = 8
-            elif proto == 1 and len(frame) >= body + 4:
+            elif proto == 1:
                 head = 8
         return (src, dst, sport, dport, proto, ip_len, ip_head, head, max(ip_len - ip_head - head, 0), flags, window, offset, "ok")
     except (struct.error, IndexError, OSError):
         return (*nothing, "error")
 
 
+def classic_frames(f, magic: bytes) -> Iterator[tuple[int | None, bytes | None, int]]:
+    """(microseconds, frame, link type) of each packet; a frame of None stands for a packet that is cut off."""
+    order, nano = _MAGIC[magic]
+    head = f.read(20)
+    if len(head) < 20:
+        yield None, None, 0
+        return
+    link_type = struct.unpack(order + "HHiIII", head)[5] & 0xFFFF
+    while record := f.read(16):
+        if len(record) < 16:
+            yield None, None, link_type
+            return
+        sec, frac, size, _ = struct.unpack(order + "IIII", record)
+        frame = f.read(size)
+        yield sec * 1_000_000 + (frac // 1000 if nano else frac), frame if len(frame) == size else None, link_type
+
+
+def _options(body: bytes, order: str) -> dict[int, bytes]:
+    out, at = {}, 0
+    while at + 4 <= len(body):
+        code, size = struct.unpack_from(order + "HH", body, at)
+        if code == 0:
+            break
+        out[code] = body[at + 4:at + 4 + size]
+        at += 4 + size + -size % 4
+    return out
+
+
+def block_frames(f) -> Iterator[tuple[int | None, bytes | None, int]]:
+    """As ``classic_frames``, of the newer format's blocks; simple packets have no time and take that of the packet before."""
+    order, links, last = "<", [], 0
+    f.seek(0)
+    while head := f.read(8):
+        if len(head) == 8 and head[:4] == struct.pack("<I", _SECTION):  # reads the same in both byte orders
+            mark = f.read(4)
+            if mark not in _BYTE_ORDER:
+                yield None, None, 0
+                return
+            order, links = _BYTE_ORDER[mark], []
+            size = struct.unpack(order + "I", head[4:])[0]
+            if size < 16 or len(f.read(size - 12)) < size - 12:
+                yield None, None, 0
+                return
+            continue
+        kind, size = struct.unpack(order + "II", head) if len(head) == 8 else (0, 0)
+        block = f.read(size - 8) if size >= 12 else b""
+        if size < 12 or len(block) < size - 8:
+            yield None, None, 0
+            return
+        body = block[:-4]
+        try:
+            if kind == _INTERFACE:
+                found = _options(body[8:], order)
+                unit = found[9][0] if found.get(9) else 6  # the resolution: a power of ten, or of two with the top bit
+                offset = struct.unpack(order + "q", found[14])[0] if len(found.get(14, b"")) == 8 else 0
+                links.append((struct.unpack_from(order + "H", body)[0], 2 ** (unit & 127) if unit & 128 else 10 ** unit, offset))
+            elif kind == _ENHANCED:
+                interface, high, low, kept = struct.unpack_from(order + "IIII", body)
+                link, ticks, offset = links[interface]
+                last = offset * 1_000_000 + ((high << 32) + low) * 1_000_000 // ticks
+                yield last, body[20:20 + kept] if len(body) >= 20 + kept else None, link
+            elif kind == _SIMPLE:
+                size = struct.unpack_from(order + "I", body)[0]
+                yield last, body[4:4 + size], links[0][0]
+        except (struct.error, IndexError):
+            yield None, None, 0
+
+
 class CaptureFile(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, rank: int):
+        self.path, self.rank = path, rank
 
 
 class CaptureReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = sorted(_glob.glob(options["path"]))
+        self.paths = sorted(_glob.glob(options["path"]), key=lambda p: (p.rsplit("/", 1)[-1], p))
 
     def partitions(self):
         if not self.paths:
             raise FileNotFoundError("no capture files match the path")
-        return [CaptureFile(p) for p in self.paths]
+        return [CaptureFile(p, i) for i, p in enumerate(self.paths)]
 
     def read(self, partition: CaptureFile) -> Iterator[tuple]:
-        name = partition.path.rsplit("/", 1)[-1]
+        name, first = partition.path.rsplit("/", 1)[-1], partition.rank << 40
         with open(partition.path, "rb") as f:
             magic = f.read(4)
-            if magic not in _MAGIC:
-                raise ValueError(f"{name}: not a pcap file")
-            order, nano = _MAGIC[magic]
-            link_type = struct.unpack(order + "HHiIII", f.read(20))[5] & 0xFFFF
-            seq = 0
-            while len(record := f.read(16)) == 16:
-                sec, frac, size, _ = struct.unpack(order + "IIII", record)
-                frame = f.read(size)
-                if len(frame) < size:
-                    return  # the capture was cut off inside a packet
-                at = sec * 1_000_000 + (frac // 1000 if nano else frac)
-                yield (name, seq, at, *decode_frame(frame, link_type))
-                seq += 1
+            if magic in _MAGIC:
+                frames = classic_frames(f, magic)
+            elif magic == struct.pack("<I", _SECTION):
+                frames = block_frames(f)
+            else:
+                frames = iter([(None, None, 0)])
+            for i, (at, frame, link_type) in enumerate(frames):
+                decoded = (None,) * 12 + ("error",) if frame is None else decode_frame(frame, link_type)
+                yield (name, first + i, at, *decoded)
 
 
 class CaptureSource(DataSource):
@@ -115,13 +187,8 @@ def read_captures(spark: SparkSession, glob: str) -> DataFrame:
     ``seq`` numbers packets over all files in file-name order: the file's rank
     in the upper bits, the position in the file below, so no ordering pass is
     needed.  Frames that are not IPv4 or cannot be decoded stay as rows with
-    ``status`` skipped/error.
+    ``status`` skipped/error; a packet that is cut off and a file that is no
+    capture are one error row each.
     """
     spark.dataSource.register(CaptureSource)
     return spark.read.format("capture").option("path", glob).load()
-
-
-def with_global_seq(packets: DataFrame, files: list[str]) -> DataFrame:
-    """Make ``seq`` unique over *files* (base names in arrival order)."""
-    rank = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("file")) - 1
-    return packets.withColumn("seq", rank.cast("long") * (1 << 40) + F.col("seq"))

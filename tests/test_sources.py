@@ -13,7 +13,7 @@ from flowloom.operators.packets import accept_packets
 from flowloom.operators.packets import packet_stats
 from flowloom.plans import views
 from flowloom.sources import files, sinks
-from flowloom.sources.captures import read_captures, with_global_seq
+from flowloom.sources.captures import read_captures
 from tests.test_flows import C, S
 
 SF = "/root/testdata/sf0.001"
@@ -90,12 +90,37 @@ def test_captures(spark, new_dir):
                 f.write(struct.pack(order + "IIII", t // 1_000_000, t % 1_000_000, len(data), len(data)) + data)
     both = read_captures(spark, new_dir + "/*.pcap")
     assert tuple(packet_stats(both).first()) == (20, 16, 2, 2)
-    packets = accept_packets(with_global_seq(both, ["a.pcap", "b.pcap"]).filter("file = 'a.pcap'"))
+    assert both.select("seq").distinct().count() == 20
+    packets = accept_packets(both.filter("file = 'a.pcap'"))
     flows = {r.protocol: r for r in fl.assemble_flows(packets).collect()}
     assert flows[6].packet_count == 7 and flows[6].close_reason == "fin" and flows[6].total_length_of_bwd_packets == 200
     assert flows[6].init_win_bytes_backward == 65535 and flows[17].total_length_of_fwd_packets == 50 and flows[17].fwd_header_length == 28
 
 
+def test_newer_captures_and_damaged_ones(spark, new_dir):
+    data = frame("10.0.0.1", "10.0.0.2", 17, struct.pack(">HHHH", 53000, 53, 58, 0) + b"q" * 50)
+    cut_tcp = frame("10.0.0.1", "10.0.0.2", 6, b"\0" * 10)
+    for name, order in (("a.pcapng", "<"), ("b.pcapng", ">")):
+        def block(kind, body):
+            body += b"\0" * (-len(body) % 4)
+            return struct.pack(order + "II", kind, len(body) + 12) + body + struct.pack(order + "I", len(body) + 12)
+        packet = lambda i, t, d: block(6, struct.pack(order + "IIIII", i, t >> 32, t & 0xFFFFFFFF, len(d), len(d)) + d)
+        nano = struct.pack(order + "HH", 9, 1) + bytes([9, 0, 0, 0]) + struct.pack(order + "HH", 0, 0)
+        whole = (block(0x0A0D0D0A, struct.pack(order + "IHHq", 0x1A2B3C4D, 1, 0, -1)) + block(1, struct.pack(order + "HHI", 1, 0, 0))
+                 + block(1, struct.pack(order + "HHI", 1, 0, 0) + nano) + packet(0, 5_000_000, data) + block(5, b"\0" * 12)
+                 + packet(1, 7_000_000_000, cut_tcp) + block(3, struct.pack(order + "I", len(data)) + data))
+        with open(f"{new_dir}/{name}", "wb") as f:
+            f.write(whole + packet(0, 9_000_000, data)[:30])
+    with open(f"{new_dir}/c.pcap", "wb") as f:
+        f.write(struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1) + struct.pack("<IIII", 1, 2, len(data), len(data)) + data[:20])
+    with open(f"{new_dir}/d.pcap", "wb") as f:
+        f.write(b"no capture")
+    got = [(r.file, r.seq & 0xFF, r.timestamp_us, r.src_port, r.status) for r in read_captures(spark, new_dir + "/*").orderBy("seq").collect()]
+    one = [(0, 5_000_000, 53000, "ok"), (1, 7_000_000, None, "error"), (2, 7_000_000, 53000, "ok"), (3, None, None, "error")]
+    assert got == [("a.pcapng", *r) for r in one] + [("b.pcapng", *r) for r in one] + [("c.pcap", 0, 1_000_002, None, "error"), ("d.pcap", 0, None, None, "error")]
+    assert tuple(packet_stats(read_captures(spark, new_dir + "/*")).first()) == (10, 4, 0, 6)
+
+
 def test_log_appends_once(spark, new_dir):
     rows = views.attack_log_v(spark, SF).select(*[F.col(c) for c in (
         "attack_type", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "confidence", "is_attack", "flow_id")], F.col("timestamp_utc").cast("double"))
