@@ -11,7 +11,9 @@ import heapq
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -140,14 +142,20 @@ def _normalised(df: DataFrame, keep: Sequence[str], scores: list[Column]) -> Dat
     return df.select(*keep, F.array(*[F.coalesce(F.try_divide(s, total), even) for s in scores]).alias("probability"))
 
 
+def _per_class(df: DataFrame, fit: Callable[[int], object], n_classes: int, parallel: int) -> list:
+    """*fit* of every class; up to *parallel* of them have their jobs on the cluster at once, so that small jobs don't leave it idle."""
+    with ThreadPool(max(1, min(parallel, n_classes))) as pool:
+        return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_classes))
+
+
 def fit_boosted_trees(train: DataFrame, n_classes: int, rounds: int = 220, depth: int = 8, rate: float = 0.1,
-                      subsample: float = 0.8, seed: int = fv.SEED) -> OneVersusRest:
+                      subsample: float = 0.8, seed: int = fv.SEED, parallel: int = 4) -> OneVersusRest:
     """Gradient-boosted trees, one binary ensemble per class, balanced weights."""
     rows = _ready(with_balanced_weight(train)).persist()
     try:
         learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
                                 featureSubsetStrategy="0.8", weightCol="weight", seed=seed)
-        models = [learner.fit(rows.withColumn("label", (F.col("y") == i).cast("double"))) for i in range(n_classes)]
+        models = _per_class(rows, lambda i: learner.fit(rows.withColumn("label", (F.col("y") == i).cast("double"))), n_classes, parallel)
     finally:
         rows.unpersist()
     return OneVersusRest(models, n_classes)
@@ -187,27 +195,30 @@ class CalibratedSvm:
         return out.select(*df.columns, F.array(*mean).alias("probability"))
 
 
-def fit_linear_svm(train: DataFrame, n_classes: int, folds: int = 3, iterations: int = 100, reg: float = 1e-4, seed: int = fv.SEED) -> CalibratedSvm:
+def _calibrated_class(fit_part: DataFrame, held: DataFrame, i: int, iterations: int, reg: float) -> tuple[list[float], float, float, float]:
+    """Coefficients and intercept of class *i* against the rest, slope and shift of the sigmoid over the held margins."""
+    binary = lambda d: d.withColumn("label", (F.col("y") == i).cast("double"))
+    share = fit_part.agg(F.avg((F.col("y") == i).cast("double"))).first()[0] or 0.0
+    w = F.when(F.col("label") == 1, 0.5 / max(share, 1e-12)).otherwise(0.5 / max(1 - share, 1e-12))
+    svm = LinearSVC(maxIter=iterations, regParam=reg, weightCol="weight").fit(binary(fit_part).withColumn("weight", w))
+    margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
+    scored = svm.transform(binary(held)).select(margin.alias("margin"), "label")
+    sigmoid = LogisticRegression(featuresCol="margin", maxIter=50).fit(scored)
+    flat = sigmoid.numClasses == 2
+    slope = float(sigmoid.coefficients[0]) if flat else 0.0
+    shift = float(sigmoid.intercept) if flat else -50.0
+    return [float(c) for c in svm.coefficients], float(svm.intercept), slope, shift
+
+
+def fit_linear_svm(train: DataFrame, n_classes: int, folds: int = 3, iterations: int = 100, reg: float = 1e-4, seed: int = fv.SEED,
+                   parallel: int = 4) -> CalibratedSvm:
     """Linear SVM per class, calibrated on the fold left out; folds by row hash."""
     rows = _ready(train).withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *train.columns), F.lit(folds))).persist()
     out = []
     try:
         for f in range(folds):
             fit_part, held = rows.filter(F.col("_fold") != f), rows.filter(F.col("_fold") == f)
-            classes = []
-            for i in range(n_classes):
-                binary = lambda d: d.withColumn("label", (F.col("y") == i).cast("double"))
-                share = fit_part.agg(F.avg((F.col("y") == i).cast("double"))).first()[0] or 0.0
-                w = F.when(F.col("label") == 1, 0.5 / max(share, 1e-12)).otherwise(0.5 / max(1 - share, 1e-12))
-                svm = LinearSVC(maxIter=iterations, regParam=reg, weightCol="weight").fit(binary(fit_part).withColumn("weight", w))
-                margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
-                scored = svm.transform(binary(held)).select(margin.alias("margin"), "label")
-                sigmoid = LogisticRegression(featuresCol="margin", maxIter=50).fit(scored)
-                flat = sigmoid.numClasses == 2
-                slope = float(sigmoid.coefficients[0]) if flat else 0.0
-                shift = float(sigmoid.intercept) if flat else -50.0
-                classes.append(([float(c) for c in svm.coefficients], float(svm.intercept), slope, shift))
-            out.append(classes)
+            out.append(_per_class(rows, lambda i: _calibrated_class(fit_part, held, i, iterations, reg), n_classes, parallel))
     finally:
         rows.unpersist()
     return CalibratedSvm(out, n_classes)
