@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,9 +34,25 @@ def _page_filter(attack_type: str | None, only_attacks: bool) -> Column:
     return _is_attack() if only_attacks else F.lit(True)
 
 
+def _newest_days(rows: DataFrame, n: int) -> DataFrame:
+    """*rows* without the days that the *n* newest can't be in, where the log has a ``day`` to prune by.
+
+    Rows are counted per day, which reads no column but those filtered by; one
+    more day stays, for writers in other time zones.
+    """
+    if dict(rows.dtypes).get("day") != "date":
+        return rows
+    found = 0
+    for day, count in rows.groupBy("day").count().filter("day is not null").orderBy(F.desc("day")).toLocalIterator():  # a row per day
+        found += count
+        if found >= n:
+            return rows.filter(F.col("day") >= F.lit(day - timedelta(days=1)))
+    return rows
+
+
 def attack_history(log: DataFrame, limit: int = 50, offset: int = 0, attack_type: str | None = None, only_attacks: bool = False) -> DataFrame:
     """One page of the log, newest first (ties by id)."""
-    page = log.filter(_page_filter(attack_type, only_attacks))
+    page = _newest_days(log.filter(_page_filter(attack_type, only_attacks)), offset + limit)
     return page.orderBy(F.desc("timestamp_utc"), F.desc("id")).offset(offset).limit(limit)
 
 
@@ -87,7 +105,7 @@ def report_top_attackers(log: DataFrame, n: int = 10) -> DataFrame:
 
 def recent(log: DataFrame, n: int = 10, only_attacks: bool = False) -> DataFrame:
     rows = log.filter(_is_attack()) if only_attacks else log
-    return rows.orderBy(F.desc("timestamp_utc"), F.desc("id")).limit(n)
+    return _newest_days(rows, n).orderBy(F.desc("timestamp_utc"), F.desc("id")).limit(n)
 
 
 def feed(log: DataFrame, n: int = 50) -> DataFrame:
@@ -106,7 +124,7 @@ def level_of(count: Column) -> Column:
 
 def as_of_or_latest(log: DataFrame, as_of: float | None) -> float | None:
     """The evaluation time: *as_of*, else the latest log time (one scalar, so that it reaches the scan as a literal)."""
-    return as_of if as_of is not None else log.agg(F.max("timestamp_utc")).first()[0]
+    return as_of if as_of is not None else _newest_days(log, 1).agg(F.max("timestamp_utc")).first()[0]
 
 
 def _in_window(now: float | None, seconds: int = fv.THREAT_WINDOW_S) -> Column:
@@ -115,10 +133,17 @@ def _in_window(now: float | None, seconds: int = fv.THREAT_WINDOW_S) -> Column:
     return _is_attack() & (F.col("timestamp_utc") >= now - seconds)
 
 
+def _days_of_window(log: DataFrame, now: float | None, seconds: int = fv.THREAT_WINDOW_S) -> DataFrame:
+    """*log* from the day before the window's on, where it has a ``day``; the day more is for writers in other time zones."""
+    if now is None or dict(log.dtypes).get("day") != "date":
+        return log
+    return log.filter(F.col("day") >= F.lit(datetime.fromtimestamp(now - seconds, timezone.utc).date() - timedelta(days=1)))
+
+
 def threat_level(log: DataFrame, as_of: float | None = None) -> DataFrame:
     """Attacks in the last 60 s before *as_of* (default: the latest log time) and the level."""
     now = as_of_or_latest(log, as_of)
-    row = log.filter(_in_window(now)).agg(F.count("*").alias("attacks_60s"))
+    row = _days_of_window(log, now).filter(_in_window(now)).agg(F.count("*").alias("attacks_60s"))
     return row.withColumn("threat_level", level_of(F.col("attacks_60s")))
 
 

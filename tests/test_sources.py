@@ -142,3 +142,22 @@ def test_exports(spark, new_dir):
     assert lines[0] == "Time,Type,Source,Destination,Proto,Confidence" and len(lines) == log.count() + 1 and any('"a,b"' in x for x in lines)
     sinks.write_predictions_jsonl(log, new_dir + "/jsonl", max_flows=7)
     assert spark.read.json(new_dir + "/jsonl").count() == 7
+
+
+def test_log_reads_its_newest_days_only(spark, new_dir):
+    from flowloom.operators import log as lg
+
+    day = 86_400
+    rows = spark.range(0, 400).select(
+        F.lit("DDoS").alias("attack_type"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(1).alias("src_port"),
+        F.lit(2).alias("dst_port"), F.lit(6).alias("protocol"), F.lit(0.9).alias("confidence"), (F.col("id") % 2).cast("int").alias("is_attack"),
+        F.col("id").cast("string").alias("flow_id"), (F.col("id") * (day / 10.0)).alias("timestamp_utc"))  # ten rows a day
+    sinks.append_predictions(rows, new_dir, 0, "a")
+    log = sinks.read_log(spark, new_dir)
+    plain = log.drop("day")
+    for ask in (lambda d: lg.recent(d, 7), lambda d: lg.recent_attacks(d, 12), lambda d: lg.attack_history(d, 5, 20), lg.threat_level, lambda d: lg.threat_level(d, as_of=39.5 * day)):
+        got = ask(log)
+        assert got.drop("day").collect() == ask(plain).collect()
+        filters = got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
+        assert "day" in filters and ">=" in filters
+    assert lg.recent(log, 1000).count() == 400 and lg.threat_level(log.limit(0)).first().threat_level == "SAFE"
