@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 
 from flowloom import fixed_values as fv
 from flowloom.functions.scalar import finite_number
-from flowloom.operators.running import ordered_chunks, smallest_by_hash
+from flowloom.operators.running import smallest_by_hash
 
 
 def _names(cols: Sequence[str]) -> list[str]:
@@ -74,65 +74,106 @@ def apply_label_index(df: DataFrame, labels: Sequence[str], label: str = fv.TARG
 
 # --- exact quantiles ------------------------------------------------------------------
 
-BUILTIN_QUANTILE_ROWS = 20_000_000
+#: A sketch's rank error is at most one in so many.
+ACCURACY = 10_000
+#: Values left inside a bracket that are sorted rather than bracketed again.
+FEW = 10_000
+#: Expressions of one aggregate; more take another pass.
+EXPRESSIONS = 600
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], method: str = "auto") -> dict[str, list[float | None]]:
-    """Exact linear-interpolated quantiles per column.
+def _one_row(df: DataFrame, exprs: dict) -> dict:
+    """Values of the aggregates *exprs* (key -> column), at most EXPRESSIONS of them a pass."""
+    keys = list(exprs)
+    out = {}
+    for lo in range(0, len(keys), EXPRESSIONS):
+        part = keys[lo:lo + EXPRESSIONS]
+        out.update(zip(part, df.agg(*[exprs[k].alias(f"e{i}") for i, k in enumerate(part)]).first()))
+    return out
+
+
+@dataclass
+class _Bracket:
+    """Values between *lo* and *hi*, both left out: sorted, they have the positions *first* to *last* - 1 of their column."""
+
+    column: str
+    lo: float | None
+    hi: float | None
+    first: int
+    last: int
+
+    @property
+    def key(self):
+        return self.column, self.lo, self.hi
+
+    def inside(self) -> Column:
+        value = F.col(self.column).cast("double")
+        kept = value.isNotNull()
+        kept = kept if self.lo is None else kept & (value > self.lo)
+        return F.when(kept if self.hi is None else kept & (value < self.hi), value)
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], accuracy: int = ACCURACY, few: int = FEW) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles per column, by bracketing.
 
-    ``builtin`` keeps the distinct values of a column in one task, fine for
-    millions of rows.  ``ranked`` counts values, orders the counts in balanced
-    range partitions and reads the wanted ranks off cumulative counts, so
-    memory does not grow with the data.  ``auto`` decides by row count.
+    A sketch proposes values around each wanted position; counts of the smaller
+    and of the equal values then either hit the position or narrow its bracket,
+    which the next round looks into.  Once at most *few* values are inside, they
+    are sorted.  All passes are aggregates with buffers of bounded size: nothing
+    is exploded or shuffled by value.  A round takes two passes and leaves about
+    a share of 2 / *accuracy* of the values.
     """
     cols = list(cols)
     if not cols:
         return {}
-    if method == "auto":
-        method = "builtin" if df.count() <= BUILTIN_QUANTILE_ROWS else "ranked"
-    if method == "builtin":
-        row = df.agg(*[F.percentile(c, F.array(*[F.lit(p) for p in probs])).alias(c) for c in cols]).first()
-        return {c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in cols}
-    return _ranked_quantiles(df, cols, probs)
-
-
-def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Rows per (feature, value), NULLs left out."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in cols])).alias("e")).select("e.*")
-    return long.filter("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-
-
-def _ranked_quantiles(df, cols, probs):
-    chunks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = ordered_chunks(value_counts(df, cols), ["feature", "value"], chunks)
-    totals = counts.groupBy("feature", "_chunk").agg(F.sum("n").alias("t"))
-    sizes = {r["feature"]: r["n"] for r in totals.groupBy("feature").agg(F.sum("t").alias("n")).collect()}
-    earlier = W.partitionBy("feature").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("feature", "_chunk", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("o"))
-    inside = W.partitionBy("feature", "_chunk").orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    ranked = counts.withColumn("hi", F.sum("n").over(inside)).join(offsets, ["feature", "_chunk"]).select(
-        "feature", "value", (F.col("hi") + F.col("o")).alias("hi"), (F.col("hi") + F.col("o") - F.col("n")).alias("lo"))
-    ranks = sorted({(c, k) for c, n in sizes.items() for p in probs for k in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}})
-    wanted = df.sparkSession.createDataFrame(ranks, "feature string, k long")  # two per feature and quantile
-    hits = ranked.join(F.broadcast(wanted), "feature").filter("lo <= k and k < hi").select("feature", "k", "value").collect()
-    at = {(r["feature"], r["k"]): r["value"] for r in hits}
+    sizes = _one_row(df, {c: F.count(c) for c in cols})
+    found: dict[tuple[str, int], float] = {}
+    wanted = {(c, k): _Bracket(c, None, None, 0, n) for c, n in sizes.items() if n
+              for p in probs for k in {math.floor((n - 1) * p), math.ceil((n - 1) * p)}}
+    while wanted:
+        small = {b.key: F.sort_array(F.collect_list(b.inside())) for b in wanted.values() if b.last - b.first <= few}
+        values = _one_row(df, small) if small else {}
+        for (c, k), b in list(wanted.items()):
+            if b.key in values:
+                found[c, k] = values[b.key][k - b.first]
+                del wanted[c, k]
+        if not wanted:
+            break
+        shares: dict[tuple, set[float]] = {}
+        for (c, k), b in wanted.items():
+            at = (k - b.first + 0.5) / (b.last - b.first)
+            shares.setdefault(b.key, set()).update(min(1.0, max(0.0, at + e / accuracy)) for e in (-1, 0, 1))
+        by_key = {b.key: b for b in wanted.values()}
+        pivots = _one_row(df, {key: F.approx_percentile(by_key[key].inside(), F.array(*[F.lit(x) for x in sorted(s)]), accuracy) for key, s in shares.items()})
+        points = {(key[0], v) for key, found_here in pivots.items() for v in found_here}
+        ranks = _one_row(df, {(c, v, strict): F.count_if(F.col(c) < v if strict else F.col(c) <= v) for c, v in points for strict in (True, False)})
+        for (c, k), b in list(wanted.items()):
+            lo, hi, first, last = b.lo, b.hi, b.first, b.last
+            for v in sorted(set(pivots[b.key])):
+                less, upto = ranks[c, v, True], ranks[c, v, False]
+                if less <= k < upto:
+                    found[c, k] = v
+                elif upto <= k:
+                    lo, first = v, upto
+                elif less < last:
+                    hi, last = v, less
+            if (c, k) in found:
+                del wanted[c, k]
+            else:
+                wanted[c, k] = _Bracket(c, lo, hi, first, last)
     out = {}
     for c in cols:
-        n = sizes.get(c, 0)
-        out[c] = []
-        for p in probs:
-            pos = (n - 1) * p
-            lo, hi = math.floor(pos), math.ceil(pos)
-            out[c].append(None if n == 0 else at[c, lo] + (at[c, hi] - at[c, lo]) * (pos - lo))
+        n = sizes[c]
+        at = [(n - 1) * p for p in probs]
+        out[c] = [None if n == 0 else found[c, math.floor(x)] + (found[c, math.ceil(x)] - found[c, math.floor(x)]) * (x - math.floor(x)) for x in at]
     return out
 
 
 # --- fitting, one stage after the other -----------------------------------------------------
 
-def fit_imputer(train: DataFrame, cols: Sequence[str], method: str = "auto") -> tuple[list[str], dict[str, float]]:
+def fit_imputer(train: DataFrame, cols: Sequence[str]) -> tuple[list[str], dict[str, float]]:
     """(columns without any value, exact medians of the others)."""
-    medians = {c: v[0] for c, v in exact_quantiles(train, cols, [0.5], method).items()}
+    medians = {c: v[0] for c, v in exact_quantiles(train, cols, [0.5]).items()}
     return [c for c in cols if medians[c] is None], {c: m for c, m in medians.items() if m is not None}
 
 
@@ -188,11 +229,11 @@ def apply_log1p(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.log1p(F.greatest(F.col(c), F.lit(0.0))) for c in cols})
 
 
-def fit_clip(train: DataFrame, cols: Sequence[str], quantiles=fv.CLIP_QUANTILES, method: str = "auto") -> dict[str, tuple[float, float]]:
+def fit_clip(train: DataFrame, cols: Sequence[str], quantiles=fv.CLIP_QUANTILES) -> dict[str, tuple[float, float]]:
     """Clip bounds of the continuous columns (after the log step)."""
     cols = [c for c in cols if fv.DISPLAY_NAMES.get(c, c) not in fv.NEVER_LOGGED]
     many = distinct_more_than(train, cols)
-    found = exact_quantiles(train, [c for c in cols if many[c]], quantiles, method)
+    found = exact_quantiles(train, [c for c in cols if many[c]], quantiles)
     return {c: (v[0], v[1]) for c, v in found.items()}
 
 
@@ -229,9 +270,9 @@ def select_k_best(scores: DataFrame, k: int = fv.SELECTED_FEATURES) -> DataFrame
     return scores.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k)
 
 
-def fit_robust(train: DataFrame, cols: Sequence[str], quantiles=fv.SCALE_QUANTILES, method: str = "auto") -> dict[str, tuple[float, float]]:
+def fit_robust(train: DataFrame, cols: Sequence[str], quantiles=fv.SCALE_QUANTILES) -> dict[str, tuple[float, float]]:
     """(median, interquartile range) per column; a zero range becomes 1."""
-    found = exact_quantiles(train, cols, [quantiles[0], 0.5, quantiles[1]], method)
+    found = exact_quantiles(train, cols, [quantiles[0], 0.5, quantiles[1]])
     return {c: (mid, (hi - lo) or 1.0) for c, (lo, mid, hi) in found.items()}
 
 
@@ -293,7 +334,7 @@ def check_no_leakage(p: Params, train: DataFrame) -> None:
 
 
 def fit_preprocessor(
-    train: DataFrame, cols: Sequence[str], k: int = fv.SELECTED_FEATURES, score=None, method: str = "auto",
+    train: DataFrame, cols: Sequence[str], k: int = fv.SELECTED_FEATURES, score=None,
 ) -> Params:
     """Fit every stage on *train* (columns of doubles plus ``Label``), each on the output of the stage before.
 
@@ -304,14 +345,14 @@ def fit_preprocessor(
 
     cols = list(cols)
     p = Params(inputs=cols, classes=fit_label_index(train), **fit_summary(train, cols))
-    p.all_null, p.medians = fit_imputer(train, cols, method)
+    p.all_null, p.medians = fit_imputer(train, cols)
     work = [c for c in cols if c not in p.all_null]
     df = impute(train, p.medians)
     p.constants = fit_constants(df, work)
     work = [c for c in work if c not in p.constants]
     p.logged = fit_log_columns(df, work)
     df = apply_log1p(df, p.logged)
-    p.clip = fit_clip(df, work, method=method)
+    p.clip = fit_clip(df, work)
     df = apply_clip(df, p.clip)
     p.correlated = fit_correlated(df, work)
     work = [c for c in work if c not in p.correlated]
@@ -324,7 +365,7 @@ def fit_preprocessor(
         p.selected = [c for c in work if c in chosen]
     else:
         p.selected = work
-    p.scale = fit_robust(df, p.selected, method=method)
+    p.scale = fit_robust(df, p.selected)
     return p
 
 

@@ -68,17 +68,18 @@ def test_fits(spark):
     assert pr.log_column_stats(d, ["flow_duration"])["flow_duration"]["skew"] == pytest.approx(s.skew())
 
 
-def test_quantiles_both_ways(spark):
+def test_quantiles_by_brackets(spark):
     rng = np.random.default_rng(0)
     pdf = pd.DataFrame({"x": np.round(rng.exponential(size=3000), 2), "y": rng.integers(0, 3, 3000).astype(float)})
     pdf.loc[::7, "x"] = np.nan
     pdf.loc[:999, "y"] = 1.0  # one value holds a third of the rows
     df = spark.createDataFrame(pdf).select(*[F.when(~F.isnan(c), F.col(c)).alias(c) for c in pdf.columns])
     probs = [0.0, 0.001, 0.25, 0.5, 0.75, 0.999, 1.0]
-    for method in ("builtin", "ranked"):
-        got = pr.exact_quantiles(df, ["x", "y"], probs, method)
+    for bounds in ((10_000, 10_000), (10_000, 5), (20, 5)):
+        got = pr.exact_quantiles(df, ["x", "y"], probs, *bounds)
         for c in ("x", "y"):
-            assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist()), (method, c)
+            assert got[c] == pytest.approx(pdf[c].quantile(probs).tolist()), (bounds, c)
+    assert pr.exact_quantiles(df.limit(0), ["x"], [0.5]) == {"x": [None]}
 
 
 def test_running_total(spark):
