@@ -128,8 +128,9 @@ def port_scan_candidates(spark, sf_dir):
     return ru.port_scan_candidates(ru.port_scan_probes(views.scan_flows_v(spark, sf_dir)))
 
 
-ALERTS = f"""with recursive {vs.SCAN}, p as (select src_ip, dst_port, end_us, flow_no,
-    row_number() over (partition by src_ip order by end_us, dst_port, flow_no) as rn from probes),
+def _scan_walk(ids: str) -> str:
+    """CTEs over ``probes`` (sources, ports, times and *ids*): the alerts of each source one after the other, as ``scan_hits``."""
+    return f"""p as (select src_ip, dst_port, end_us, {ids}, row_number() over (partition by src_ip order by end_us, dst_port, {ids}) as rn from probes),
   walk as (
     select src_ip, cast(1 as bigint) as start, cast(null as bigint) as hit, cast(null as bigint) as ports from p where rn = 1
     union all
@@ -138,8 +139,12 @@ ALERTS = f"""with recursive {vs.SCAN}, p as (select src_ip, dst_port, end_us, fl
         select a.src_ip, b.rn, b.end_us, count(distinct e.dst_port) as ports from walk a
         join p b on b.src_ip = a.src_ip and b.rn >= a.start
         join p e on e.src_ip = a.src_ip and e.rn between a.start and b.rn and e.end_us >= b.end_us - 1500000
-        where a.start is not null group by a.src_ip, b.rn, b.end_us having count(distinct e.dst_port) >= 5) c group by c.src_ip) n)
-  select p.src_ip, p.dst_port, p.end_us, p.flow_no, walk.ports from walk join p on p.src_ip = walk.src_ip and p.rn = walk.hit"""
+        where a.start is not null group by a.src_ip, b.rn, b.end_us having count(distinct e.dst_port) >= 5) c group by c.src_ip) n),
+  scan_hits as (select p.src_ip, p.dst_port, p.end_us, {", ".join(f"p.{i.strip()}" for i in ids.split(","))}, walk.ports
+    from walk join p on p.src_ip = walk.src_ip and p.rn = walk.hit)"""
+
+
+ALERTS = f"with recursive {vs.SCAN}, {_scan_walk('flow_no')} select * from scan_hits"
 
 
 @query(ALERTS)
@@ -182,14 +187,30 @@ def filter_then_rules(spark, sf_dir):
     return rounded(out.select(*FID, "bypass_reason", "decision", "label", "is_attack", "confidence", "error"))
 
 
-@query()
+# the cascade: rows of ``judged`` that are open feed the port-scan memory, whose alerts come before the other rules
+_CASCADE = f"""probes as (select * from judged where not (is_attack and confidence >= 0.8) and protocol = 6 and src_ip <> '' and dst_port > 0
+    and dst_port not in (80, 443, 53, 3001, 8000, 5173, 137, 138, 1900, 5353, 5355)
+    and total_backward_packets = 0 and total_fwd_packets <= 2 and total_length_of_fwd_packets = 0 and ack_flag_count = 0),
+  {_scan_walk(_fid)},
+  ruled as (select j.*, h.ports as scan_ports, case when h.ports is not null then 'PortScan' else {_RULE} end as rule
+    from judged j left join (select {_fid}, ports from scan_hits) h using ({_fid})), {_DECIDED}"""
+_CASCADE_OUT = _OUT.replace("(case when rule = 'BruteForce'", """(case when rule = 'PortScan'
+      then concat('Rule: PortScan detected (', scan_ports, ' distinct ports targeted by ', src_ip, ')') when rule = 'BruteForce'""")
+
+
+@query(f"""with recursive {_MIXED_LIVE}, {_SCORED}, judged as (select *, '' as error_in from scored), {_CASCADE}
+  select {_fid}, decision, {_CASCADE_OUT} from decided""")
 def detect(spark, sf_dir):
     """Threshold, port-scan memory and rules over scored flows."""
     out = ru.detect(scored_flows(spark, sf_dir))
     return rounded(out.select(*FID, "decision", "label", "is_attack", "confidence", "error"))
 
 
-@query()
+@query(f"""with recursive {_MIXED_LIVE}, {_FILTER}, judged as (select *, 'BENIGN' as label, false as is_attack, 1.0::double as confidence,
+    coalesce(bypass_reason, '') as error_in from filtered), {_CASCADE},
+  o as (select {_CASCADE_OUT}, src_ip, dst_ip, src_port, dst_port, protocol, end_us from decided)
+  select label as attack_type, src_ip, dst_ip, src_port, dst_port, protocol, confidence, cast(is_attack as int) as is_attack,
+    concat(src_ip, ':', src_port, '-', dst_ip, ':', dst_port, '-', protocol) as flow_id, ((end_us + 50) // 100) / 1e4 as timestamp_utc from o""")
 def run_detection(spark, sf_dir):
     """The whole cascade without a model, down to log rows."""
     out = ru.run_detection(mixed_flows(spark, sf_dir, "live"))

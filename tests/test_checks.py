@@ -10,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 # one or two per group; the full set is run by the driver
 NAMES = [
     "transport_fields", "flow_key", "segment_flows_replay", "segment_flows_live", "features_mixed_protocols", "active_bursts", "hot_key_flows",
-    "traffic_filter", "special_ip", "apply_threshold", "apply_rules", "rule_override", "port_scan_candidates", "flagship", "attack_history",
+    "traffic_filter", "special_ip", "apply_threshold", "apply_rules", "rule_override", "detect", "run_detection", "port_scan_candidates", "flagship", "attack_history",
     "attack_summary", "threat_level_series", "dashboard_status", "report_recommendations", "security_context", "running_counts", "dedup_alerts",
     "throttle_alerts", "alert_messages", "display_columns", "display_numbers", "repair_counts", "cleaning_audit", "stratified_split",
     "class_aware_subset", "transform", "classification_report", "confidence_histogram", "stream_traffic_stats",
