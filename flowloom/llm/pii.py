@@ -32,6 +32,7 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)").match
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+").match
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]{0,30}\Z")
+_LOGIN = re.compile(r"[^\s<>\"'`|\\^{}/?#]*@").match  # credentials before the host
 _REST = re.compile(r"[^\s<>\"'`|\\^{}]+").match
 _AFTER = re.compile(r"\s*(?:number|no\.?|nr\.?|#)?\s*[:=#]?\s*", re.IGNORECASE).match
 _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])").match
@@ -87,6 +88,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(BASE, 0)  # where the last match of each base kind ended
+    past = dict.fromkeys(("url", "secret"), 0)  # these run to the next space: none is looked for inside another, so a text is read once
     for last, (anchor, width) in _anchors().iter(low):
         at = last - width + 1
         if anchor == "digit":
@@ -111,14 +113,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 if 8 <= len(_digits(m[0])) <= 15:
                     found["phone"].append(m.span())
         elif anchor == "scheme":
-            m, rest = _SCHEME.search(text, max(0, at - 32), at), _REST(text, last + 1)
-            if m and rest and "@" in re.split("[/?#]", rest[0])[0]:  # credentials before the host
+            if at >= past["url"] and _LOGIN(text, last + 1) and (m := _SCHEME.search(text, max(0, at - 32), at)):
+                rest = _REST(text, last + 1)
+                past["url"] = rest.end()
                 found["url"].append((m.start(), last + 1 + len(rest[0].rstrip(".,;:!?)]"))))
         elif anchor == "key":
             if (at == 0 or not text[at - 1].isalnum()) and (m := _KEY_ID(text, at)):
                 found["secret"].append(m.span())
         elif anchor == "secret":
-            if m := _VALUE(text, last + 1):
+            if at >= past["secret"] and (m := _VALUE(text, last + 1)):
+                past["secret"] = m.end()
                 found["secret"].append(m.span(2))
         else:
             if (at and text[at - 1].isalpha()) or (last + 1 < len(text) and text[last + 1].isalpha()):
