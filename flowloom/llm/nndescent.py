@@ -33,9 +33,7 @@ WINDOW, STEP = 64, 32
 #: Rounds of refinement end when less than this share of list places changes.
 CHANGED = 0.02
 MAX_REFINEMENTS = 4
-#: Members of a centre that are introduced to one another at once.
-CENTRE = 64
-#: Side of the blocks in which a saturated node meets its component.
+#: Side of the blocks in which a saturated node meets its component, and the members of a hot centre one another.
 BLOCK = 256
 AUDIT_QUERIES = 512
 AUDIT_RECALL = 0.98
@@ -155,9 +153,15 @@ def _ordered_neighbours(nodes: DataFrame, orderings: range) -> DataFrame:
 
 def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of the k largest entries of each row beside the diagonal."""
-    n = len(sims)
     np.fill_diagonal(sims, -2)
-    k = min(k, n - 1)
+    return _largest(sims, min(k, len(sims) - 1))
+
+
+def _largest(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k largest entries of each row."""
+    n, k = len(sims), min(k, sims.shape[1])
+    if not n or not k:
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
     cols = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     rows = np.repeat(np.arange(n), k)
     cols = cols.ravel()
@@ -183,35 +187,48 @@ def _lists(edges: DataFrame) -> DataFrame:
     return edges.repartition("u").sortWithinPartitions("u").mapInArrow(top, "u long, v long, s double")
 
 
+def _block_pairs(members: DataFrame) -> DataFrame:
+    """Each row goes to the pairs (a, b), a <= b, that its own one of *columns* blocks makes, so every two members of a key meet in one pair."""
+    out = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("columns")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)))
+    return out.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")}).drop("other", "columns")
+
+
 def _introduce(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     """Better neighbours that the members of each node's surroundings are to one another: (u, v, s)."""
     worst = lists.groupBy("u").agg(F.min("s").alias("worst"), F.count("*").alias("n")).select(
         F.col("u").alias("node"), F.when(F.col("n") >= LIST, F.col("worst")).otherwise(-2.0).alias("worst"))
-    around = (lists.select(F.col("u").alias("centre"), F.col("v").alias("node"))
-              .unionByName(lists.select(F.col("v").alias("centre"), F.col("u").alias("node")))
-              .distinct().unionByName(nodes.select(F.col("node").alias("centre"), "node")))
+    around = stored(lists.select(F.col("u").alias("centre"), F.col("v").alias("node"))
+                    .unionByName(lists.select(F.col("v").alias("centre"), F.col("u").alias("node")))
+                    .distinct().unionByName(nodes.select(F.col("node").alias("centre"), "node")), "around")
+    # a centre that many list is hot: its members are dealt as block pairs, any other's go to one task
+    hot = around.groupBy("centre").count().where(F.col("count") > BLOCK).select("centre", F.ceil(F.col("count") / BLOCK).cast("int").alias("columns"))
+    pairs = _block_pairs(salted_join(around, hot, ["centre"], ["node"], "left").withColumn("columns", F.coalesce("columns", F.lit(1))))
     known = nodes.select("node", "vec").join(worst, "node", "left").select("node", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec")
-    full = salted_join(around, known, ["node"], ["centre"]).select("centre", "node", "worst", "vec")
+    full = salted_join(pairs, known, ["node"], ["centre"]).select("centre", "a", "b", "own", "node", "worst", "vec")
 
     def meet(batches):
-        for t in _whole_runs(batches, 1, ROWS):
-            centre, node, worst_ = (t.column(i).to_numpy() for i in range(3))
-            unit = _units(t.column(3))
+        for t in _whole_runs(batches, 3, 1 << 60):  # a block pair has about 2 * BLOCK rows
+            centre, a, b, own, node, worst_ = (t.column(i).to_numpy() for i in range(6))
+            unit = _units(t.column(6))
             us, vs, ss = [], [], []
-            for lo, hi in _runs(centre):
-                for a in range(lo, hi, CENTRE):
-                    b = min(hi, a + CENTRE)
-                    if b - a < 2:
-                        continue
-                    part = unit(a, b)
-                    u, v, s = _best(part @ part.T, LIST)
-                    better = s > worst_[a:b][u] + 1e-12
-                    us.append(node[a:b][u[better]])
-                    vs.append(node[a:b][v[better]])
+            for lo, hi in _runs(centre, a, b):
+                part, names, least = unit(lo, hi), node[lo:hi], worst_[lo:hi]
+                if a[lo] == b[lo]:
+                    found = [_best(part @ part.T, LIST)] if hi - lo > 1 else []
+                else:
+                    mid = int((own[lo:hi] == a[lo]).sum())
+                    sims = part[:mid] @ part[mid:].T
+                    (u, v, s), (x, y, z) = _largest(sims, LIST), _largest(sims.T, LIST)
+                    found = [(u, mid + v, s), (mid + x, y, z)]
+                for u, v, s in found:
+                    better = s > least[u] + 1e-12
+                    us.append(names[u[better]])
+                    vs.append(names[v[better]])
                     ss.append(s[better])
             yield _edges(us, vs, ss)
 
-    dealt = full.repartition("centre", F.pmod(F.xxhash64("node"), F.lit(8))).sortWithinPartitions("centre", "node")
+    dealt = full.repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b", "own", "node")
     return dealt.mapInArrow(meet, "u long, v long, s double")
 
 

@@ -231,6 +231,28 @@ def test_nn_descent_equals_all_pairs(spark):
     assert all(got[i][0] <= want[i][0] for i in want)  # never a link below the threshold
 
 
+def test_members_of_a_centre_all_meet(spark):
+    """Whatever the number of partitions: a small centre's members are all introduced, a hot one's to their best."""
+    rng = np.random.default_rng(7)
+    unit = rng.normal(size=(700, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, 1, v.tolist(), i, 1) for i, v in enumerate(unit)], "node long, grp long, vec array<double>, least long, rows long")
+    edges = [(0, i, float(unit[0] @ unit[i])) for i in range(1, 6)] + [(i, 10, float(unit[10] @ unit[i])) for i in range(11, 700)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        for k, v in zip(keep, ("200", "false")):
+            spark.conf.set(k, v)
+        got = {(r.u, r.v) for r in nndescent._introduce(spark.createDataFrame(edges, "u long, v long, s double"), nodes).collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert {(i, j) for i in range(6) for j in range(6) if i != j} <= got
+    sims = unit[10:] @ unit[10:].T
+    np.fill_diagonal(sims, -2)
+    best = np.argsort(-sims, axis=1)[:, :nndescent.LIST]
+    assert {(10 + i, 10 + int(j)) for i in range(690) for j in best[i]} <= got
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (4, 4), (7, 8), (8, 9), (9, 10), (10, 11), (11, 7), *[(100, 100 + i) for i in range(1, 50)]]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
