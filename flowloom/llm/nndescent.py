@@ -7,7 +7,8 @@ introduces the members of its list, and those that list it, to one another;
 better neighbours replace worse ones until few lists change.  A node whose whole
 list lies above the threshold is saturated; its list is enlarged to its connected
 component, compared in blocks.  Recall is audited on a bounded query set against
-all vectors, and more orderings are added while it is too low.
+all vectors, per vector and by number of links, and more orderings are added while
+it is too low; if it stays so, all pairs of each label are compared in blocks.
 
 Vectors compare only within one label and one length, by cosine in double
 precision.  Rows: a null label, or a vector that is null, empty, zero or holds a
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.common import components, salted_join, stored
+from flowloom.llm.simhash import forest
 
 THRESHOLD = 0.93
 LIST = 10
@@ -35,6 +37,9 @@ CHANGED = 0.02
 MAX_REFINEMENTS = 4
 #: Side of the blocks in which a saturated node meets its component, and the members of a hot centre one another.
 BLOCK = 256
+#: Side of the blocks in which all pairs are compared when the audit has not passed.
+EXACT_BLOCK = 1024
+#: Queries of each power of two of the number of links, and the share of them whose links must all be found.
 AUDIT_QUERIES = 512
 AUDIT_RECALL = 0.98
 MAX_ROUNDS = 3
@@ -306,9 +311,16 @@ def _counts(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataF
 
 
 def audit(nodes: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the true links of a bounded query set, each query compared with all vectors, that the counts hold."""
+    """The least, over sizes, of the share of vectors whose true links the counts hold in full; a size is a power of two of the number of links.
+
+    Each query is compared with all vectors.  Queries are a bounded set of each size as found, and stand for the vectors of that size, so
+    neither a large cluster nor the vectors without a link hide what is missed in small groups.
+    """
+    size = F.floor(F.log2(F.coalesce("n_nodes", F.lit(0)) + 1)).cast("int")
+    sized = stored(nodes.select("node").join(counts.select("node", "n_nodes"), "node", "left").select("node", F.coalesce("n_nodes", F.lit(0)).alias("found"), size.alias("size")), "sized")
     order = F.xxhash64("node", F.lit(3))
-    picked = nodes.groupBy(F.pmod(order, F.lit(queries)).alias("slot")).agg(F.min_by("node", order).alias("node"))
+    picked = sized.groupBy("size", F.pmod(order, F.lit(queries)).alias("slot")).agg(F.min_by(F.struct("node", "found"), order).alias("q"), F.count("*").alias("n"))
+    picked = stored(picked.select("size", "q.node", "q.found", "n"), "picked")
     got = nodes.join(F.broadcast(picked.select("node")), "node").select("node", "grp", "vec").collect()
     if not got:
         return 1.0
@@ -316,7 +328,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, queries: int =
     for r in got:
         groups.setdefault(r["grp"], []).append(r)
     asked = {g: (np.array([r["node"] for r in rs]), _unit(np.array([r["vec"] for r in rs], dtype=np.float64))) for g, rs in groups.items()}
-    shared = nodes.sparkSession.sparkContext.broadcast(asked)  # at most *queries* vectors
+    shared = nodes.sparkSession.sparkContext.broadcast(asked)  # at most *queries* vectors for each power of two
 
     def run(batches):
         for batch in batches:
@@ -326,12 +338,55 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, queries: int =
                     continue
                 at = np.flatnonzero(grp == g)
                 names, unit = shared.value[g]
-                near = (unit @ _unit(_matrix(batch.column(2).take(pa.array(at)))).T >= threshold) & (names[:, None] != node[at][None])
-                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(near.sum(axis=1).astype(np.int64))], names=["node", "true"])
+                true = np.zeros(len(names), dtype=np.int64)
+                for lo in range(0, len(at), 1024):
+                    part = at[lo:lo + 1024]
+                    near = (unit @ _unit(_matrix(batch.column(2).take(pa.array(part)))).T >= threshold) & (names[:, None] != node[part][None])
+                    true += near.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(true)], names=["node", "true"])
 
     true = nodes.select("node", "grp", "vec").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    row = true.join(counts, "node", "left").agg(F.sum("true").alias("t"), F.sum(F.least("true", F.coalesce("n_nodes", F.lit(0)))).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    weight = picked.groupBy("size").agg((F.sum("n") / F.count("*")).alias("weight"))
+    judged = picked.join(weight, "size").join(true, "node").where(F.col("true") > 0).groupBy(F.floor(F.log2("true")).alias("true_size")).agg(
+        (F.sum(F.when(F.col("found") >= F.col("true"), F.col("weight")).otherwise(0.0)) / F.sum("weight")).alias("share"))
+    least = judged.agg(F.min("share")).first()[0]
+    return 1.0 if least is None else least
+
+
+def _exact(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """What _counts gives, from all pairs of each label and length in blocks; tasks emit sums and a forest of their links, not pairs."""
+    sizes = nodes.groupBy("grp").agg(F.ceil(F.count("*") / EXACT_BLOCK).cast("int").alias("columns"))
+    pairs = _block_pairs(salted_join(nodes.select("node", "grp", "rows", "vec"), sizes, ["grp"], ["node"])).select("grp", "a", "b", "own", "node", "rows", "vec")
+
+    def meet(batches):
+        for t in _whole_runs(batches, 3, 1 << 60):  # a block pair has about 2 * EXACT_BLOCK rows
+            grp, a, b, own, node, rows = (t.column(i).to_numpy() for i in range(6))
+            unit = _units(t.column(6))
+            for lo, hi in _runs(grp, a, b):
+                part, names, weight = unit(lo, hi), node[lo:hi], rows[lo:hi]
+                mid = 0 if a[lo] == b[lo] else int((own[lo:hi] == a[lo]).sum())
+                left = slice(0, mid or hi - lo)
+                near = part[left] @ part[mid:].T >= threshold
+                if not mid and a[lo] == b[lo]:
+                    np.fill_diagonal(near, False)
+                    n_nodes, n_rows = near.sum(axis=1), near @ weight
+                elif mid:
+                    n_nodes = np.concatenate([near.sum(axis=1), near.sum(axis=0)])
+                    n_rows = np.concatenate([near @ weight[mid:], weight[:mid] @ near])
+                else:
+                    continue  # one of the blocks is empty
+                i, j = np.nonzero(near)
+                root = forest(len(names), i, mid + j)
+                some, tied = np.flatnonzero(n_nodes), np.flatnonzero(root != np.arange(len(names)))
+                none = np.full(len(some), np.iinfo(np.int64).min)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (
+                    (names[some], names[tied]), (none, names[root[tied]]), (n_nodes[some], tied * 0), (n_rows[some], tied * 0))], names=["u", "v", "n_nodes", "n_rows"])
+
+    dealt = pairs.repartition("grp", "a", "b").sortWithinPartitions("grp", "a", "b", "own", "node")
+    out = stored(dealt.mapInArrow(meet, "u long, v long, n_nodes long, n_rows long"), "exact")
+    summed = F.col("v") == F.lit(-(1 << 63))
+    counts = out.where(summed).groupBy("u").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_rows").alias("n_rows")).withColumnRenamed("u", "node")
+    return counts, stored(components(out.where(~summed).select("u", "v")), "roots")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -344,6 +399,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         counts = stored(counts, "counts")
         if audit(nodes, counts, threshold) >= AUDIT_RECALL:
             break
+    else:
+        counts, roots = _exact(nodes, threshold)
+        counts = stored(counts, "counts")
     joined = nodes.select("node", "least", "rows").join(roots, "node", "left").join(counts, "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("n_rows", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     joined = stored(joined, "joined")

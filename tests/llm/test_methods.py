@@ -253,6 +253,27 @@ def test_members_of_a_centre_all_meet(spark):
     assert {(10 + i, 10 + int(j)) for i in range(690) for j in best[i]} <= got
 
 
+def test_audit_sees_small_groups_and_ends_exact(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = np.repeat(rng.normal(size=(60, 32)), 2, axis=0)
+    cloud = np.concatenate([rng.normal(size=32) + 0.08 * rng.normal(size=(150, 32)), pairs + 0.05 * rng.normal(size=pairs.shape), rng.normal(size=(200, 32))])
+    vectors = spark.createDataFrame([(i, v.tolist(), i % 2 if i < 150 else 0) for i, v in enumerate(cloud)], "vec_id long, embedding array<double>, label int")
+    nodes = common.stored(nndescent.nodes_of(vectors), "nodes")
+    counts, _ = nndescent._exact(nodes, 0.93)
+    counts = common.stored(counts, "counts")
+    assert nndescent.audit(nodes, counts, 0.93) == 1
+    assert nndescent.audit(nodes, counts.where("n_nodes > 1"), 0.93) < 0.5  # the dense cluster is whole, the pairs are missed
+    monkeypatch.setattr(nndescent, "neighbour_lists", lambda nodes, turns, lists=None: spark.createDataFrame([], "u long, v long, s double"))
+    monkeypatch.setattr(nndescent, "EXACT_BLOCK", 64)
+    label = np.array([i % 2 if i < 150 else 0 for i in range(len(cloud))])
+    unit = cloud / np.linalg.norm(cloud, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.93) & (label[:, None] == label[None])
+    np.fill_diagonal(near, False)
+    root = simhash.forest(len(cloud), *np.nonzero(near))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(vectors).collect()}
+    assert got == {i: (int(near[i].sum()), int(root[i])) for i in range(len(cloud))}
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (4, 4), (7, 8), (8, 9), (9, 10), (10, 11), (11, 7), *[(100, 100 + i) for i in range(1, 50)]]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
