@@ -39,6 +39,7 @@ _IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9]
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9])").match
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])").match
 _VALUE = re.compile(r"""\s*[:=]\s*(["']?)([^\s"',;]{6,})\1""").match
+_SET = re.compile(r"""\s*[:=]\s*["']?""").match  # what stands between a cue and its value
 _KEY_ID = re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])").match
 
 #: Cue -> parser that reads what follows it.
@@ -88,7 +89,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(BASE, 0)  # where the last match of each base kind ended
-    past = dict.fromkeys(("url", "secret"), 0)  # these run to the next space: none is looked for inside another, so a text is read once
+    past = dict.fromkeys(("url", "secret"), 0)  # these run to the next space: none that would end inside another is looked for, so a text is read once
     for last, (anchor, width) in _anchors().iter(low):
         at = last - width + 1
         if anchor == "digit":
@@ -121,7 +122,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if (at == 0 or not text[at - 1].isalnum()) and (m := _KEY_ID(text, at)):
                 found["secret"].append(m.span())
         elif anchor == "secret":
-            if at >= past["secret"] and (m := _VALUE(text, last + 1)):
+            # a value that starts inside another ends with it; one that starts behind it is new, as in "secret: password = ..."
+            inside = at < past["secret"] and not ((m := _SET(text, last + 1)) and m.end() >= past["secret"])
+            if not inside and (m := _VALUE(text, last + 1)):
                 past["secret"] = m.end()
                 found["secret"].append(m.span(2))
         else:

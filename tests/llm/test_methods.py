@@ -132,6 +132,12 @@ def test_personal_data(documents):
     assert pii.redacted("x a@b.cd y", pii.find_spans("x a@b.cd y")) == "x [EMAIL] y"
 
 
+@pytest.mark.parametrize("text", ["secret: password = hunter22", "token: password: hunter22", "secret: db_password = hunter22", "token=password='hunter22'"])
+def test_a_cue_as_value_hides_no_secret(text):
+    assert ("secret", text.index("hunter22"), text.index("hunter22") + 8) in pii.find_spans(text)
+    assert "hunter22" not in pii.redacted(text, pii.find_spans(text))
+
+
 @pytest.mark.parametrize("name,label,modulus,remainder,least", [("op5_toxicity", "toxic", 3, 1, 0.93), ("op9_quality_qda", "quality", 4, 2, 0.95)])
 def test_held_out_accuracy(spark, name, label, modulus, remainder, least):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
