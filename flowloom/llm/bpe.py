@@ -31,6 +31,14 @@ from pyspark.sql import functions as F
 
 #: The white space beyond ASCII.
 FAR_SPACES = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Letters (L), numbers (N) and lower-case letters of newer Unicode versions that the tokenizer's library knows and the interpreter may not.
+NEWER = {
+    "L": [(0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+          (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+          (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0)],
+    "N": [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]}
+NEWER_LOWER = [(0x1C89, 0x1C8A), (0xA7CB, 0x264), (0xA7CC, 0xA7CD), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D3), (0xA7D4, 0xA7D5), (0xA7DA, 0xA7DB), (0xA7DC, 0x19B),
+               *[(c, c + 0x20) for c in range(0x10D50, 0x10D66)], *[(c, c + 0x1B) for c in range(0x16EA0, 0x16EB9)]]
 #: Code points encoded together: a block's index and cache are dropped with the block.
 BLOCK_CHARS = 6_000_000
 OUTPUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -51,8 +59,9 @@ def _byte_letters() -> list[str]:
 def _class(name: str) -> str:
     """Body of a character class with every code point whose general category begins with *name*."""
     runs: list[list[int]] = []
+    newer = {code for a, b in NEWER[name] for code in range(a, b + 1)}
     for code in range(0x110000):
-        if unicodedata.category(chr(code))[0] == name:
+        if unicodedata.category(chr(code))[0] == name or code in newer:
             if runs and runs[-1][1] == code - 1:
                 runs[-1][1] = code
             else:
@@ -60,6 +69,9 @@ def _class(name: str) -> str:
     return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs)
 
 
+_NEWER_UPPER = re.compile("[" + "".join(chr(a) for a, _ in NEWER_LOWER) + "]").search
+
+
 class Vocabulary:
     """Merges and tokens of a tokenizer file with word-end suffix, lower-casing and white-space removal."""
 
@@ -89,7 +101,7 @@ class Vocabulary:
         self.byte_id = np.array([ids[x] for x in letters], dtype=np.int32)
         self.last_byte_id = np.array([ids[x + end] for x in letters], dtype=np.int32)
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")["pattern"]["Regex"]
-        for name in "LN":  # the interpreter's Unicode tables, whose version the tokenizer's library shares
+        for name in "LN":
             split = split.replace(f"[\\p{{{name}}}]", f"[{_class(name)}]").replace(f"\\p{{{name}}}", _class(name))
         self.pieces = re.compile(split.replace("\\s", " ")).findall  # the normaliser leaves no other white space
         self.names = pa.array(self.tokens, pa.string())
@@ -108,6 +120,8 @@ class Vocabulary:
             for ch in FAR_SPACES:
                 if ch in text:
                     text = text.replace(ch, " ")
+            if _NEWER_UPPER(text):
+                text = text.translate(dict(NEWER_LOWER))
         for ch in "\t\n\v\f\r":
             text = text.replace(ch, " ")
         return text.lower()

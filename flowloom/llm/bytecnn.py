@@ -15,11 +15,11 @@ training rows every text gives ``und``; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ WINDOWS_PER_DOC = 4
 EPOCHS = 15
 #: Windows that are run at once.
 BATCH = 1024
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def windows(text: str) -> np.ndarray:
@@ -150,8 +150,11 @@ class Network:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Network | None:
     """Train on the rows of *docs* (doc_id, text, lang) that have a lang; None when there are none."""
     sample = bounded_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang")), "lang", per_language)
+    # a doc_id that repeats with other texts stands for the text with the least hash, so that reruns agree
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull()).dropDuplicates(["doc_id"]))
+            .join(F.broadcast(sample), "doc_id").where(F.col("text").isNotNull())
+            .groupBy("doc_id", "lang").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"))
+            .groupBy("doc_id").agg(F.min(F.struct("t", "lang")).alias("l")).select("doc_id", "l.t.text", "l.lang"))
 
     def cut(batches):
         for batch in batches:

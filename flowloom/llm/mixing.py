@@ -202,9 +202,9 @@ def mix(docs: DataFrame, sources: Column | None = None, weights=WEIGHTS, most: i
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of *docs* that the mix takes, each as often as it is taken."""
-    picks = mix(docs, **options).where("taken > 0").select(
-        F.col("row").alias("__row"), F.col("doc_id").alias("__doc"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    picks = picks.groupBy("__row", "__doc").agg(F.max("__times").alias("__times"))
-    keyed = docs.withColumn("__key", row_key("doc_id", "source", "text"))
-    joined = keyed.join(picks, (F.col("__key") == F.col("__row")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    picks = mix(docs, **options).where("taken > 0").select("row", F.col("doc_id").alias("id"), (F.col("taken") / F.col("size")).cast("int").alias("times"))
+    picks = picks.groupBy("row", "id").agg(F.max("times").alias("times"))
+    # the document's columns travel in one struct, where no name of theirs can meet one of ours
+    keyed = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "source", "text").alias("key"), F.col("doc_id").cast("long").alias("own"))
+    joined = keyed.join(picks, (F.col("key") == F.col("row")) & F.col("own").eqNullSafe(F.col("id")))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

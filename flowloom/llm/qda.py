@@ -112,7 +112,8 @@ def fit(x: np.ndarray, y: np.ndarray, pool: float = POOL, ridge: float = RIDGE)
 def fit_labelled(rows: DataFrame, labelled: DataFrame, label: str, per_class: int = PER_CLASS) -> Discriminant:
     """Fit on feature rows (doc_id, x) of at most *per_class* labelled documents of each class."""
     sample = bounded_sample(labelled.select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)"), "y", per_class)
-    got = rows.select("doc_id", "x").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).select("x", "y").collect()
+    # of a doc_id that repeats with other texts the least feature row counts, so that reruns agree
+    got = rows.select("doc_id", "x").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "y")).alias("r")).select("r.x", "r.y").collect()
     return fit(np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["y"] for r in got], dtype=int))
 
 

@@ -27,6 +27,8 @@ MAX_REPEAT_PERCENT = 30
 #: A line is removed from a host's documents when more than this many documents and this percent of the host's hold it.
 MAX_LINE_DOCS = 20
 MAX_LINE_PERCENT = 5
+#: A line of at least this many words is removed above MAX_LINE_DOCS documents whatever the host's size: long lines don't repeat by chance.
+LONG_LINE_WORDS = 10
 #: Percent of a document's line characters whose removal rejects it.
 MAX_REMOVED_PERCENT = 80
 
@@ -60,7 +62,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
     """doc_id, source, row_key, the base counts and ``lines``: an array of (hash, characters) of the lines with a word.  A row per row of *docs*."""
     text = F.coalesce(F.col("text"), F.lit(""))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    df = df.select("doc_id", "source", row_key("doc_id", "source", "text").alias("row_key"), F.xxhash64("text").alias("text_key"), text.alias("text"))
+    df = df.select("doc_id", "source", row_key("doc_id", "source", "text").alias("row_key"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     df = df.select(
         "doc_id", "source", "row_key", "text_key", words(F.col("text")).alias("words"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -69,7 +71,7 @@ def base_metrics(docs: DataFrame) -> DataFrame:
         "doc_id", "source", "row_key", "text_key", "n_symbols", F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("text_lines") - F.size(F.array_distinct("text_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("text_lines", lambda x: F.struct(line_hash(x).alias("hash"), F.length(x).alias("chars"))).alias("lines"),
+        F.transform("text_lines", lambda x: F.struct(line_hash(x).alias("hash"), F.length(x).alias("chars"), (F.size(words(x)) >= LONG_LINE_WORDS).alias("long"))).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     windows = F.when(F.size("hashes") >= WINDOW, F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("hashes") - WINDOW, F.lit(0))),
@@ -87,10 +89,11 @@ def _frequent(metrics: DataFrame) -> DataFrame:
     """(source, hash) of the lines above the limits of their host."""
     texts = metrics.select("source", "text_key", "lines").dropDuplicates(["source", "text_key"])
     hosts = texts.groupBy("source").agg(F.count("*").alias("host_docs"))
-    counts = (texts.select("source", F.explode(F.array_distinct(F.transform("lines", lambda x: x["hash"]))).alias("hash"))
-              .groupBy("source", "hash").agg(F.count("*").alias("docs")).where(F.col("docs") > MAX_LINE_DOCS))
+    own = F.array_distinct(F.transform("lines", lambda x: F.struct(x["hash"].alias("hash"), x["long"].alias("long"))))  # equal hashes have equally many words
+    counts = (texts.select("source", F.explode(own).alias("line")).groupBy("source", F.col("line.hash").alias("hash"))
+              .agg(F.count("*").alias("docs"), F.max("line.long").alias("long")).where(F.col("docs") > MAX_LINE_DOCS))
     joined = counts.join(hosts, counts["source"].eqNullSafe(hosts["source"]))
-    return joined.where(100 * F.col("docs") > MAX_LINE_PERCENT * F.col("host_docs")).select(counts["source"], "hash")
+    return joined.where(F.col("long") | (100 * F.col("docs") > MAX_LINE_PERCENT * F.col("host_docs"))).select(counts["source"], "hash")
 
 
 def _judged(docs: DataFrame) -> DataFrame:
@@ -122,14 +125,12 @@ def verdicts(docs: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame) -> DataFrame:
     """The kept rows of *docs*, with the lines above the limits removed from ``text`` (and ``n_chars``, if there is one, counted anew)."""
-    judged = _judged(docs).where("kept").select(F.col("row_key").alias("__key"), F.col("doc_id").alias("__doc"), F.col("removed").alias("__removed"))
-    judged = judged.dropDuplicates(["__key", "__doc"])
-    key = row_key("doc_id", "source", "text")
-    left = docs.withColumn("__row", key)
-    joined = left.join(judged, (F.col("__row") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__doc")))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(
-        F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("__removed", line_hash(x))), "\n"))
+    judged = _judged(docs).where("kept").select(F.col("row_key").alias("key"), F.col("doc_id").alias("id"), "removed").dropDuplicates(["key", "id"])
+    # the document's columns travel in one struct, where no name of theirs can meet one of ours
+    rows = docs.select(F.struct("*").alias("doc"), row_key("doc_id", "source", "text").alias("row"), F.col("doc_id").cast("long").alias("own"))
+    joined = rows.join(judged, (F.col("row") == F.col("key")) & F.col("own").eqNullSafe(F.col("id")))
+    text = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(
+        F.array_join(F.filter(F.split(F.col("doc.text"), "\n"), lambda x: ~F.array_contains("removed", line_hash(x))), "\n"))
     joined = joined.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("__removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return joined.select(*docs.columns)
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("removed").isNull(), F.col("doc.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None}
+    return joined.select(*[new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

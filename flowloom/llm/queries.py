@@ -94,7 +94,7 @@ ORACLES = {
     from d, unnest(string_split(t, chr(10))) u(x) where regexp_matches(x, '[^ \t-\r]')),
   hosts as (select source, count(distinct t) as host_docs from d group by 1),
   frequent as (select l.source, norm from l join hosts on l.source is not distinct from hosts.source group by l.source, norm, host_docs
-    having count(distinct t) > {quality.MAX_LINE_DOCS} and 100 * count(distinct t) > {quality.MAX_LINE_PERCENT} * host_docs),
+    having count(distinct t) > {quality.MAX_LINE_DOCS} and (len(string_split(norm, ' ')) >= {quality.LONG_LINE_WORDS} or 100 * count(distinct t) > {quality.MAX_LINE_PERCENT} * host_docs)),
   line_sums as (select doc_id, count(*) - count(distinct x) as n_dup_lines, count(f.norm) as n_removed_lines, sum(length(x)) as total,
       coalesce(sum(length(x)) filter (f.norm is not null), 0) as removed
     from l left join frequent f on l.norm = f.norm and l.source is not distinct from f.source group by doc_id),

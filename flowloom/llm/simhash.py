@@ -242,11 +242,3 @@ def near_duplicates(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataF
     return salted_join(prints, ids, ["fp"], ["doc_id"]).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
-
-def one_of_each(docs: DataFrame, budget: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of *docs* that stay when one document of each component does: that with the least doc_id.
-
-    Rows that repeat this doc_id stay with it; rows without a doc_id stay only in a component that has none.
-    """
-    found = near_duplicates(docs, budget, shingle).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")

@@ -87,11 +87,17 @@ def raw_score(text: str, lexicon: Lexicon) -> float:
                 excused.append((start, end))
             else:
                 best[start] = max(best.get(start, 0.0), weight)
-    for a, b in excused:
-        for start in [s for s in best if a <= s < b]:
-            del best[start]
+    total, until = 0.0, -1
+    excused.sort()
+    at = 0
+    for start in sorted(best):  # one merge of the matches with the exception phrases, both by place
+        while at < len(excused) and excused[at][0] <= start:
+            until = max(until, excused[at][1])
+            at += 1
+        if start >= until:
+            total += best[start]
     n_words = len(line.split())
-    return sum(best.values()) / (1 + n_words / LENGTH_SCALE)
+    return total / (1 + n_words / LENGTH_SCALE)
 
 
 def _entries(text: str) -> set[str]:

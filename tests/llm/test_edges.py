@@ -6,14 +6,15 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from flowloom.llm import bpe, bytecnn, mixing, nndescent, pii, qda, quality, simhash, toxicity, warc
+from flowloom.llm import bpe, bytecnn, mixing, neartext, nndescent, pii, qda, quality, simhash, toxicity, warc
 from flowloom.llm.common import crc_part
 from flowloom.llm.queries import tokenizer_path
 
 LONG = "lorem ipsum dolor " * 20_000
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, row string, node string, hash string, size string, "
-          "pattern string, `__salt` string, fp string, `text_key` string")
-EXTRA = ("x",) * 8
+          "pattern string, `__salt` string, fp string, `text_key` string, `__key` string, `__doc` string, `__removed` string, `__row` string, "
+          "`__keep` string, `__pass` string, `__times` string, doc string, key string, own string, keep string, times string, removed string, tile string")
+EXTRA = ("x",) * 22
 
 
 def row(i, text, lang="en", source="s"):
@@ -45,7 +46,7 @@ def operators(labels):
     held = crc_part(3, 1)
     return {
         "quality": quality.verdicts, "clean": quality.clean, "bpe": lambda d: bpe.encode_digests(d, tokenizer_path()),
-        "ids": lambda d: bpe.encode_documents(d, tokenizer_path()), "simhash": simhash.near_duplicates, "one": simhash.one_of_each,
+        "ids": lambda d: bpe.encode_documents(d, tokenizer_path()), "simhash": simhash.near_duplicates, "one": neartext.one_of_each,
         "pii": pii.find, "redact": pii.redact, "mix": mixing.mix, "mixed": mixing.mixed_documents,
         "toxicity": lambda d: toxicity.score(d, toxicity.fit(d, labels, "toxic"), held),
         "qda": lambda d: qda.quality_scores(d, labels, "quality", held),
