@@ -206,11 +206,14 @@ def detect(spark, sf_dir):
     return rounded(out.select(*FID, "decision", "label", "is_attack", "confidence", "error"))
 
 
-@query(f"""with recursive {_MIXED_LIVE}, {_FILTER}, judged as (select *, 'BENIGN' as label, false as is_attack, 1.0::double as confidence,
+RUN_DETECTION = f"""with recursive {_MIXED_LIVE}, {_FILTER}, judged as (select *, 'BENIGN' as label, false as is_attack, 1.0::double as confidence,
     coalesce(bypass_reason, '') as error_in from filtered), {_CASCADE},
   o as (select {_CASCADE_OUT}, src_ip, dst_ip, src_port, dst_port, protocol, end_us from decided)
   select label as attack_type, src_ip, dst_ip, src_port, dst_port, protocol, confidence, cast(is_attack as int) as is_attack,
-    concat(src_ip, ':', src_port, '-', dst_ip, ':', dst_port, '-', protocol) as flow_id, ((end_us + 50) // 100) / 1e4 as timestamp_utc from o""")
+    concat(src_ip, ':', src_port, '-', dst_ip, ':', dst_port, '-', protocol) as flow_id, ((end_us + 50) // 100) / 1e4 as timestamp_utc from o"""
+
+
+@query(RUN_DETECTION)
 def run_detection(spark, sf_dir):
     """The whole cascade without a model, down to log rows."""
     out = ru.run_detection(mixed_flows(spark, sf_dir, "live"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from flowloom import fixed_values as fv
@@ -15,37 +15,39 @@ from flowloom.operators.flows import with_flow_context
 from flowloom.operators.log import recent, to_attack_log
 from flowloom.operators.series import throttle_step
 from flowloom.sources.sinks import log_sink
+from flowloom.streaming.ordered import END_US, in_event_order
 
 
-def _schema_text(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+#: How much later than its end a flow may arrive: a silent one is only known to have ended after its limit.
+FLOWS_LATE = "150 seconds"
 
 
 def mark_port_scans(
-    flows: DataFrame, window_us: int = fv.SCAN_WINDOW_US, min_ports: int = fv.SCAN_MIN_PORTS, cooldown_us: int = fv.SCAN_COOLDOWN_US,
+    flows: DataFrame, window_us: int = fv.SCAN_WINDOW_US, min_ports: int = fv.SCAN_MIN_PORTS, cooldown_us: int = fv.SCAN_COOLDOWN_US, late: str = FLOWS_LATE,
 ) -> DataFrame:
     """All flows of a stream with ``ports`` set where a port-scan alert is raised.
 
-    Only probes reach the stateful operator (state per source: fewer than
-    *min_ports* ports); other flows pass by.  Flows of a source are taken in
-    order of their end within a batch.
+    Only probes reach the stateful operator, which takes them in order of their
+    end (ties by port and flow id), however they arrive within *late*; other flows
+    pass by.  State per source: the probes that wait, fewer than *min_ports* ports,
+    and the last alert.  It goes when window and cool-down have passed.
     """
     cols = flows.columns
-
-    def run(key, batches, state):
-        import pandas as pd
-
-        memory = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches)).sort_values(["end_us", "dst_port"], kind="stable")
-        rows["ports"] = pd.array(
-            [ru.scan_step(memory, int(t), int(p), window_us, min_ports, cooldown_us) for t, p in zip(rows["end_us"], rows["dst_port"])],
-            dtype="Int64")
-        state.update((json.dumps(memory),))
-        yield rows[[*cols, "ports"]]
-
-    probes = flows.filter(ru.is_probe()).groupBy("src_ip").applyInPandasWithState(
-        run, _schema_text(flows) + ", ports bigint", "memory string", "append", "NoTimeout")
-    others = flows.filter(~F.coalesce(ru.is_probe(), F.lit(False))).withColumn("ports", F.lit(None).cast("long"))
+    keeps = max(window_us, cooldown_us)
+
+    def step(key, memory, rows, mark):
+        memory, out = memory or {}, []
+        for r in rows:
+            ports = ru.scan_step(memory, r["end_us"], r["dst_port"], window_us, min_ports, cooldown_us)
+            out.append((*[r[c] for c in cols], ports))
+        latest = max([*memory.get("ports", {}).values(), memory.get("alert") or 0], default=0)
+        # beyond this time no probe in the window and no cool-down is left, as in an empty memory
+        return out, (memory if memory and latest + keeps >= mark else None), latest + keeps
+
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in flows.schema.fields], T.StructField("ports", T.LongType())])
+    order = ["dst_port", *[c for c in ru.FLOW_ID if c in cols]]
+    probes = in_event_order(flows, ["src_ip"], F.col("end_us"), order, step, schema, late, ru.is_probe())
+    others = flows.filter(~F.coalesce(ru.is_probe(), F.lit(False)) & F.coalesce(F.col("end_us") < END_US, F.lit(True))).withColumn("ports", F.lit(None).cast("long"))
     return probes.unionByName(others)
 
 
@@ -59,7 +61,8 @@ def stream_detect(flows: DataFrame, log_path: str, checkpoint: str, score: Calla
     """Flow stream -> filter, model, rules -> prediction log, once per batch.
 
     Start it on a table that ``stream_flows`` writes: two queries with their
-    own checkpoints, so either can be restarted alone.
+    own checkpoints, so either can be stopped and started again alone; a batch
+    that was cut off is written again in place of its first try.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         checked = ru.traffic_filter(batch)
@@ -75,26 +78,26 @@ def stream_detect(flows: DataFrame, log_path: str, checkpoint: str, score: Calla
         **(trigger or {"availableNow": True})).start()
 
 
-def stream_throttle(alerts: DataFrame, cooldown_s: float = fv.CHAT_COOLDOWN_S, key: str | None = None) -> DataFrame:
-    """Attack alerts let through, at most one per cool-down and key."""
+def stream_throttle(alerts: DataFrame, cooldown_s: float = fv.CHAT_COOLDOWN_S, key: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Attack alerts let through, at most one per cool-down and key, in order of time and id however they arrive within *late*.
+
+    State per key: the alerts that wait and the time of the last one sent, which goes when its cool-down has passed.
+    """
     cols = alerts.columns
 
-    def run(_, batches, state):
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["timestamp_utc", "id"], kind="stable")
-        keep = []
-        for at in rows["timestamp_utc"]:
-            sent = throttle_step(last, float(at), cooldown_s)
-            keep.append(sent)
-            last = float(at) if sent else last
-        state.update((last,))
-        yield rows.loc[keep, cols]
-
-    attacks = alerts.filter("is_attack = 1").withColumn("_channel", F.col(key) if key else F.lit("all"))
-    return attacks.groupBy("_channel").applyInPandasWithState(
-        run, _schema_text(alerts), "last double", "append", "NoTimeout")
+    def step(_, memory, rows, mark):
+        last, out = memory and memory["last"], []
+        for r in rows:
+            if throttle_step(last, float(r["timestamp_utc"]), cooldown_s):
+                out.append(tuple(r[c] for c in cols))
+                last = float(r["timestamp_utc"])
+        ends = None if last is None else int((last + cooldown_s) * 1e6)
+        return out, (None if last is None or ends < mark else {"last": last}), ends
+
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in alerts.schema.fields])
+    at = F.floor(F.col("timestamp_utc").cast("double") * 1_000_000).cast("long")
+    channel = F.col(key).cast("string") if key else F.lit("all")
+    return in_event_order(alerts.withColumn("_channel", channel), ["_channel"], at, ["id"], step, schema, late, F.col("is_attack") == 1)
 
 
 def stream_dedup_alerts(alerts: DataFrame, late: str = "10 minutes") -> DataFrame:

@@ -1,16 +1,15 @@
-"""Streaming flow assembly: bounded state per key, event-time limits."""
+"""Streaming flow assembly in event-time order: bounded state per key, event-time limits."""
 
 from __future__ import annotations
 
-import json
 import math
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
 from flowloom.operators.packets import KEY, PACKETS, with_flow_key
+from flowloom.streaming.ordered import close_input, in_event_order
 
 FLOW_COLUMNS = (
     "ip_a string, port_a int, ip_b string, port_b int, protocol int, src_ip string, src_port int, dst_ip string, dst_port int, "
@@ -114,43 +113,38 @@ def stream_flows(
 ) -> DataFrame:
     """Finished flows of a packet stream, same columns and values as the live batch operator.
 
-    A key's state is its open flow as running moments, so its size does not
-    grow with the flow.  A flow ends on RST, on FIN from both sides, when a
-    packet comes after too long a silence, or when the watermark passes its
-    limit.  Packets later than *late* are dropped by the watermark.
+    Packets may arrive in any order within *late*: each waits until the watermark
+    has passed it and is then taken by (time, seq), so shuffled files give what the
+    batch operator gives on the same rows.  A key's state is the packets that wait
+    and its open flow as running moments, whose size does not grow with the flow;
+    it is gone when the flow has ended.  A flow ends on RST, on FIN from both
+    sides, when a packet comes after too long a silence, or when the watermark
+    passes its limit.  Packets later than *late* are dropped by the watermark.
+    ``close_packets`` ends the stream and with it the flows that are open.
     """
     idle, half = int(idle_s * 1e6), int(half_open_idle_s * 1e6)
-    names = [c.split()[0] for c in FLOW_COLUMNS.split(", ")]
 
     def limit(f):
         return half if _half_open(f) else idle
 
-    def run(key, batches, state) -> Iterator:
-        import pandas as pd
-
-        done, flow = [], json.loads(state.get[0]) if state.exists else None
-        if state.hasTimedOut:
+    def step(key, flow, rows, mark):
+        done = []
+        for p in rows:
+            if flow is not None and p.timestamp_us - flow["last"] > limit(flow):
+                done.append(_row(key, flow, "timeout"))
+                flow = None
+            flow = _open(p) if flow is None else flow
+            if _add(flow, p):
+                done.append(_row(key, flow, "rst" if p.tcp_flags & fv.RST else "fin"))
+                flow = None
+        if flow is not None and mark >= flow["last"] + limit(flow):  # any packet to come is beyond the limit
             done.append(_row(key, flow, "timeout"))
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["timestamp_us", "seq"], kind="stable")
-            for p in rows.itertuples(index=False):
-                if flow is not None and p.timestamp_us - flow["last"] > limit(flow):
-                    done.append(_row(key, flow, "timeout"))
-                    flow = None
-                flow = _open(p) if flow is None else flow
-                if _add(flow, p):
-                    done.append(_row(key, flow, "rst" if p.tcp_flags & fv.RST else "fin"))
-                    flow = None
-            if flow is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((json.dumps(flow, default=int),))
-                due = (flow["last"] + limit(flow)) // 1000 + 1
-                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if done:
-            yield pd.DataFrame(done, columns=names)
-
-    timed = with_flow_key(packets).withColumn("event_time", F.timestamp_micros("timestamp_us")).withWatermark("event_time", late)
-    return timed.groupBy(*KEY).applyInPandasWithState(run, FLOW_COLUMNS, "flow string", "append", "EventTimeTimeout")
+            flow = None
+        return done, flow, None if flow is None else flow["last"] + limit(flow)
+
+    return in_event_order(with_flow_key(packets), list(KEY), F.col("timestamp_us"), ["seq"], step, FLOW_COLUMNS, late)
+
+
+def close_packets(spark: SparkSession, path: str) -> None:
+    """End the packet stream of a folder: flows that are open end by silence."""
+    close_input(spark, path, PACKETS, "timestamp_us")
