@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from flowloom import fixed_values as fv
 from flowloom.functions.scalar import is_special_ip
 from flowloom.operators.packets import KEY
-from flowloom.operators.running import chunked_fold
+from flowloom.operators.running import cooldown_fires
+from flowloom.operators.session import cut
 
 FLOW_ID = (*KEY, "flow_no")
 
@@ -138,35 +136,47 @@ def scan_step(state: dict, now: int, port: int, window_us: int, min_ports: int,
     return count
 
 
+def scan_hits(times, ports, first: int, window_us: int, min_ports: int):
+    """For each start position, the first position from *first* on whose window holds *min_ports* distinct ports of the rows since the start."""
+    import numpy as np
+
+    n = len(times)
+    since = np.full(n, -1, dtype=np.int64)  # the latest start from which a position's window still has enough ports
+    recent: dict[int, int] = {}  # the latest *min_ports* ports and where each was probed last, oldest first
+    for j, (now, port) in enumerate(zip(times.tolist(), ports.tolist())):
+        recent.pop(port, None)
+        recent[port] = j
+        if len(recent) > min_ports:
+            del recent[next(iter(recent))]
+        if len(recent) == min_ports:
+            oldest = next(iter(recent.values()))
+            if times[oldest] >= now - window_us:
+                since[j] = oldest
+    hit = np.full(n + 1, n, dtype=np.int64)
+    fires = np.flatnonzero(since >= 0)
+    fires = fires[fires >= first]
+    np.minimum.at(hit, since[fires], fires)
+    return np.minimum.accumulate(hit[::-1])[::-1]
+
+
 def port_scan_alerts(
-    probes: DataFrame, window_us: int = fv.SCAN_WINDOW_US, min_ports: int = fv.SCAN_MIN_PORTS,
-    cooldown_us: int = fv.SCAN_COOLDOWN_US, max_rows: int = 1_000_000,
+    probes: DataFrame, window_us: int = fv.SCAN_WINDOW_US, min_ports: int = fv.SCAN_MIN_PORTS, cooldown_us: int = fv.SCAN_COOLDOWN_US,
 ) -> DataFrame:
     """Probes that raise a port-scan alert, with the ports counted.
 
     After an alert a source's history is forgotten and its probes are ignored
-    for the cool-down, so each alert depends on the one before: a fold in time
-    order per source (ties by flow id).
+    for the cool-down, so each alert depends on the one before, in time order per
+    source (ties by port and flow id).  An alert comes with the probe that makes
+    the ports enough, so the count is always *min_ports*.
     """
-    columns = ["src_ip", "dst_port", "end_us", *[c for c in FLOW_ID if c in probes.columns]]
-    rows = probes.select(*columns)
-    order = ["end_us", "dst_port", *[c for c in FLOW_ID if c in columns]]
-    out = T.StructType([*rows.schema.fields, T.StructField("ports", T.LongType())])
-
-    def fold(pdf, state):
-        memory = json.loads(state) if state else {}
-        hits, counts = [], []
-        for i, (now, port) in enumerate(zip(pdf["end_us"].tolist(), pdf["dst_port"].tolist())):
-            found = scan_step(memory, now, port, window_us, min_ports, cooldown_us)
-            if found:
-                hits.append(i)
-                counts.append(found)
-        alerts = pdf.iloc[hits][columns].copy()
-        alerts["ports"] = counts
-        alerts["ports"] = alerts["ports"].astype("int64")
-        return alerts, json.dumps(memory, sort_keys=True)
-
-    return chunked_fold(rows, ["src_ip"], order, fold, out, max_rows)
+    ids = [c for c in FLOW_ID if c in probes.columns]
+    rows = probes.select("src_ip", "dst_port", "end_us", *ids)
+
+    def hits(pdf, first):
+        return scan_hits(pdf["end_us"].to_numpy(), pdf["dst_port"].to_numpy(), first, window_us, min_ports)
+
+    fired = cooldown_fires(rows, ["src_ip"], "end_us", ["dst_port", *ids], cooldown_us, window_us, hits)
+    return fired.withColumn("ports", F.lit(min_ports).cast("long"))
 
 
 # --- rules and threshold -----------------------------------------------------------------------
@@ -247,15 +257,16 @@ def apply_rules(predicted: DataFrame, threshold: float = fv.ATTACK_THRESHOLD) ->
     return _decide(predicted, threshold, F.lit(None).cast("long"))
 
 
-def detect(predicted: DataFrame, threshold: float = fv.ATTACK_THRESHOLD, max_rows: int = 1_000_000) -> DataFrame:
-    """Threshold, port-scan memory and rules, in their order, over predicted flows."""
+def detect(predicted: DataFrame, threshold: float = fv.ATTACK_THRESHOLD) -> DataFrame:
+    """Threshold, port-scan memory and rules, in their order, over predicted flows.  Their predictions are written once, as they are read twice."""
+    predicted = cut(predicted)
     open_rows = predicted.filter(~(F.col("is_attack") & (F.col("confidence") >= threshold)))
-    alerts = port_scan_alerts(port_scan_probes(open_rows), max_rows=max_rows)
+    alerts = port_scan_alerts(port_scan_probes(open_rows))
     joined = predicted.join(alerts.select(*FLOW_ID, F.col("ports").alias("_ports")), list(FLOW_ID), "left")
     return _decide(joined, threshold, F.col("_ports")).drop("_ports")
 
 
-def run_detection(flows: DataFrame, score=None, threshold: float = fv.ATTACK_THRESHOLD, max_rows: int = 1_000_000) -> DataFrame:
+def run_detection(flows: DataFrame, score=None, threshold: float = fv.ATTACK_THRESHOLD) -> DataFrame:
     """Filter -> model (or bypass) -> threshold and rules, one prediction row per flow.
 
     *score* takes the flows that pass the filter and returns them with
@@ -270,4 +281,4 @@ def run_detection(flows: DataFrame, score=None, threshold: float = fv.ATTACK_THR
         benign = bypassed.withColumns(benign_result(F.col("bypass_reason")))
         scored = score(passed)
         predicted = benign.unionByName(scored.select(*benign.columns))
-    return detect(predicted, threshold, max_rows).withColumn("timestamp_utc", F.col("end_us") / 1e6)
+    return detect(predicted, threshold).withColumn("timestamp_utc", F.col("end_us") / 1e6)

@@ -1,7 +1,7 @@
 """Ordered computations that must not put one key into one task.
 
 ``running_total``  cumulative sums: ordered chunks, chunk totals, offsets.
-``chunked_fold``   a sequential fold whose state is carried between chunks.
+``cooldown_fires``  a rule that rests after each firing, as tables of slots that are composed.
 ``smallest_by_hash``  the n rows of a group with the smallest hash.
 """
 
@@ -16,6 +16,10 @@ from pyspark.sql import Window as W
 
 from flowloom.operators.session import cut
 
+#: Length of a slot of ``cooldown_fires`` in cool-downs, and slots whose tables are composed by one task.
+SLOTS = 64
+FAN = 256
+
 
 def ordered_chunks(df: DataFrame, by: Sequence[str], chunks: int) -> DataFrame:
     """Range-partition by *by* and fix the partition number as ``_chunk``.
@@ -48,69 +52,113 @@ def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums
     return out.drop("_chunk", *[f"_{p}_{n}" for p in "vso" for n in sums])
 
 
-def chunked_fold(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    fold: Callable,
-    out_schema: T.StructType,
-    max_rows: int = 1_000_000,
+def cooldown_fires(
+    df: DataFrame, keys: Sequence[str], at: str, order: Sequence[str], cooldown: float, window: float, hits: Callable,
 ) -> DataFrame:
-    """Run a sequential fold over each key's rows in *order*, in parallel chunks.
-
-    ``fold(pdf, state) -> (out_pdf, state)`` takes sorted rows and the state
-    before them (a string, or None at the start).  Keys with at most
-    *max_rows* rows fold in one go.  Otherwise rows are cut into ordered
-    chunks; every chunk folds from a guessed state (that of an empty past),
-    and chunks whose true incoming state turns out to differ are folded again
-    until nothing changes.  States of real folds forget the past quickly, so
-    this settles in a few rounds; it is exact in any case, since each round
-    makes at least one more chunk of every key final.
+    """The rows at which a rule fires that rests for *cooldown* after each firing and forgets what was before: a fold, run in parallel.
+
+    ``hits(pdf, first)`` takes rows in order and gives, for every start position p,
+    the first position from *first* on at which the rule fires when it has seen the
+    rows from p only (``len(pdf)``: none; one more entry for the end).  A firing at j
+    may depend on rows up to *window* before it.
+
+    All that the past says is when the rule may see rows again, and only the last
+    *cooldown* and *window* before a place matter there.  So each key's time is cut
+    into slots of SLOTS times their sum, one task a slot, and
+
+    1. each slot states a table "wakes at" -> "wakes at after the slot", a row of
+       two arrays no longer than the rows within *window* and *cooldown* of its start;
+    2. FAN slots at a time, the tables are composed to one;
+    3. the composed tables of a key are walked from the empty past, which gives each
+       group's true start, and 4. the tables inside each group, each slot's;
+    5. each slot emits its firings from its true start.
+
+    That is one path for every size and a fixed number of jobs.  *order* must be
+    unique within a key and time.  Rows without a time never fire.
     """
-    spark = df.sparkSession
-    keys, order = list(keys), list(order)
-    sizes = df.groupBy(*keys).count().agg(F.max("count"), F.sum("count")).first()
-    biggest, total = sizes[0] or 0, sizes[1] or 0
-
-    if biggest <= max_rows:
-        def whole(pdf):
-            return fold(pdf.sort_values(order, kind="stable"), None)[0]
-        return df.groupBy(*keys).applyInPandas(whole, out_schema)
-
-    base = ordered_chunks(df, [*keys, *order], -(-total // max_rows) + 1)
-    part = [*keys, "_chunk"]
-    key_fields = [f for f in base.schema.fields if f.name in part]
-    key_fields.sort(key=lambda f: part.index(f.name))
-    state_schema = T.StructType([*key_fields, T.StructField("state_out", T.StringType())])
-
-    def end_state(pdf):
+    keys, by, columns = list(keys), [at, *order], df.columns
+    span, fan = SLOTS * (cooldown + window), FAN
+    own = F.floor(F.col(at) / span).cast("long")
+    ahead = (own + 1) * span - F.col(at) <= window  # the next slot sees the window before it
+    base = cut(df.filter(F.col(at).isNotNull()).withColumn("_slot", F.explode(F.when(F.lit(window > 0) & ahead, F.array(own, own + 1)).otherwise(F.array(own)))))
+    fields = {f.name: f for f in base.schema.fields}
+    key_schema = [fields[k] for k in keys]
+    tables_schema = T.StructType([*key_schema, T.StructField("_slot", T.LongType()), T.StructField("_upto", T.ArrayType(T.DoubleType())),
+                                  T.StructField("_out", T.ArrayType(T.DoubleType()))])
+    starts_schema = T.StructType([*key_schema, T.StructField("_slot", T.LongType()), T.StructField("_wakes", T.DoubleType())])
+
+    def path(pdf):
+        """Times, the position of the slot's first own row, and the next firing after each position's firing."""
+        import numpy as np
+
+        pdf = pdf.sort_values(by, kind="stable")
+        t = pdf[at].to_numpy(dtype=float)
+        start = float(pdf["_slot"].iloc[0]) * span
+        first = int(np.searchsorted(t, start))
+        hit = np.asarray(hits(pdf, first), dtype=np.int64)
+        return pdf, t, start, hit, np.append(hit[np.searchsorted(t, t + cooldown)], len(t))
+
+    def table(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf, t, start, hit, after = path(pdf)
+        n = len(t)
+        last = np.where(after == n, np.arange(n + 1), after)
+        while (last[last] != last).any():
+            last = last[last]
+        p = np.arange(int(np.searchsorted(t, start + cooldown)) + 1)
+        wakes = np.where(hit[p] == n, -np.inf, np.append(t, 0.0)[last[hit[p]]] + cooldown)
+        upto = np.append(t, np.inf)[p]
+        upto[-1] = np.inf
+        stays = np.append(wakes[1:] != wakes[:-1], True)  # one entry for neighbours that end alike
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), int(pdf["_slot"].iloc[0]), upto[stays], wakes[stays]]], columns=[*keys, "_slot", "_upto", "_out"])
+
+    def through(upto, out, wakes):
+        import numpy as np
+
+        return np.asarray(out)[np.searchsorted(np.asarray(upto), wakes)]
+
+    def composed(pdf):
+        import numpy as np
         import pandas as pd
-        state = fold(pdf.sort_values(order, kind="stable"), _none(pdf["state_in"].iloc[0]))[1]
-        return pd.DataFrame([[*(pdf[c].iloc[0] for c in part), state]], columns=[*part, "state_out"])
-
-    def emit(pdf):
-        return fold(pdf.sort_values(order, kind="stable"), _none(pdf["state_in"].iloc[0]))[0]
-
-    chain = W.partitionBy(*keys).orderBy("_chunk")
-    first = base.withColumn("state_in", F.lit(None).cast("string"))
-    states = cut(first.groupBy(*part).applyInPandas(end_state, state_schema)
-                 .withColumn("state_in", F.lit(None).cast("string")))
-    while True:
-        wanted = states.withColumn("wanted", F.lag("state_out").over(chain))
-        stale = wanted.filter(~F.col("wanted").eqNullSafe(F.col("state_in")))
-        if stale.isEmpty():
-            break
-        again = (
-            base.join(stale.select(*part, F.col("wanted").alias("state_in")), part)
-            .groupBy(*part).applyInPandas(end_state, state_schema))
-        fresh = stale.select(*part, F.col("wanted").alias("state_in")).join(again, part)
-        keep = states.join(stale.select(*part), part, "left_anti")
-        states = cut(keep.unionByName(fresh.select(*keep.columns)))
-    return base.join(states.select(*part, "state_in"), part).groupBy(*part).applyInPandas(emit, out_schema)
-
-
-def _none(value):
-    return value if isinstance(value, str) else None
+
+        pdf = pdf.sort_values("_slot")
+        wakes = np.asarray(pdf["_out"].iloc[0])
+        for upto, out in zip(pdf["_upto"].iloc[1:], pdf["_out"].iloc[1:]):
+            wakes = through(upto, out, wakes)
+        return pd.DataFrame([[*(pdf[k].iloc[0] for k in keys), int(pdf["_slot"].iloc[0]) // fan, pdf["_upto"].iloc[0], wakes]], columns=[*keys, "_slot", "_upto", "_out"])
+
+    def walked(pdf):
+        import numpy as np
+
+        pdf = pdf.sort_values("_slot")
+        wakes, found = float(pdf["_start"].iloc[0]) if "_start" in pdf else -np.inf, []
+        for upto, out in zip(pdf["_upto"], pdf["_out"]):
+            found.append(wakes)
+            wakes = float(through(upto, out, wakes))
+        return pdf[[*keys, "_slot"]].assign(_wakes=found)
+
+    def emitted(rows, starts):
+        pdf, t, _, hit, after = path(rows)
+        import numpy as np
+
+        i, picked = int(hit[np.searchsorted(t, float(starts["_wakes"].iloc[0]))]), []
+        while i < len(t):
+            picked.append(i)
+            i = int(after[i])
+        return pdf.iloc[picked][columns]
+
+    tables = cut(base.groupBy(*keys, "_slot").applyInPandas(table, tables_schema))
+    group = F.floor(F.col("_slot") / fan).cast("long")
+    groups = tables.withColumn("_group", group).groupBy(*keys, "_group").applyInPandas(composed, tables_schema)
+    first = groups.groupBy(*keys).applyInPandas(walked, starts_schema)
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys]
+    placed = tables.withColumn("_group", group).alias("t").join(
+        first.select(*keys, F.col("_slot").alias("_g"), F.col("_wakes").alias("_start")).alias("g"),
+        [*same, F.col("_group") == F.col("_g")]).select("t.*", "_start")
+    starts = placed.groupBy(*keys, "_group").applyInPandas(walked, starts_schema)
+    return base.groupBy(*keys, "_slot").cogroup(starts.groupBy(*keys, "_slot")).applyInPandas(emitted, df.schema)
 
 
 def smallest_by_hash(df: DataFrame, group: str, row_hash: Column, quota: DataFrame, digits: int = 4) -> DataFrame:

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from flowloom import fixed_values as fv
 from flowloom.operators.log import as_of_or_latest
-from flowloom.operators.running import chunked_fold
+from flowloom.operators.running import cooldown_fires
 
 _attacks = lambda: F.count_if(F.col("is_attack") == 1)
 _normal = lambda: F.count_if(F.col("is_attack") == 0)
@@ -71,30 +68,22 @@ def throttle_step(last: float | None, now: float, cooldown_s: float) -> bool:
     return last is None or now - last >= cooldown_s
 
 
-def throttle_alerts(alerts: DataFrame, cooldown_s: float = fv.CHAT_COOLDOWN_S, key: str | None = None, max_rows: int = 1_000_000) -> DataFrame:
+def throttle_alerts(alerts: DataFrame, cooldown_s: float = fv.CHAT_COOLDOWN_S, key: str | None = None) -> DataFrame:
     """Alerts that are sent: attacks only, at most one per cool-down and key, first one wins.
 
     Which alert is sent depends on the one sent before, so this is a fold, but
     only over the distinct attack times of a key (alerts at one time count once,
-    the smallest id of it is sent), in ordered chunks when a key has many.
+    the smallest id of it is sent), in slots of time side by side.
     """
     rows = alerts.filter(F.col("is_attack") == 1).withColumn("_key", F.col(key).cast("string") if key else F.lit("all"))
     times = rows.groupBy("_key", F.col("timestamp_utc").cast("double").alias("at")).agg(F.min("id").alias("id"))
-    out = T.StructType([T.StructField("_key", T.StringType()), T.StructField("at", T.DoubleType()), T.StructField("id", T.LongType())])
 
-    def fold(pdf, state):
+    def every(pdf, first):
         import numpy as np
 
-        at = pdf["at"].to_numpy()
-        last = json.loads(state) if state else None
-        picked, i = [], 0 if last is None else int(np.searchsorted(at, last + cooldown_s, side="left"))
-        while i < len(at):
-            picked.append(i)
-            last = float(at[i])
-            i = int(np.searchsorted(at, last + cooldown_s, side="left"))
-        return pdf.iloc[picked][["_key", "at", "id"]], None if last is None else json.dumps(last)
+        return np.maximum(np.arange(len(pdf) + 1), first)
 
-    sent = chunked_fold(times, ["_key"], ["at"], fold, out, max_rows)
+    sent = cooldown_fires(times, ["_key"], "at", [], cooldown_s, 0, every)
     return rows.join(sent.select("_key", "id"), ["_key", "id"], "left_semi").drop("_key")
 
 

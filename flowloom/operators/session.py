@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,13 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; the folder goes when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/flowloom/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise *df* in the shared folder so later stages do not recompute it."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    """*df* written once as Parquet in the shared folder and read back, so later stages neither recompute it nor lose it with an executor."""
+    path = shared_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def prepare(spark: SparkSession) -> SparkSession:

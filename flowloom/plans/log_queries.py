@@ -258,9 +258,17 @@ def throttle_alerts(spark, sf_dir):
     select k, (select min(t) from tt where tt.k = sent.k and tt.t >= sent.t + 30) as t from sent where sent.t is not null)
   select tt.id, tt.t as timestamp_utc, tt.k as attack_type from tt join sent on tt.t = sent.t and tt.k = sent.k""")
 def throttle_alerts_by_type(spark, sf_dir):
-    log = _dense_log(spark, sf_dir)
-    limit = max(2, log.count() // 50)  # a small limit, so that chunks are used at any scale
-    return se.throttle_alerts(log, fv.CHAT_COOLDOWN_S, "attack_type", max_rows=limit).select("id", "timestamp_utc", "attack_type")
+    return se.throttle_alerts(_dense_log(spark, sf_dir), fv.CHAT_COOLDOWN_S, "attack_type").select("id", "timestamp_utc", "attack_type")
+
+
+@query(f"""with recursive {_L}, tt as (select cast(floor(timestamp_utc / 2000) as bigint) as t, min(id) as id from attack_log_v where is_attack = 1 group by 1),
+  sent as (select min(t) as t from tt union all
+    select (select min(t) from tt where tt.t >= sent.t + 5) as t from sent where sent.t is not null)
+  select tt.id, tt.t as timestamp_utc from tt join sent on tt.t = sent.t""")
+def throttle_alerts_every_second(spark, sf_dir):
+    """A log with alerts in nearly every second, so that no pause parts the alerts that are sent."""
+    log = views.attack_log_v(spark, sf_dir).withColumn("timestamp_utc", F.floor(F.col("timestamp_utc") / 2000).cast("long"))
+    return se.throttle_alerts(log, 5).select("id", "timestamp_utc")
 
 
 @query(f"""with {_L}, m as (select *, strftime(to_timestamp(timestamp_utc) at time zone 'UTC', '%Y-%m-%d %H:%M:%S') as sent_at,

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by the hash of *key* over all cores, whatever number of row groups the table's files have."""
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions())
+    return df.repartition(tasks, key)
+
+
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table as a file stream."""
     schema = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet").schema
@@ -20,7 +26,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark, sf_dir, stream: bool = False) -> DataFrame:
-    return (stream_table if stream else table)(spark, sf_dir, "events").select(
+    events = stream_table(spark, sf_dir, "events") if stream else spread(table(spark, sf_dir, "events"), "event_id")
+    return events.select(
         "event_id", "user_id", "event_type", "value",
         F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
         F.get_json_object("props", "$.k").cast("int").alias("k"))
@@ -102,7 +109,7 @@ def scan_flows_v(spark: SparkSession, sf_dir: str, stream: bool = False) -> Data
 
 def labelled_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as raw labelled flows (all text), with defects, exact copies and conflicts."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     key, whole = F.col("l_orderkey"), lambda c: F.floor(c).cast("long").cast("string")
     label = (
         F.when(key % 113 == 0, "").when(F.col("l_returnflag") == "A", " BENIGN ")

@@ -3,6 +3,7 @@
 import ipaddress
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from flowloom import fixed_values as fv
 from flowloom.functions.scalar import is_special_ip
 from flowloom.operators import log as lg
 from flowloom.operators import rules as ru
+from flowloom.operators import running
 from flowloom.operators import series as se
 
 
@@ -95,15 +97,21 @@ def plain_alerts(events):
     return sorted(out)
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 40])
-def test_scan_alerts_equal_plain_fold(spark, max_rows):
+@pytest.fixture(params=[(64, 256), (1, 2), (1, 3)])
+def slots(request, monkeypatch):
+    """Slot lengths and fans: with small ones firings, rests and windows cross many slots and groups."""
+    monkeypatch.setattr(running, "SLOTS", request.param[0])
+    monkeypatch.setattr(running, "FAN", request.param[1])
+
+
+def test_scan_alerts_equal_plain_fold(spark, slots):
     rng = random.Random(3)
     t, rows = 0, []
     for i in range(900):
         t += rng.choice([1, 1, 100_000, 200_000, 300_000, 1_500_000] if i % 50 else [4_999_999])
         rows.append(dict(src_ip=rng.choice(["10.0.0.1", "10.0.0.1", "10.0.0.2"]), dst_port=1000 + rng.randrange(9), end_us=t))
     probes = ru.port_scan_probes(flow_rows(spark, rows))
-    got = ru.port_scan_alerts(probes, max_rows=max_rows)
+    got = ru.port_scan_alerts(probes)
     want = plain_alerts([(r["src_ip"], r["end_us"], r["dst_port"]) for r in rows])
     assert len(want) > 20
     assert sorted((r.src_ip, r.end_us, r.dst_port, r.ports) for r in got.collect()) == want
@@ -127,8 +135,7 @@ def test_detect_order(spark):
     assert {r.label for r in ru.detect(kept).collect()} == {"DoS"}
 
 
-@pytest.mark.parametrize("max_rows", [1_000_000, 20])
-def test_throttle(spark, max_rows):
+def test_throttle(spark, slots):
     rng = random.Random(5)
     rows, t = [], 0.0
     for i in range(300):
@@ -140,10 +147,38 @@ def test_throttle(spark, max_rows):
         if attack and t - last.get(kind, -1e9) >= 30:
             want.append(i)
             last[kind] = t
-    got = sorted(r.id for r in se.throttle_alerts(log, 30, "kind", max_rows).collect())
+    got = sorted(r.id for r in se.throttle_alerts(log, 30, "kind").collect())
     assert got == want
 
 
+def test_alert_per_second_takes_a_fixed_number_of_jobs(spark, monkeypatch):
+    """One key, no pause: the tables of ever more slots are composed by the same jobs."""
+    jobs = []
+    for seconds, slots in ((500, 4), (4000, 1)):
+        monkeypatch.setattr(running, "SLOTS", slots)
+        log = spark.range(seconds).selectExpr("id", "cast(id as double) as timestamp_utc", "1 as is_attack")
+        group = f"throttle-{seconds}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = sorted(r.id for r in se.throttle_alerts(log, 7).collect())
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        assert got == list(range(0, seconds, 7))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 2
+
+
+def test_scan_hits_equal_plain_windows():
+    rng = random.Random(9)
+    for _ in range(200):
+        n = rng.randint(0, 40)
+        t = sorted(rng.randrange(60) for _ in range(n))
+        ports = [rng.randrange(6) for _ in range(n)]
+        first = rng.randint(0, n)
+        got = ru.scan_hits(np.array(t, dtype=float), np.array(ports, dtype=int), first, 10, 3)
+        for p in range(n + 1):
+            want = next((j for j in range(max(p, first), n) if len({ports[i] for i in range(p, j + 1) if t[i] >= t[j] - 10}) >= 3), n)
+            assert got[p] == want
+
+
 def test_log_populations(spark):
     def log(rows):
         return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, attack_type string, is_attack int, timestamp_utc double, src_ip string")
