@@ -19,7 +19,7 @@ from flowloom.plans import view_sql as vs
 from flowloom.plans import views
 from flowloom.plans.registry import ORACLES, query
 from flowloom.plans.stream_queries import _finish
-from flowloom.sources import files, sinks
+from flowloom.sources import captures, files, sinks
 from flowloom.streaming import flows as sf
 
 
@@ -185,3 +185,17 @@ def training_inputs(spark, sf_dir):
     found = [(k, _holds(lambda k=k: md.check_training_inputs(train, test, k))) for k in (4, 5)]
     sizes = rows.agg(F.count_if(F.col("part") == "train").alias("train_rows"), F.count_if(F.col("part") == "test").alias("test_rows"))
     return spark.createDataFrame(found, "classes int, fine boolean").join(sizes)
+
+
+@query(f"""with {vs.PACKETS} select form, timestamp_us, src_ip, dst_ip, src_port, dst_port, protocol, cast(40 + payload_length as int) as ip_total_length, ip_header_length,
+    transport_header_length, payload_length, tcp_flags, tcp_window, tcp_data_offset, 'ok' as status
+  from packets_v, (values ('pcap'), ('pcapng')) as f(form)""")
+def capture_round_trip(spark, sf_dir):
+    """Packets written as capture files of both forms and read back in many byte ranges."""
+    out = None
+    for form in ("pcap", "pcapng"):
+        path = new_path(spark, form)
+        captures.write_captures(views.packets_v(spark, sf_dir), path, form)
+        read = captures.read_captures(spark, f"{path}/*.{form}", range_bytes=65536).drop("file", "seq").withColumn("form", F.lit(form))
+        out = read if out is None else out.unionByName(read)
+    return out

@@ -13,7 +13,7 @@ from flowloom.operators.packets import accept_packets
 from flowloom.operators.packets import packet_stats
 from flowloom.plans import views
 from flowloom.sources import files, sinks
-from flowloom.sources.captures import read_captures
+from flowloom.sources.captures import read_captures, write_captures
 from tests.test_flows import C, S
 
 SF = "/root/testdata/sf0.001"
@@ -121,6 +121,29 @@ def test_newer_captures_and_damaged_ones(spark, new_dir):
     assert tuple(packet_stats(read_captures(spark, new_dir + "/*")).first()) == (10, 4, 0, 6)
 
 
+@pytest.mark.parametrize("form", ["pcap", "pcapng"])
+def test_captures_split_into_ranges(spark, new_dir, make_packets, form):
+    """Any range length gives the same packets with the same numbers; a file is read by many tasks."""
+    rows = [(i, 10**12 + 37 * i, "10.0.0.1", 1000 + i % 50, "10.0.0.2", 80, i % 32, i % 300) for i in range(500)]
+    rows += [((500 + i, 10**12 + 37 * (500 + i), "10.0.0.3", 53, "10.0.0.4", 53, 0, i), {"proto": 17}) for i in range(20)]
+    packets = make_packets(rows)
+    files = write_captures(packets.repartition(2), new_dir + "/in", form).collect()
+    assert sum(r.packets for r in files) == 520 and len(files) == 2
+    with open(f"{new_dir}/in/{files[0].file}", "ab") as f:
+        f.write(b"cut off")
+    read = lambda n: read_captures(spark, f"{new_dir}/in/*.{form}", n)
+    show = lambda d: sorted(tuple(r) for r in d.collect())
+    whole = show(read(1 << 30))
+    assert len(whole) == 521 and sum(r[-1] == "error" for r in whole) == 1
+    for n in (1, 100, 4096):
+        part = read(n)
+        assert show(part) == whole
+    assert read(4096).rdd.getNumPartitions() > 8
+    back = read(100).filter("status = 'ok'").select("timestamp_us", "src_port", "payload_length", "tcp_flags", "transport_header_length")
+    want = packets.select("timestamp_us", "src_port", "payload_length", "tcp_flags", "transport_header_length")
+    assert show(back) == show(want)
+
+
 def test_log_appends_once(spark, new_dir):
     rows = views.attack_log_v(spark, SF).select(*[F.col(c) for c in (
         "attack_type", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "confidence", "is_attack", "flow_id")], F.col("timestamp_utc").cast("double"))
