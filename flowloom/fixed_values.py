@@ -172,6 +172,11 @@ SCALE_QUANTILES = (0.25, 0.75)
 MI_NEIGHBOURS = 3
 DEGRADED_SHARE = 0.20
 PREPROCESSING_VERSION = 3
+# Sizes of the learners.
+FOREST_TREES, FOREST_DEPTH = 160, 20
+BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, BOOST_SUBSAMPLE = 220, 8, 0.1, 0.8
+MLP_LAYERS, MLP_ITERATIONS, MLP_PATIENCE = (96, 48, 24), 100, 8
+
 RARE_CLASS_ROWS = 100
 KNOWN_CLASSES = (0, 1, 2, 3, 4, 5)
 UNSEEN_CLASSES = (6, 7, 8)

@@ -14,8 +14,7 @@ from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import (
-    GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +24,7 @@ from flowloom.operators import metrics
 from flowloom.operators.prep import Params, row_hash, transform
 from flowloom.operators.rules import rejected_result
 from flowloom.operators.running import smallest_by_hash
+from flowloom.operators.trained import Perceptron, fit_perceptron, fit_svm_folds
 
 
 def check_training_inputs(train: DataFrame, test: DataFrame, n_classes: int) -> None:
@@ -82,7 +82,7 @@ def with_balanced_weight(df: DataFrame, label: str = "y") -> DataFrame:
     """Add ``weight`` = rows / (classes x rows of the class)."""
     counts = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}  # one row per class
     n, k = sum(counts.values()), len(counts)
-    weight = F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, n / (k * m))]) if counts else F.lit(None)
+    weight = F.create_map(*[F.lit(x) for c, m in counts.items() for x in (c, n / (k * m))]) if counts else F.lit(None).cast("map<int,double>")
     return df.withColumn("weight", F.element_at(weight, F.col(label)))
 
 
@@ -115,7 +115,7 @@ class Fitted:
         return out.select(*df.columns, vector_to_array("probability").alias("probability"))
 
 
-def fit_random_forest(train: DataFrame, n_classes: int, trees: int = 160, depth: int = 20, seed: int = fv.SEED) -> Fitted:
+def fit_random_forest(train: DataFrame, n_classes: int, trees: int = fv.FOREST_TREES, depth: int = fv.FOREST_DEPTH, seed: int = fv.SEED) -> Fitted:
     learner = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", subsamplingRate=1.0, maxMemoryInMB=1024)
     return Fitted(learner.fit(_ready(with_balanced_weight(train))), n_classes)
@@ -148,8 +148,8 @@ def _per_class(df: DataFrame, fit: Callable[[int], object], n_classes: int, para
         return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_classes))
 
 
-def fit_boosted_trees(train: DataFrame, n_classes: int, rounds: int = 220, depth: int = 8, rate: float = 0.1,
-                      subsample: float = 0.8, seed: int = fv.SEED, parallel: int = 4) -> OneVersusRest:
+def fit_boosted_trees(train: DataFrame, n_classes: int, rounds: int = fv.BOOST_ROUNDS, depth: int = fv.BOOST_DEPTH, rate: float = fv.BOOST_RATE,
+                      subsample: float = fv.BOOST_SUBSAMPLE, seed: int = fv.SEED, parallel: int = 4) -> OneVersusRest:
     """Gradient-boosted trees, one binary ensemble per class, balanced weights."""
     rows = _ready(with_balanced_weight(train)).persist()
     try:
@@ -161,12 +161,10 @@ def fit_boosted_trees(train: DataFrame, n_classes: int, rounds: int = 220, depth
     return OneVersusRest(models, n_classes)
 
 
-def fit_mlp(train: DataFrame, n_classes: int, hidden: Sequence[int] = (96, 48, 24), iterations: int = 100, seed: int = fv.SEED) -> Fitted:
-    """Multilayer perceptron on rows repeated by their balanced weights."""
-    width = train.select(F.size("vector")).first()[0]
-    rows = _ready(resample_by_weight(with_balanced_weight(train)))
-    learner = MultilayerPerceptronClassifier(layers=[width, *hidden, n_classes], maxIter=iterations, blockSize=512, seed=seed)
-    return Fitted(learner.fit(rows), n_classes)
+def fit_mlp(train: DataFrame, n_classes: int, hidden: Sequence[int] = fv.MLP_LAYERS, iterations: int = fv.MLP_ITERATIONS,
+            patience: int = fv.MLP_PATIENCE, seed: int = fv.SEED) -> Perceptron:
+    """Multilayer perceptron on rows repeated by their balanced weights; a tenth of them tells when to stop."""
+    return fit_perceptron(resample_by_weight(with_balanced_weight(train)).select("vector", "y"), n_classes, hidden, iterations, patience, seed=seed)
 
 
 @dataclass
@@ -195,33 +193,9 @@ class CalibratedSvm:
         return out.select(*df.columns, F.array(*mean).alias("probability"))
 
 
-def _calibrated_class(fit_part: DataFrame, held: DataFrame, i: int, iterations: int, reg: float) -> tuple[list[float], float, float, float]:
-    """Coefficients and intercept of class *i* against the rest, slope and shift of the sigmoid over the held margins."""
-    binary = lambda d: d.withColumn("label", (F.col("y") == i).cast("double"))
-    share = fit_part.agg(F.avg((F.col("y") == i).cast("double"))).first()[0] or 0.0
-    w = F.when(F.col("label") == 1, 0.5 / max(share, 1e-12)).otherwise(0.5 / max(1 - share, 1e-12))
-    svm = LinearSVC(maxIter=iterations, regParam=reg, weightCol="weight").fit(binary(fit_part).withColumn("weight", w))
-    margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
-    scored = svm.transform(binary(held)).select(margin.alias("margin"), "label")
-    sigmoid = LogisticRegression(featuresCol="margin", maxIter=50).fit(scored)
-    flat = sigmoid.numClasses == 2
-    slope = float(sigmoid.coefficients[0]) if flat else 0.0
-    shift = float(sigmoid.intercept) if flat else -50.0
-    return [float(c) for c in svm.coefficients], float(svm.intercept), slope, shift
-
-
-def fit_linear_svm(train: DataFrame, n_classes: int, folds: int = 3, iterations: int = 100, reg: float = 1e-4, seed: int = fv.SEED,
-                   parallel: int = 4) -> CalibratedSvm:
-    """Linear SVM per class, calibrated on the fold left out; folds by row hash."""
-    rows = _ready(train).withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), *train.columns), F.lit(folds))).persist()
-    out = []
-    try:
-        for f in range(folds):
-            fit_part, held = rows.filter(F.col("_fold") != f), rows.filter(F.col("_fold") == f)
-            out.append(_per_class(rows, lambda i: _calibrated_class(fit_part, held, i, iterations, reg), n_classes, parallel))
-    finally:
-        rows.unpersist()
-    return CalibratedSvm(out, n_classes)
+def fit_linear_svm(train: DataFrame, n_classes: int, folds: int = 3, iterations: int = 100, reg: float = 1e-4, seed: int = fv.SEED) -> CalibratedSvm:
+    """Linear SVM per class, calibrated on the fold left out; folds by row hash; all of them fitted in the same passes."""
+    return CalibratedSvm(fit_svm_folds(train.select("vector", "y"), n_classes, folds, iterations, reg, seed), n_classes)
 
 
 # --- scoring ------------------------------------------------------------------------------

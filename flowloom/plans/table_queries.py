@@ -577,36 +577,47 @@ def model_rows(spark, sf_dir):
     return rows.filter("part = 'train'"), rows.filter("part = 'test'"), p
 
 
+#: Rows that the learners' queries fit on at most, every class represented; the whole test part is scored.
+FIT_ROWS = 2000
+
+
+def fit_part(train):
+    rows = train.select("y", "vector", *FEATURES)
+    if rows.count() > FIT_ROWS:
+        rows = md.class_aware_subset(rows, FIT_ROWS, FEATURES, "y")
+    return cut(rows.select("y", "vector"))
+
+
 def _evaluate(spark, sf_dir, fit):
     train, test, p = model_rows(spark, sf_dir)
-    model = fit(train.select("y", "vector"), len(p.classes))
+    model = fit(fit_part(train), len(p.classes))
     return rounded(mt.classification_metrics(md.predict(test.select("y", "vector"), model)))
 
 
 @query()
 def fit_random_forest(spark, sf_dir):
-    return _evaluate(spark, sf_dir, lambda d, k: md.fit_random_forest(d, k, trees=20, depth=8))
+    return _evaluate(spark, sf_dir, md.fit_random_forest)
 
 
 @query()
 def fit_boosted_trees(spark, sf_dir):
-    return _evaluate(spark, sf_dir, lambda d, k: md.fit_boosted_trees(d, k, rounds=4, depth=4))
+    return _evaluate(spark, sf_dir, md.fit_boosted_trees)
 
 
 @query()
 def fit_mlp(spark, sf_dir):
-    return _evaluate(spark, sf_dir, lambda d, k: md.fit_mlp(d, k, iterations=20))
+    return _evaluate(spark, sf_dir, md.fit_mlp)
 
 
 @query()
 def fit_linear_svm(spark, sf_dir):
-    return _evaluate(spark, sf_dir, lambda d, k: md.fit_linear_svm(d, k, iterations=10))
+    return _evaluate(spark, sf_dir, md.fit_linear_svm)
 
 
 @query()
 def score(spark, sf_dir):
     train, test, p = model_rows(spark, sf_dir)
-    model = md.fit_random_forest(train.select("y", "vector"), len(p.classes), trees=10, depth=6)
+    model = md.fit_random_forest(fit_part(train), len(p.classes))
     out = md.score(test.select("y", *FEATURES), model, p, p.classes)
     return rounded(out.groupBy("y", "label", "status", "feature_quality").agg(
         F.count("*").alias("rows"), F.avg("confidence").alias("mean_confidence")), 6)
@@ -614,9 +625,12 @@ def score(spark, sf_dir):
 
 @query()
 def unseen_class_eval(spark, sf_dir):
+    """Every attack class in turn is the one not learnt; a row for each."""
     train, test, p = model_rows(spark, sf_dir)
-    benign, last = 0, len(p.classes) - 1
-    report, _ = md.unseen_class_eval(
-        train.select("y", "vector"), test.select("y", "vector"), lambda d, k: md.fit_random_forest(d, k, trees=10, depth=6),
-        known=[benign, *range(1, last)], unseen=[last])
-    return report
+    rows, out = fit_part(train), None
+    for unseen in range(1, len(p.classes)):
+        known = [c for c in range(len(p.classes)) if c != unseen]
+        report, _ = md.unseen_class_eval(rows, test.select("y", "vector"), md.fit_random_forest, known, [unseen])
+        report = report.withColumn("unseen_class", F.lit(unseen))
+        out = report if out is None else out.unionByName(report)
+    return out
