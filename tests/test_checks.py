@@ -15,7 +15,7 @@ NAMES = [
     "throttle_alerts", "alert_messages", "display_columns", "display_numbers", "repair_counts", "cleaning_audit", "stratified_split",
     "class_aware_subset", "transform", "classification_report", "confidence_histogram", "stream_traffic_stats",
     "labelled_csv", "source_rows", "validate_inputs", "file_checksums", "cleaned_round_trip", "split_round_trip", "audit_round_trip", "log_append",
-    "log_reset", "predictions_jsonl", "packet_stream", "leakage_check", "training_inputs"]
+    "log_reset", "predictions_jsonl", "packet_stream", "leakage_check", "training_inputs", "capture_round_trip", "throttle_alerts_every_second", "stream_port_scan"]
 
 
 @pytest.fixture(scope="module")
