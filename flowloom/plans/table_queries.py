@@ -433,11 +433,13 @@ def _score_source(spark, sf_dir):
         F.nullif(F.col(c), F.lit("")).alias(c) if c == "flow_duration" else F.col(c) for c in FEATURES])
 
 
-_VAL = lambda c: f"case when {_GONE(c)} or {_BAD(c)} then (select {c} from med) else try_cast(trim({c}) as double) end"
+_VAL = lambda c: f"case when {_GONE(c)} or {_BAD(c)} then {c}_med else try_cast(trim({c}) as double) end"
 _TRANS = _SCALED + _SCORE_SRC + f""",
+med_names as (select {", ".join(f"{c} as {c}_med" for c in _WORK)} from med),
+log_names as (select {", ".join(f"{c} as {c}_log" for c in _LOGGABLE)} from logstat),
 tv as (select source_file, source_row, label_raw, {_names(_GONE)} as missing_fields, {_names(_BAD)} as rejected_fields,
-  {" + ".join(f"cast({_GONE(c)} or {_BAD(c)} as int)" for c in _WORK)} as n_bad, {", ".join(f"{_VAL(c)} as {c}" for c in _WORK)} from src),
-tl as (select tv.* replace ({", ".join(f"case when (select {c} from logstat) then ln(1 + greatest(tv.{c}, 0)) else tv.{c} end as {c}" for c in _LOGGABLE)}) from tv),
+  {" + ".join(f"cast({_GONE(c)} or {_BAD(c)} as int)" for c in _WORK)} as n_bad, {", ".join(f"{_VAL(c)} as {c}" for c in _WORK)} from src, med_names),
+tl as (select tv.* replace ({", ".join(f"case when {c}_log then ln(1 + greatest(tv.{c}, 0)) else tv.{c} end as {c}" for c in _LOGGABLE)}) from tv, log_names),
 tc as (select tl.* replace ({", ".join(f"case when b.{c}_many then least(greatest(tl.{c}, b.{c}_lo), b.{c}_hi) else tl.{c} end as {c}" for c in _LOGGABLE)}) from tl, bounds b)"""
 
 
