@@ -174,7 +174,7 @@ DEGRADED_SHARE = 0.20
 PREPROCESSING_VERSION = 3
 # Sizes of the learners.
 FOREST_TREES, FOREST_DEPTH = 160, 20
-BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, BOOST_SUBSAMPLE = 220, 8, 0.1, 0.8
+BOOST_ROUNDS, BOOST_DEPTH, BOOST_RATE, BOOST_SUBSAMPLE, BOOST_COLUMNS = 220, 8, 0.1, 0.8, 0.8
 MLP_LAYERS, MLP_ITERATIONS, MLP_PATIENCE = (96, 48, 24), 100, 8
 
 RARE_CLASS_ROWS = 100

@@ -1,4 +1,4 @@
-"""Training, scoring and unseen-class evaluation of flow classifiers on MLlib.
+"""Training, scoring and unseen-class evaluation of flow classifiers.
 
 Training rows have an array column ``vector``, an integer class ``y`` and,
 where a learner takes weights, ``weight``.  Every ``fit_*`` function returns a
@@ -11,16 +11,15 @@ import heapq
 from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
-from flowloom.operators import metrics
+from flowloom.operators import boosted, metrics
+from flowloom.operators.boosted import BoostedTrees
 from flowloom.operators.prep import Params, row_hash, transform
 from flowloom.operators.rules import rejected_result
 from flowloom.operators.running import smallest_by_hash
@@ -121,44 +120,10 @@ def fit_random_forest(train: DataFrame, n_classes: int, trees: int = fv.FOREST_T
     return Fitted(learner.fit(_ready(with_balanced_weight(train))), n_classes)
 
 
-@dataclass
-class OneVersusRest:
-    """Binary models, one per class; class probabilities are their positive shares, normalised."""
-
-    models: list
-    n_classes: int
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        out = df.withColumn("features", array_to_vector("vector"))
-        for i, m in enumerate(self.models):
-            scored = m.copy({m.probabilityCol: f"_p{i}", m.rawPredictionCol: f"_r{i}", m.predictionCol: f"_y{i}"}).transform(out)
-            out = scored.withColumn(f"_s{i}", vector_to_array(f"_p{i}")[1]).drop(f"_p{i}", f"_r{i}", f"_y{i}")
-        return _normalised(out, df.columns, [F.col(f"_s{i}") for i in range(len(self.models))])
-
-
-def _normalised(df: DataFrame, keep: Sequence[str], scores: list[Column]) -> DataFrame:
-    total = sum(scores[1:], scores[0])
-    even = F.lit(1.0 / len(scores))
-    return df.select(*keep, F.array(*[F.coalesce(F.try_divide(s, total), even) for s in scores]).alias("probability"))
-
-
-def _per_class(df: DataFrame, fit: Callable[[int], object], n_classes: int, parallel: int) -> list:
-    """*fit* of every class; up to *parallel* of them have their jobs on the cluster at once, so that small jobs don't leave it idle."""
-    with ThreadPool(max(1, min(parallel, n_classes))) as pool:
-        return pool.map(inheritable_thread_target(df.sparkSession)(fit), range(n_classes))
-
-
 def fit_boosted_trees(train: DataFrame, n_classes: int, rounds: int = fv.BOOST_ROUNDS, depth: int = fv.BOOST_DEPTH, rate: float = fv.BOOST_RATE,
-                      subsample: float = fv.BOOST_SUBSAMPLE, seed: int = fv.SEED, parallel: int = 4) -> OneVersusRest:
-    """Gradient-boosted trees, one binary ensemble per class, balanced weights."""
-    rows = _ready(with_balanced_weight(train)).persist()
-    try:
-        learner = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=subsample,
-                                featureSubsetStrategy="0.8", weightCol="weight", seed=seed)
-        models = _per_class(rows, lambda i: learner.fit(rows.withColumn("label", (F.col("y") == i).cast("double"))), n_classes, parallel)
-    finally:
-        rows.unpersist()
-    return OneVersusRest(models, n_classes)
+                      subsample: float = fv.BOOST_SUBSAMPLE, columns: float = fv.BOOST_COLUMNS, seed: int = fv.SEED) -> BoostedTrees:
+    """Gradient-boosted trees, one ensemble with a softmax over all classes, balanced weights."""
+    return boosted.fit(with_balanced_weight(train), n_classes, rounds, depth, rate, subsample, columns, seed)
 
 
 def fit_mlp(train: DataFrame, n_classes: int, hidden: Sequence[int] = fv.MLP_LAYERS, iterations: int = fv.MLP_ITERATIONS,
