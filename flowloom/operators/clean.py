@@ -160,29 +160,72 @@ def _label_bit(labels: Sequence[str]) -> Column:
     return F.pow(F.lit(2.0), position.cast("double")).cast("long")
 
 
-def _first_by(order: Sequence[str], keep: Sequence[str]) -> Column:
-    """The *keep* columns of the first row in *order* (a minimum, so partial results merge)."""
-    return F.min(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *keep))
+_ROW_BITS = 40  # rows of one file; the other 23 bits number the origins
+_SALTS = 16
+_BROADCAST_ROWS = 100_000  # origins sent to every executor; more are joined by a shuffle
+
+
+def _hash_pair(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
+    """``_h1`` and ``_h2``: 128 bits that tell rows apart by *cols*.  NULLs are equal to each other and to nothing else, 0 equals -0.
+
+    Two of 10^12 different rows agree with a chance of about 10^-15.
+    """
+    types = dict(df.dtypes)
+    nulls = F.array(*[F.isnull(c) for c in cols])
+    values = [F.col(c) + F.lit(0.0) if types[c] in ("double", "float") else F.col(c) for c in cols]
+    return {"_h1": F.xxhash64(nulls, *values), "_h2": F.xxhash64(F.lit(fv.SEED), nulls, *values)}
+
+
+def _with_place(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Add ``_place``, one number that sorts rows of one label by *order*, and its key back to texts: (rows, origins).
+
+    The last column of *order* is a row number below 2^40; the distinct values of
+    the others, of provenance and label are one row a file and label, as few as
+    the list of files that Spark keeps anyway.
+    """
+    *outer, row = order
+    names = list(dict.fromkeys([*outer, *[c for c in fv.PROVENANCE if c != row], fv.TARGET]))
+    found = [tuple(r) for r in df.select(*names).distinct().collect()]
+    found.sort(key=lambda r: [(v is not None, v) for v in r])
+    schema = "_origin long, " + ", ".join(f"`{c}` {t}" for c, t in df.select(*names).dtypes)
+    origins = df.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(found)], schema)
+    origins = F.broadcast(origins) if len(found) <= _BROADCAST_ROWS else origins
+    number = F.coalesce(F.col(row).cast("long") + 1, F.lit(0))
+    number = F.when(number.between(0, 2**_ROW_BITS - 1), number).otherwise(F.raise_error(F.lit(f"{row} is no row number")))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"o.{c}")) for c in names]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    out = df.alias("l").join(origins.alias("o"), on).select("l.*", (F.shiftleft("o._origin", _ROW_BITS) + number).alias("_place"))
+    return out, origins
+
+
+def _place_back(groups: DataFrame, origins: DataFrame, row: str) -> DataFrame:
+    """Add ``first``: provenance and label of the row at ``_place``."""
+    number = F.col("_place").bitwiseAND(2**_ROW_BITS - 1)
+    texts = [F.nullif(number, F.lit(0)) - 1 if c == row else F.col(f"o.{c}") for c in (*fv.PROVENANCE, fv.TARGET)]
+    first = F.struct(*[t.alias(c) for t, c in zip(texts, (*fv.PROVENANCE, fv.TARGET))])
+    return groups.alias("g").join(origins.alias("o"), F.shiftright("g._place", _ROW_BITS) == F.col("o._origin")).select("g.*", first.alias("first")).drop("_place")
 
 
 def row_groups(df: DataFrame, labels: Sequence[str] = fv.CLASSES, order: Sequence[str] = ("_source_file", "_source_row")) -> DataFrame:
     """Rows grouped by equal features: first row in *order*, copies, and how many labels they carry.
 
-    A plain aggregate, so copies collapse before the shuffle however many
-    there are; the leading hash keeps its sort keys short.  NULLs are equal.
+    A hash aggregate on two numbers with buffers of fixed width: copies collapse
+    before the shuffle however many there are, and nothing is sorted.  NULLs are
+    equal.  ``first`` is meant for groups of one label.
     """
     features = feature_columns(df)
-    first = _first_by(order, (*fv.PROVENANCE, fv.TARGET))
-    return (
-        df.withColumn("_hash", F.xxhash64(*features)).groupBy("_hash", *features)
-        .agg(first.alias("first"), F.count("*").alias("copies"),
-             F.bit_count(F.bit_or(_label_bit(labels))).cast("long").alias("n_labels"))
-    )
+    placed, origins = _with_place(df, order)
+    grouped = placed.withColumns(_hash_pair(df, features)).groupBy("_h1", "_h2").agg(
+        *[F.first(c).alias(c) for c in features], F.min("_place").alias("_place"), F.count("*").alias("copies"),
+        F.bit_count(F.bit_or(_label_bit(labels))).cast("long").alias("n_labels"))
+    return _place_back(grouped, origins, order[-1]).drop("_h1", "_h2")
 
 
 def clean_rows(groups: DataFrame) -> DataFrame:
     """From ``row_groups``: the first row of every group whose rows agree on the label."""
-    features = [c for c in groups.columns if c not in ("_hash", "first", "copies", "n_labels")]
+    features = [c for c in groups.columns if c not in ("first", "copies", "n_labels")]
     return groups.filter("n_labels = 1").select(
         *features, *[F.col(f"first.{c}").alias(c) for c in (*fv.PROVENANCE, fv.TARGET)])
 
@@ -199,24 +242,21 @@ def group_counts(groups: DataFrame) -> DataFrame:
 def drop_exact_duplicates(df: DataFrame, order: Sequence[str] = ("_source_file", "_source_row")) -> DataFrame:
     """Keep the first row in *order* among rows with equal features and label."""
     features = feature_columns(df)
-    first = _first_by(order, fv.PROVENANCE)
-    grouped = df.withColumn("_hash", F.xxhash64(*features, fv.TARGET)).groupBy(
-        "_hash", *features, fv.TARGET).agg(first.alias("first"))
-    return grouped.select(*features, *[F.col(f"first.{c}").alias(c) for c in fv.PROVENANCE], fv.TARGET)
+    placed, origins = _with_place(df, order)
+    grouped = placed.withColumns(_hash_pair(df, [*features, fv.TARGET])).groupBy("_h1", "_h2").agg(
+        *[F.first(c).alias(c) for c in features], F.min("_place").alias("_place"))
+    return _place_back(grouped, origins, order[-1]).select(*features, *[F.col(f"first.{c}").alias(c) for c in (*fv.PROVENANCE, fv.TARGET)])
 
 
 def drop_conflicts(df: DataFrame, labels: Sequence[str] = fv.CLASSES) -> DataFrame:
     """Remove every row whose features also occur with another label (rows otherwise kept as they are)."""
-    features = feature_columns(df)
-    hashed = df.withColumn("_hash", F.xxhash64(*features))
+    hashed = df.withColumns(_hash_pair(df, feature_columns(df)))
     bad = (
-        hashed.groupBy("_hash", *features)
-        .agg(F.bit_count(F.bit_or(_label_bit(labels))).alias("n")).filter("n > 1").drop("n"))
-    left, right = hashed.alias("l"), bad.alias("r")
-    same = F.col("l._hash") == F.col("r._hash")
-    for c in features:
-        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-    return left.join(right, same, "left_anti").drop("_hash")
+        hashed.groupBy("_h1", "_h2").agg(F.bit_count(F.bit_or(_label_bit(labels))).alias("n")).filter("n > 1")
+        .select("_h1", "_h2", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("_salt")))
+    # copies of one feature row, however many, are dealt over the salts
+    salt = F.pmod(F.xxhash64(*[c for c in fv.PROVENANCE if c in df.columns], F.lit(fv.SEED)), F.lit(_SALTS)).cast("int")
+    return hashed.withColumn("_salt", salt).join(bad, ["_h1", "_h2", "_salt"], "left_anti").select(*df.columns)
 
 
 def all_zero_columns(df: DataFrame) -> DataFrame:
