@@ -107,36 +107,42 @@ def null_bad_ports(df: DataFrame, col: str = "destination_port") -> DataFrame:
     return df.withColumn(col, F.when(F.col(col).between(0, 65535), F.col(col)))
 
 
-def repair(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """All value repairs of the text columns in one projection."""
+_COUNTERS = {"parse": "numeric_parse_failures", "infinite": "infinite_values_replaced", "negative": "invalid_negative_values_replaced", "port": "invalid_ports_replaced"}
+
+
+def mark_repairs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """``repair`` with the values given up per row and kind beside it, so that rows and counters come from one pass."""
     cols = list(cols or feature_columns(df))
-    out = {}
+    kept, hits = {}, {kind: F.lit(0) for kind in _COUNTERS}
     for c in cols:
         keep = F.lit(True)
         for kind, cond in _repairs(c).items():
+            hits[kind] = hits[kind] + cond.cast("int")
             keep = keep if kind == "parse" else keep & ~cond  # unreadable text is NULL already
-        out[c] = F.when(keep, F.col(f"_p_{c}"))
-    return _parse_columns(df, cols).withColumns(out).select(*df.columns)
+        kept[c] = F.when(keep, F.col(f"_p_{c}"))
+    return _parse_columns(df, cols).withColumns({**kept, **{f"_n_{k}": n for k, n in hits.items()}}).select(
+        *df.columns, *[f"_n_{k}" for k in _COUNTERS])
 
 
-def repair_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """One row of repair counters, from a single aggregate over the unrepaired rows."""
-    cols = list(cols or feature_columns(df))
-    totals: dict[str, list[Column]] = {"parse": [], "infinite": [], "negative": [], "port": []}
+def sum_repairs(marked: DataFrame) -> DataFrame:
+    """From ``mark_repairs``: one row of repair counters over the labelled rows."""
     labelled = F.col(fv.TARGET).isNotNull()
-    for c in cols:
-        for kind, cond in _repairs(c).items():
-            totals[kind].append(F.count_if(labelled & cond))
-    add = lambda xs: sum(xs[1:], xs[0]) if xs else F.lit(0).cast("long")
-    return _parse_columns(df, cols).agg(
+    return marked.agg(
         F.count("*").alias("raw_rows"),
-        add(totals["parse"]).alias("numeric_parse_failures"),
-        add(totals["infinite"]).alias("infinite_values_replaced"),
-        add(totals["negative"]).alias("invalid_negative_values_replaced"),
-        add(totals["port"]).alias("invalid_ports_replaced"),
+        *[F.coalesce(F.sum(F.when(labelled, F.col(f"_n_{k}"))), F.lit(0)).alias(name) for k, name in _COUNTERS.items()],
         F.count_if(~labelled).alias("missing_label_rows_removed"))
 
 
+def repair(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """All value repairs of the text columns in one projection."""
+    return mark_repairs(df, cols).select(*df.columns)
+
+
+def repair_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
+    """One row of repair counters, from a single aggregate over the unrepaired rows."""
+    return sum_repairs(mark_repairs(df, cols))
+
+
 def equal_columns(df: DataFrame, pairs: Mapping[str, str]) -> DataFrame:
     """Per (copy, original): rows where they differ (NULL equals NULL); one pass for all pairs."""
     pairs = {a: b for a, b in pairs.items() if a in df.columns and b in df.columns}
@@ -276,7 +282,7 @@ def clean(df: DataFrame, pairs: Mapping[str, str] | None = None, cut_groups: boo
     """The whole cleaning job: labelled text rows -> (clean rows, one-row audit).
 
     *df* has text features, provenance columns and a raw ``Label``.  Repaired
-    rows feed the column comparison and the grouping, grouped rows feed both
+    rows feed the counters, the column comparison and the grouping, grouped rows feed both
     results; each is materialised once in the shared folder unless
     ``cut_groups=False``.
     """
@@ -284,9 +290,10 @@ def clean(df: DataFrame, pairs: Mapping[str, str] | None = None, cut_groups: boo
 
     pairs = {fv.snake(a): fv.snake(b) for a, b in fv.COPY_COLUMNS.items()} if pairs is None else pairs
     labelled = normalize_labels(df)
-    counts = repair_counts(labelled)
     keep = cut if cut_groups else (lambda d: d)
-    fixed, dropped = drop_equal_columns(keep(repair(drop_missing_labels(labelled))), pairs)
+    marked = keep(mark_repairs(labelled))
+    counts = sum_repairs(marked)
+    fixed, dropped = drop_equal_columns(drop_missing_labels(marked).drop(*[f"_n_{k}" for k in _COUNTERS]), pairs)
     groups = row_groups(fixed)
     groups = keep(groups)
     rows = clean_rows(groups)
