@@ -133,6 +133,20 @@ def log_append(spark, sf_dir):
     return _log_counts(sinks.read_log(spark, path))
 
 
+@query(f"with {vs.ATTACK_LOG} " + _LOGGED.format(query="'a'", where="") + " union all " + _LOGGED.format(query="'b'", where="where is_attack = 1"))
+def log_compacted(spark, sf_dir):
+    """A log whose closed days were rewritten, got a late batch, were rewritten again and cleared of the old folders; one batch is repeated."""
+    path, rows = new_path(spark, "log"), _log_rows(spark, sf_dir)
+    last = sinks.log_rows(rows, 0, "a").agg(F.max("day")).first()[0]
+    sinks.append_predictions(rows, path, 0, "a")
+    sinks.compact_log(spark, path, last)
+    sinks.append_predictions(rows.filter("is_attack = 1"), path, 0, "b")
+    sinks.compact_log(spark, path, last)
+    compaction.vacuum(spark, path)
+    sinks.append_predictions(rows, path, 0, "a")
+    return _log_counts(sinks.read_log(spark, path))
+
+
 @query(f"with {vs.ATTACK_LOG} " + _LOGGED.format(query="'c'", where="where is_attack = 0"))
 def log_reset(spark, sf_dir):
     """A log that was emptied holds what was appended afterwards."""

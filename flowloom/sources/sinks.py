@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window as W
 
 from flowloom import fixed_values as fv
 from flowloom.functions import scalar as sc
+from flowloom.sources import compaction
 
 ATTACK_LOG = T.StructType([
     T.StructField("id", T.StringType()),
@@ -76,7 +79,12 @@ def log_sink(path: str, checkpoint: str):
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ATTACK_LOG).parquet(path)
+    return compaction.visible(spark, path, ATTACK_LOG)
+
+
+def compact_log(spark: SparkSession, path: str, before: date, file_rows: int = 5_000_000) -> int:
+    """Rewrite the days before *before* into a few files each; readers see every row once at any time."""
+    return compaction.compact(spark, path, before, ATTACK_LOG, file_rows)
 
 
 def reset_log(spark: SparkSession, path: str) -> None:

@@ -158,6 +158,53 @@ def test_log_appends_once(spark, new_dir):
     assert sinks.read_log(spark, path).count() == 0
 
 
+def test_compaction(spark, new_dir):
+    import datetime
+    import glob
+
+    from flowloom.sources import compaction
+
+    day = 86400.0
+
+    def batch(number, first, days=3):
+        return spark.range(30 * days).select(
+            F.lit("DDoS").alias("attack_type"), F.lit("10.0.0.1").alias("src_ip"), F.lit("10.0.0.2").alias("dst_ip"), F.lit(1).alias("src_port"),
+            F.lit(2).alias("dst_port"), F.lit(6).alias("protocol"), F.lit(0.9).alias("confidence"), F.lit(1).alias("is_attack"),
+            F.concat(F.lit(f"{number}-"), F.col("id").cast("string")).alias("flow_id"), ((F.col("id") % days + first) * day).alias("timestamp_utc"))
+
+    for n in range(6):
+        sinks.append_predictions(batch(n, 0), new_dir, n, "a")
+    rows = lambda: sorted(tuple(r) for r in sinks.read_log(spark, new_dir).collect())
+    files = lambda d: len(glob.glob(f"{new_dir}/_compacted/data/*/day={d}/*.parquet"))
+    before, open_reader = rows(), sinks.read_log(spark, new_dir)
+    assert sinks.compact_log(spark, new_dir, datetime.date(1970, 1, 3)) == 2  # the third day is still open
+    assert rows() == before and files("1970-01-01") == 1 and files("1970-01-03") == 0
+    assert sorted(tuple(r) for r in open_reader.collect()) == before  # a reader from before the swap
+    assert sinks.compact_log(spark, new_dir, datetime.date(1970, 1, 3)) == 0
+    sinks.append_predictions(batch(3, 0), new_dir, 3, "a")  # a batch that was rewritten is repeated
+    assert rows() == before
+    sinks.append_predictions(batch(9, 0, days=1), new_dir, 9, "a")  # a late one
+    late = rows()
+    assert len(late) == len(before) + 30
+    assert sinks.compact_log(spark, new_dir, datetime.date(1970, 1, 3), file_rows=50) == 1
+    assert rows() == late
+    # a compaction that died: data without a manifest, and a manifest without its end
+    batch(1, 0).selectExpr("*").write.parquet(f"{new_dir}/_compacted/data/generation=dead/day=1970-01-01")
+    spark.createDataFrame([], compaction.MANIFEST).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{new_dir}/_compacted/manifest/99")
+    assert rows() == late
+    sinks.append_predictions(batch(10, 0, days=1), new_dir, 10, "a")
+    late = rows()
+    assert sinks.compact_log(spark, new_dir, datetime.date(1970, 1, 3), file_rows=50) == 1 and rows() == late
+    assert compaction.vacuum(spark, new_dir) > 0 and rows() == late
+    assert not glob.glob(f"{new_dir}/day=1970-01-0[12]/*/*/*.parquet") and not glob.glob(f"{new_dir}/_compacted/data/generation=dead/day=*")
+    sinks.append_predictions(batch(3, 0), new_dir, 3, "a")  # and once more after the folders are gone
+    assert rows() == late
+    plan = sinks.read_log(spark, new_dir).filter("day = date'1970-01-02'")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(day") >= 2
+    sinks.reset_log(spark, new_dir)
+    assert rows() == []
+
+
 def test_exports(spark, new_dir):
     log = views.attack_log_v(spark, SF)
     sinks.export_attacks_csv(log.withColumn("attack_type", F.when(F.col("id") == 3, "a,b").otherwise(F.col("attack_type"))).coalesce(1), new_dir + "/csv")
