@@ -19,7 +19,7 @@ from flowloom.plans import view_sql as vs
 from flowloom.plans import views
 from flowloom.plans.registry import ORACLES, query
 from flowloom.plans.stream_queries import _finish
-from flowloom.sources import captures, files, sinks
+from flowloom.sources import captures, compaction, files, sinks
 from flowloom.streaming import flows as sf
 
 

@@ -14,7 +14,7 @@ NAMES = [
     "attack_summary", "threat_level_series", "dashboard_status", "report_recommendations", "security_context", "running_counts", "dedup_alerts",
     "throttle_alerts", "alert_messages", "display_columns", "display_numbers", "repair_counts", "cleaning_audit", "stratified_split",
     "class_aware_subset", "transform", "classification_report", "confidence_histogram", "stream_traffic_stats",
-    "labelled_csv", "source_rows", "validate_inputs", "file_checksums", "cleaned_round_trip", "split_round_trip", "audit_round_trip", "log_append",
+    "labelled_csv", "source_rows", "validate_inputs", "file_checksums", "cleaned_round_trip", "split_round_trip", "audit_round_trip", "log_append", "log_compacted",
     "log_reset", "predictions_jsonl", "packet_stream", "leakage_check", "training_inputs", "capture_round_trip", "throttle_alerts_every_second", "stream_port_scan"]
 
 
