@@ -189,6 +189,24 @@ def test_allocation():
         md.allocate({"a": 5}, 6)
 
 
+def test_duplicates_tell_nulls_apart(spark):
+    """A NULL counts by its column, 0 equals -0, and the first row by file and number stays."""
+    schema = "a double, b double, _source_file string, _capture_day string, _source_row long, Label string"
+    df = spark.createDataFrame([
+        (None, 5.0, "m-1", "m", 3, "BENIGN"), (5.0, None, "m-1", "m", 4, "BENIGN"), (None, 5.0, "f-2", "f", 9, "BENIGN"), (None, 5.0, "f-2", "f", 8, "BENIGN"),
+        (0.0, 1.0, "m-1", "m", 5, "Bot"), (-0.0, 1.0, "m-1", "m", 6, "BENIGN"), (None, None, None, None, None, "Bot"), (None, None, "m-1", "m", 1, "Bot")], schema)
+    rows = lambda d: {(r.a, r.b, r._source_file, r._source_row, r.Label) for r in d.collect()}
+    once = cl.drop_exact_duplicates(df)
+    assert rows(once) == {(None, 5.0, "f-2", 8, "BENIGN"), (5.0, None, "m-1", 4, "BENIGN"), (0.0, 1.0, "m-1", 5, "Bot"), (0.0, 1.0, "m-1", 6, "BENIGN"), (None, None, None, None, "Bot")}
+    agreed = {r for r in rows(once) if r[0] != 0.0}
+    assert rows(cl.drop_conflicts(once)) == agreed and rows(cl.clean_rows(cl.row_groups(df))) == agreed
+    assert cl.group_counts(cl.row_groups(df)).first().asDict() == {"exact_duplicates_removed": 3, "conflicting_feature_rows_removed": 2, "output_rows": 3}
+    assert cl.row_groups(df.limit(0)).count() == 0 and cl.drop_exact_duplicates(df.limit(0)).count() == 0
+    assert "SortAggregate" not in cl.row_groups(df)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="no row number"):
+        cl.drop_exact_duplicates(df.withColumn("_source_row", F.lit(-5).cast("long"))).collect()
+
+
 def test_models_learn(spark, fitted):
     df, p, _ = fitted
     data = pr.transform(pr.apply_label_index(df, p.classes), p, keep=["y", "destination_port", "flow_duration", "total_fwd_packets"]).select(
