@@ -189,8 +189,10 @@ def test_allocation():
         md.allocate({"a": 5}, 6)
 
 
-def test_duplicates_tell_nulls_apart(spark):
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_duplicates_tell_nulls_apart(spark, monkeypatch, broadcast_rows):
     """A NULL counts by its column, 0 equals -0, and the first row by file and number stays."""
+    monkeypatch.setattr(cl, "_BROADCAST_ROWS", broadcast_rows)
     schema = "a double, b double, _source_file string, _capture_day string, _source_row long, Label string"
     df = spark.createDataFrame([
         (None, 5.0, "m-1", "m", 3, "BENIGN"), (5.0, None, "m-1", "m", 4, "BENIGN"), (None, 5.0, "f-2", "f", 9, "BENIGN"), (None, 5.0, "f-2", "f", 8, "BENIGN"),
