@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flowloom import fixed_values as fv
 from flowloom.operators import packets as pk
-from flowloom.operators.session import shared_dir
+from flowloom.operators.session import cut, shared_dir
 from flowloom.plans import view_sql as vs
 from flowloom.plans import views
 from flowloom.plans.log_queries import _DENSE, _THROTTLE
@@ -36,12 +36,13 @@ def _arrivals(spark: SparkSession, rows: DataFrame, at_us, late_us: int, files:
 
     ``first`` and ``last`` choose some of the files.
     """
-    at = at_us + F.pmod(F.xxhash64(*rows.columns), F.lit(late_us))
-    edges = rows.select(F.min(at), F.max(at)).first()
+    # the rows are derived once, not again for their bounds and for every file
+    rows = cut(rows.withColumn("_arrives", at_us + F.pmod(F.xxhash64(*rows.columns), F.lit(late_us))))
+    edges = rows.select(F.min("_arrives"), F.max("_arrives")).first()
     if edges[0] is None:
         return
     width = (edges[1] - edges[0]) // files + 1
-    numbered = rows.withColumn("_file", F.floor((at - F.lit(edges[0])) / width))
+    numbered = rows.withColumn("_file", F.floor((F.col("_arrives") - F.lit(edges[0])) / width)).drop("_arrives")
     for k in range(first, files if last is None else last):
         numbered.filter(F.col("_file") == k).drop("_file").repartition(1, F.rand(7)).write.mode("append").parquet(path)
 

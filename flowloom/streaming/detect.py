@@ -36,13 +36,12 @@ def mark_port_scans(
     keeps = max(window_us, cooldown_us)
 
     def step(key, memory, rows, mark):
-        memory, out = memory or {}, []
+        memory = memory or {}
         for r in rows:
-            ports = ru.scan_step(memory, r["end_us"], r["dst_port"], window_us, min_ports, cooldown_us)
-            out.append((*[r[c] for c in cols], ports))
+            yield (*r[:len(cols)], ru.scan_step(memory, r.end_us, r.dst_port, window_us, min_ports, cooldown_us))
         latest = max([*memory.get("ports", {}).values(), memory.get("alert") or 0], default=0)
         # beyond this time no probe in the window and no cool-down is left, as in an empty memory
-        return out, (memory if memory and latest + keeps >= mark else None), latest + keeps
+        return (memory if memory and latest + keeps >= mark else None), latest + keeps
 
     schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in flows.schema.fields], T.StructField("ports", T.LongType())])
     order = ["dst_port", *[c for c in ru.FLOW_ID if c in cols]]
@@ -86,13 +85,13 @@ def stream_throttle(alerts: DataFrame, cooldown_s: float = fv.CHAT_COOLDOWN_S, k
     cols = alerts.columns
 
     def step(_, memory, rows, mark):
-        last, out = memory and memory["last"], []
+        last = memory and memory["last"]
         for r in rows:
-            if throttle_step(last, float(r["timestamp_utc"]), cooldown_s):
-                out.append(tuple(r[c] for c in cols))
-                last = float(r["timestamp_utc"])
+            if throttle_step(last, float(r.timestamp_utc), cooldown_s):
+                yield tuple(r[:len(cols)])
+                last = float(r.timestamp_utc)
         ends = None if last is None else int((last + cooldown_s) * 1e6)
-        return out, (None if last is None or ends < mark else {"last": last}), ends
+        return (None if last is None or ends < mark else {"last": last}), ends
 
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in alerts.schema.fields])
     at = F.floor(F.col("timestamp_utc").cast("double") * 1_000_000).cast("long")

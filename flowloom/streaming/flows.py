@@ -128,19 +128,18 @@ def stream_flows(
         return half if _half_open(f) else idle
 
     def step(key, flow, rows, mark):
-        done = []
         for p in rows:
             if flow is not None and p.timestamp_us - flow["last"] > limit(flow):
-                done.append(_row(key, flow, "timeout"))
+                yield _row(key, flow, "timeout")
                 flow = None
             flow = _open(p) if flow is None else flow
             if _add(flow, p):
-                done.append(_row(key, flow, "rst" if p.tcp_flags & fv.RST else "fin"))
+                yield _row(key, flow, "rst" if p.tcp_flags & fv.RST else "fin")
                 flow = None
         if flow is not None and mark >= flow["last"] + limit(flow):  # any packet to come is beyond the limit
-            done.append(_row(key, flow, "timeout"))
+            yield _row(key, flow, "timeout")
             flow = None
-        return done, flow, None if flow is None else flow["last"] + limit(flow)
+        return flow, None if flow is None else flow["last"] + limit(flow)
 
     return in_event_order(with_flow_key(packets), list(KEY), F.col("timestamp_us"), ["seq"], step, FLOW_COLUMNS, late)
 

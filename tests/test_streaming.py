@@ -114,3 +114,55 @@ def test_stream_series_and_throttle(spark, new_dir):
     seen = []
     sd.stream_feed(source(), lambda rows: seen.extend(r.id for r in rows.collect()), new_dir + "/c").awaitTermination(120)
     assert len(seen) == 50
+
+
+class _State(dict):
+    """Stands for a key's map state and value state."""
+
+    row = None
+    updateValue, getValue, removeKey = dict.__setitem__, dict.__getitem__, dict.__delitem__
+
+    def exists(self):
+        return self.row is not None
+
+    def get(self):
+        return self.row
+
+    def update(self, row):
+        self.row = row
+
+    def clear(self):
+        self.row = None
+
+
+def test_waiting_rows_are_merged_from_runs_a_block_at_a_time(monkeypatch):
+    """Rows of a key are handed over one by one and in order; only a block of each run has been read by then."""
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from flowloom.streaming import ordered
+
+    monkeypatch.setattr(ordered, "RUN_ROWS", 100)
+    monkeypatch.setattr(ordered, "BLOCK_ROWS", 10)
+    left, taken = [], []
+
+    def step(key, memory, rows, mark):
+        for r in rows:
+            left.append(len(state))
+            taken.append((r.at, r.id))
+            yield (r.id,)
+        return None, None
+
+    p = ordered._InOrder(["at", "id", "key", "_at"], [0, 1], ["key"], ["id"], step, ["id"])
+    state, info = _State(), _State()
+    p.handle, p.blocks, p.info = SimpleNamespace(registerTimer=lambda t: None, deleteTimer=lambda t: None), state, info
+    times = [(i * 7919) % 1000 for i in range(1000)]
+    data = pd.DataFrame({"c0": times, "c1": range(1000), "c2": "k", "c3": times, "missing0": [2 if t == 5 else 0 for t in times]})
+    assert list(p.handleInputRows(None, iter([data[:450], data[450:]]), None)) == [] and len(state) == 100
+    at = lambda us: SimpleNamespace(getCurrentWatermarkInMs=lambda: us / 1000)
+    first = [i for pdf in p.handleExpiredTimer(None, at(499), None) for i in pdf["id"].tolist()]
+    assert len(first) == 500 and first[5] is None and left[0] == 100 and left[250] > 70
+    second = [i for pdf in p.handleExpiredTimer(None, at(1000), None) for i in pdf["id"].tolist()]
+    assert [t for t, _ in taken] == list(range(1000)) and len(second) == 500
+    assert not state and not info.exists()
