@@ -161,3 +161,32 @@ def test_many_exception_phrases_take_linear_time():
     began = time.time()
     assert toxicity.raw_score("trash can " * 100_000, lexicon) == 0
     assert time.time() - began < 5
+
+
+def test_near_texts_lose_no_link_to_a_refused_one(spark):
+    """Texts close to the limit: components are those of all candidates that hold, also where the check refuses links of the forest."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for _ in range(12):
+        base = [f"w{w}" for w in rng.integers(0, 10**6, 80)]
+        for _ in range(14):
+            own = list(base)
+            for at in rng.choice(80, 1):
+                own[at] = f"x{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    sets = [neartext.shingle_set(t) for t in texts]
+    sketches = np.frombuffer(b"".join(map(neartext.sketch, sets)), dtype=np.uint8).reshape(len(texts), -1)
+    bands = neartext.bands_of(sketches)
+    root = list(range(len(texts)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            apart = [bin(int(x)).count("1") for x in bands[i] ^ bands[j]]
+            shared = len(np.intersect1d(sets[i], sets[j]))
+            if min(apart) <= 1 and neartext._apart(sketches[i], sketches[j]) <= neartext.budget(0.8) and shared >= 0.8 * (len(sets[i]) + len(sets[j]) - shared):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neartext.near_texts(docs).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert len(set(got.values())) > 12
