@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,12 +16,23 @@ from flowloom.functions.scalar import capture_day
 def csv_headers(spark: SparkSession, path: str) -> dict[str, tuple[list[str], int]]:
     """The distinct headers of the CSV files under *path* (names stripped) and their numbers of files, by the first file that has each.
 
-    One distributed job over the files' first blocks; files come together by header, so the driver sees no list of files.
+    One distributed job over the files' first blocks; blocks pass by and are never sorted; files come together by header, so the driver sees no list of files.
     """
+    def heads(batches):
+        seen = set()  # the files of a task whose first line went by
+        for batch in batches:
+            files, at = batch.column(0), []
+            for file in files.unique().to_pylist():
+                if file not in seen:
+                    seen.add(file)
+                    at.append(pc.index(files, file).as_py())
+            if at:
+                yield batch.take(pa.array(at, pa.int64()))
+
     meta = F.col("_metadata")
     lines = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(path).select(
-        "value", meta.file_path.alias("file"), meta.file_block_start.alias("block"), F.monotonically_increasing_id().alias("id")).filter("block = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "id").alias("header"))
+        meta.file_path.alias("file"), "value", meta.file_block_start.alias("block")).filter("block = 0").select("file", "value")
+    first = lines.mapInArrow(heads, "file string, value string").withColumnRenamed("value", "header")  # the block that begins a file is read in order by one task
     found = first.groupBy("header").agg(F.count("*").alias("files"), F.min("file").alias("file")).collect()
     return {r["file"].rsplit("/", 1)[-1]: ([c.strip() for c in r["header"].split(",")], r["files"]) for r in sorted(found, key=lambda r: r["file"])}
 

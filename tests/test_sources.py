@@ -231,3 +231,30 @@ def test_log_reads_its_newest_days_only(spark, new_dir):
         filters = got._jdf.queryExecution().executedPlan().toString().split("PartitionFilters: [")[1].split("]")[0]
         assert "day" in filters and ">=" in filters
     assert lg.recent(log, 1000).count() == 400 and lg.threat_level(log.limit(0)).first().threat_level == "SAFE"
+
+
+def test_headers_are_read_without_sorting_the_lines(spark, new_dir):
+    """One header a file, also in a file of several blocks; no operator sorts or groups the lines."""
+    import contextlib
+    import io
+    import os
+
+    from flowloom.sources import files
+
+    os.makedirs(new_dir + "/csv", exist_ok=True)
+    for name, header in (("a.csv", "x,Label"), ("b.csv", " x ,Label"), ("c.csv", "y,Label")):
+        with open(f"{new_dir}/csv/{name}", "w") as f:
+            f.write(header + "\n" + "1,BENIGN\n" * 5000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    frame = type(spark.range(1))
+    plans, grouped = io.StringIO(), frame.groupBy
+    try:
+        frame.groupBy = lambda df, *cols: (df.explain(), grouped(df, *cols))[1]
+        with contextlib.redirect_stdout(plans):
+            found = files.csv_headers(spark, new_dir + "/csv")
+    finally:
+        frame.groupBy = grouped
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {"a.csv": (["x", "Label"], 1), "b.csv": (["x", "Label"], 1), "c.csv": (["y", "Label"], 1)}
+    assert "MapInArrow" in plans.getvalue() and "Sort" not in plans.getvalue() and "Aggregate" not in plans.getvalue()
