@@ -13,7 +13,7 @@ from flowloom.operators import metrics as mt
 from flowloom.operators import models as md
 from flowloom.operators import mutual_info as mi
 from flowloom.operators import prep as pr
-from flowloom.operators.running import running_total
+from flowloom.operators.running import running_total, smallest_by_hash, taken_by_hash
 
 
 def test_labels(spark):
@@ -228,3 +228,49 @@ def test_models_learn(spark, fitted):
     assert out.count() == data.count() and out.filter("status = 'REJECTED'").isEmpty()
     report, judged = md.unseen_class_eval(train, train, lambda d, k: md.fit_random_forest(d, k, trees=5, depth=4), known=[0, 1], unseen=[2])
     assert report.first().test_attack_rows == train.filter("y = 2").count() and {r.yhat for r in judged.select("yhat").distinct().collect()} <= {0, 1}
+
+
+def test_split_hashes_a_row_once_and_shuffles_no_row(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(300)] + [(300, None), (301, None)], "id long, Label string")
+    out = pr.stratified_split(df, ["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan  # the hash is read, not derived for each of the passes
+    assert plan.count("rightHint=(strategy=broadcast)") == 2  # edge and cut-off; no row is dealt by its hash
+    want = {}
+    for r in df.withColumn("h", pr.row_hash(["id"])).collect():
+        want.setdefault(r.Label, []).append((r.h, r.id))
+    train = {i for label, found in want.items() if label for _, i in sorted(found)[:int(len(found) * fv.TRAIN_SHARE + 0.5)]}
+    assert {r.id for r in out.filter("part = 'train'").collect()} == train
+    assert out.count() == 302
+
+
+def test_taken_by_hash_is_what_is_marked(spark):
+    df = spark.createDataFrame([(i, i % 3, float(i)) for i in range(200)] + [(7, 1, 7.0), (500, None, 0.0)], "id long, y int, x double")
+    quota = spark.createDataFrame([(0, 5), (1, 1), (2, 66)], "y int, quota long")
+    h = pr.row_hash(["id"])
+    for digits in (1, 4):
+        marked = smallest_by_hash(df, "y", h, quota, digits).filter("_picked").drop("_picked")
+        taken = taken_by_hash(df, "y", h, quota, digits)
+        assert taken.columns == marked.columns
+        assert sorted(taken.collect()) == sorted(marked.collect())
+
+
+def test_quantiles_and_log_stats_share_passes(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i * i % 5003), float(i % 7)) for i in range(4000)], "a double, b double")
+    passes, one_row = [], pr._one_row
+    monkeypatch.setattr(pr, "_one_row", lambda d, exprs: passes.extend([len(exprs)] if exprs else []) or one_row(d, exprs))
+    got = pr.exact_quantiles(df, ["a", "b"], [0.01, 0.5, 0.99], accuracy=100, few=1000)
+    assert len(passes) == 3  # counts with the first sketches, ranks, values
+    pdf = df.toPandas()
+    for c in ("a", "b"):
+        assert got[c] == pytest.approx(np.quantile(pdf[c], [0.01, 0.5, 0.99]).tolist())
+    assert pr.exact_quantiles(df.where("a < 0"), ["a"], [0.5]) == {"a": [None]}
+    stats = pr.log_column_stats(df, ["a", "b"])
+    assert (stats["a"]["continuous"], stats["b"]["continuous"], stats["b"]["low"]) == (True, False, 0.0)
+
+
+def test_labels_with_other_dashes_are_in_the_table():
+    table = cl._spellings(fv.LABEL_CLASSES)
+    assert table["Web Attack – XSS"] == table["Web Attack � XSS"] == table["Web Attack ï¿½ XSS"] == "WebAttack"
+    assert fv.LABEL_CLASSES.items() <= table.items()
+    assert "FTP–Patator" not in cl._spellings({"A - B": "x", "A-B": "y"}) and cl._spellings({"A - B": "x"}) == {"A - B": "x"}
