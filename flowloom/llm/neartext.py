@@ -48,6 +48,8 @@ BLOCK_ROWS = 131072
 PAIRS = 1 << 18
 #: Links of one text that one task checks.
 LINKS = 256
+#: Shingle sets that a task keeps while it checks links.
+SETS = 64
 
 
 def budget(similarity: float) -> int:
@@ -314,8 +316,8 @@ def _tiled(dealt: DataFrame) -> DataFrame:
     return rows.withColumn("tile", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(tile))).drop("blocks")
 
 
-def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(key, shingles) of the texts whose key is wanted."""
+def _wanted_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(key, text) of the texts whose key is wanted."""
     def keys(batches):
         seen: set[int] = set()  # copies leave a task once, so a hot text is not gathered row by row
         for batch in batches:
@@ -324,32 +326,47 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame
             at = pa.array(first, pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()).take(at), batch.column(0).take(at)], names=["key", "text"])
 
-    def sets(batches):
-        for batch in batches:
-            values = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], names=["key", "shingles"])
-
     texts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(keys, "key long, text string")
     # equal texts under one key differ in case and white space at most
-    once = texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    return once.mapInArrow(sets, "key long, shingles array<long>")
+    return texts.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
 
-def _with_set(links: DataFrame, sets: DataFrame, side: str, other: str, name: str) -> DataFrame:
-    """Links with the shingles of one side; a text's set goes to one task for each LINKS of its links."""
+def _with_text(links: DataFrame, texts: DataFrame, side: str, other: str, name: str) -> DataFrame:
+    """Links with the text of one side; a text goes to one task for each LINKS of its links."""
     tasks = links.groupBy(F.col(side).alias("key")).agg(F.ceil(F.count("*") / LINKS).cast("int").alias("tasks"))
     left = links.join(tasks.withColumnRenamed("key", side), side).withColumn("task", F.pmod(F.xxhash64(other), F.col("tasks")).cast("int")).drop("tasks")
-    right = sets.join(tasks, "key").select(F.col("key").alias(side), F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
+    right = texts.join(tasks, "key").select(F.col("key").alias(side), F.col("text").alias(name), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"))
     return left.join(right, [side, "task"]).drop("task")
 
 
 def checked_links(docs: DataFrame, links: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The links (u, v) whose texts' shingle sets are as similar as asked."""
+    """The links (u, v) whose texts' shingle sets are as similar as asked.
+
+    Texts travel, not their sets: eight bytes a shingle that no codec makes smaller are more than the text.
+    """
+    def run(batches):
+        held: dict[int, np.ndarray] = {}  # the joins bring the links of a text one after another
+
+        def set_of(key, text):
+            if key not in held:
+                if len(held) >= SETS:
+                    held.pop(next(iter(held)))
+                held[key] = shingle_set(text, shingle)
+            return held[key]
+
+        for batch in batches:
+            kept = []
+            for i, (u, v, a, b) in enumerate(zip(*(batch.column(c) for c in ("u", "v", "a", "b")), strict=True)):
+                x, y = set_of(u.as_py(), a.as_py()), set_of(v.as_py(), b.as_py())
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                if shared >= similarity * (len(x) + len(y) - shared):
+                    kept.append(i)
+            yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
+
     wanted = links.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    sets = stored(_shingle_sets(docs, wanted, shingle), "shingle-sets")
-    both = _with_set(_with_set(links, sets, "u", "v", "a"), sets, "v", "u", "b")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("u", "v")
+    texts = stored(_wanted_texts(docs, wanted), "wanted-texts")
+    both = _with_text(_with_text(links, texts, "u", "v", "a"), texts, "v", "u", "b")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def _open_links(docs: DataFrame, nodes: DataFrame, links: DataFrame, held: DataFrame, shingle: int, similarity: float) -> DataFrame:

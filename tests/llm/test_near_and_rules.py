@@ -190,3 +190,21 @@ def test_near_texts_lose_no_link_to_a_refused_one(spark):
     got = {r.doc_id: r.component_id for r in neartext.near_texts(docs).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
     assert len(set(got.values())) > 12
+
+
+def test_links_are_checked_on_texts_that_travel_whole(spark, monkeypatch):
+    """Every link of a hub and between others is judged as by brute force, also when a task keeps few sets; no set is shuffled."""
+    monkeypatch.setattr(neartext, "SETS", 2)
+    monkeypatch.setattr(neartext, "LINKS", 4)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] + [" ".join([*words[:50 + i], *(f"x{i}-{j}" for j in range(10 - i))]) for i in range(10)] + ["", None, "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    key = {neartext.text_key(t): neartext.shingle_set(t) for t in texts}
+    pairs = [(u, v) for u in key for v in key if u < v]
+    links = spark.createDataFrame(pairs, "u long, v long")
+    checked = neartext.checked_links(docs, links)
+    assert "shingles" not in checked._jdf.queryExecution().optimizedPlan().toString()
+    shared = lambda u, v: len(np.intersect1d(key[u], key[v]))
+    want = {(u, v) for u, v in pairs if shared(u, v) >= 0.8 * (len(key[u]) + len(key[v]) - shared(u, v))}
+    assert want and len(want) < len(pairs)
+    assert sorted(tuple(r) for r in checked.collect()) == sorted(want)
