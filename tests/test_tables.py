@@ -274,3 +274,30 @@ def test_labels_with_other_dashes_are_in_the_table():
     assert table["Web Attack – XSS"] == table["Web Attack � XSS"] == table["Web Attack ï¿½ XSS"] == "WebAttack"
     assert fv.LABEL_CLASSES.items() <= table.items()
     assert "FTP–Patator" not in cl._spellings({"A - B": "x", "A-B": "y"}) and cl._spellings({"A - B": "x"}) == {"A - B": "x"}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_repair_builds_no_texts_to_judge_a_number(spark):
+    texts = ["1", " 2.5 ", "1d", "1F", "1D", "2f", "0x1p3", "0X1P3", "NaN", "-NaN", "nan", "null", "", " ", "inf", "Infinity", "-Inf", "1e3", "+7", "abc", "-0", None]
+    df = rows(spark, [(t, "BENIGN") for t in texts], ["flow_iat_mean"])
+    got = [r[0] for r in cl.coerce_numeric(df, ["flow_iat_mean"]).orderBy("_source_row").select("flow_iat_mean").collect()]
+    inf = float("inf")
+    assert got == [1.0, 2.5, *[None] * 12, inf, inf, -inf, 1000.0, 7.0, None, 0.0, None]
+    c = cl.repair_counts(cl.normalize_labels(df)).first()
+    assert (c.numeric_parse_failures, c.infinite_values_replaced) == (7, 3)
+    plan = _plan(cl.repair(cl.normalize_labels(df)))
+    assert "lower(" not in plan and "INSET" not in plan
+    assert plan.count("regexp_replace") <= len(fv.LABEL_CLEANUP)
+
+
+def test_origins_are_found_by_one_number(spark):
+    data = [("1", "BENIGN"), ("2", "Bot"), ("3", "BENIGN")]
+    df = cl.repair(cl.normalize_labels(rows(spark, data, ["a"]))).withColumn("_source_file", F.when(F.col("a") < 3, F.col("_source_file")))
+    placed, origins = cl._with_place(df, ("_source_file", "_source_row"))
+    assert placed.count() == 3 and origins.count() == 3
+    assert "isnull(_source_file" not in _plan(placed) and "<=>" not in _plan(placed)
+    kept = cl.clean_rows(cl.row_groups(df)).orderBy("a").select("_source_file", "_source_row", "Label").collect()
+    assert [tuple(r) for r in kept] == [("monday-x.csv", 0, "BENIGN"), ("monday-x.csv", 1, "Bot"), (None, 2, "BENIGN")]
