@@ -301,3 +301,13 @@ def test_origins_are_found_by_one_number(spark):
     assert "isnull(_source_file" not in _plan(placed) and "<=>" not in _plan(placed)
     kept = cl.clean_rows(cl.row_groups(df)).orderBy("a").select("_source_file", "_source_row", "Label").collect()
     assert [tuple(r) for r in kept] == [("monday-x.csv", 0, "BENIGN"), ("monday-x.csv", 1, "Bot"), (None, 2, "BENIGN")]
+
+
+def test_narrowed_brackets_read_few_rows(spark, monkeypatch):
+    df = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(10**9)) / 7).alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 50).cast("double").alias("y"))
+    want = [np.quantile(v[~np.isnan(v)], [0.01, 0.5, 0.99]) for v in (df.toPandas()[c].to_numpy() for c in ("x", "y"))]
+    seen, plain = [], pr._one_row
+    monkeypatch.setattr(pr, "_one_row", lambda d, exprs: (seen.append((len(exprs), d.count())), plain(d, exprs))[1])
+    got = pr.exact_quantiles(df, ["x", "y"], [0.01, 0.5, 0.99], accuracy=100, few=50)
+    assert np.allclose(got["x"], want[0]) and np.allclose(got["y"], want[1])
+    assert seen[0][1] == seen[1][1] == 20_000 and all(n in (20_000,) or n < 3_000 for _, n in seen) and seen[-1][1] < 3_000
