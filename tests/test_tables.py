@@ -14,6 +14,7 @@ from flowloom.operators import models as md
 from flowloom.operators import mutual_info as mi
 from flowloom.operators import prep as pr
 from flowloom.operators.running import running_total, smallest_by_hash, taken_by_hash
+from flowloom.plans import views
 
 
 def test_labels(spark):
@@ -311,3 +312,69 @@ def test_narrowed_brackets_read_few_rows(spark, monkeypatch):
     got = pr.exact_quantiles(df, ["x", "y"], [0.01, 0.5, 0.99], accuracy=100, few=50)
     assert np.allclose(got["x"], want[0]) and np.allclose(got["y"], want[1])
     assert seen[0][1] == seen[1][1] == 20_000 and all(n in (20_000,) or n < 3_000 for _, n in seen) and seen[-1][1] < 3_000
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_texts_are_parsed_in_one_projection(spark):
+    df = spark.range(4).selectExpr("cast(id as string) as flow_duration", "cast(-id as string) as total_fwd_packets", "'BENIGN' as Label")
+    # numbers and repairs: no projection between them carries the trimmed texts
+    assert _plan(cl.repair(df)).count("Project [") <= 3  # the first one makes the texts
+    rows = spark.createDataFrame([(" 12 ", "1.5"), ("0x1", "1d"), ("abc", "+Infinity"), ("", "-0"), (None, "1e3"), ("NaN", " 7")], "a string, b string")
+    got = [tuple(r) for r in cl.coerce_numeric(rows, ["a", "b"]).collect()]
+    assert got == [(12.0, 1.5), (None, None), (None, float("inf")), (None, -0.0), (None, 1000.0), (None, 7.0)]
+
+
+def test_groups_of_many_columns_tell_nulls_apart(spark):
+    n = 70
+    rows = [tuple(None if j == i else 1.0 for j in range(n)) + ("BENIGN", "a.csv", "a", i) for i in range(n)]
+    schema = ", ".join(f"c{j} double" for j in range(n)) + ", Label string, _source_file string, _capture_day string, _source_row long"
+    df = spark.createDataFrame(rows + rows[:5], schema)
+    groups = cl.row_groups(df).select("copies").collect()
+    assert sorted(r[0] for r in groups) == [1] * 65 + [2] * 5
+
+
+def test_split_is_a_comparison_without_a_join(spark):
+    df = spark.range(3000).selectExpr("id", "if(id % 3 = 0, 'a', 'b') as Label").union(spark.createDataFrame([(3000, None)], "id long, Label string"))
+    out = pr.stratified_split(df.filter("Label is not null"), ["id"], settled=True)
+    assert "Join" not in _plan(out)
+    h = F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string")))
+    want = df.filter("Label is not null").withColumn("h", h).selectExpr(
+        "id", "row_number() over (partition by Label order by h) <= floor(count(*) over (partition by Label) * 0.8 + 0.5) as train")
+    got = {r["id"]: r["part"] == "train" for r in out.collect()}
+    assert got == {r["id"]: r["train"] for r in want.collect()}
+    quota = spark.createDataFrame([("a", 10), ("b", 0)], "Label string, quota long")
+    picked = smallest_by_hash(df, "Label", h, quota).filter("_picked").groupBy("Label").count().collect()
+    assert [tuple(r) for r in picked] == [("a", 10)]
+
+
+def test_quantiles_bring_only_wanted_values_to_the_driver(spark, monkeypatch):
+    seen, one_row = [], pr._one_row
+    monkeypatch.setattr(pr, "_one_row", lambda df, exprs: seen.append(one_row(df, exprs)) or seen[-1])
+    df = spark.range(2000).selectExpr("cast(id as double) as a", "if(id < 1500, double('NaN'), id) as b", "cast(null as double) as c")
+    got = pr.exact_quantiles(df, ["a", "b", "c"], [0.1, 0.5], accuracy=20, few=300)
+    assert got["a"] == [199.9, 999.5] and got["b"][0] == 1699.9 and got["b"][1] != got["b"][1] and got["c"] == [None, None]
+    assert all(not isinstance(v, list) or len(v) <= 12 for found in seen for v in found.values())
+
+
+def test_neighbour_points_are_gathered_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(mi, "cut", lambda df, real=mi.cut: calls.append(df.columns) or real(df))
+    df = spark.range(300).selectExpr("cast(id % 7 as double) as x", "cast(id as double) as y", "if(id < 150, 'a', 'b') as Label")
+    scores = {r["feature"]: r["score"] for r in mi.mutual_information(df, ["x", "y"], "Label", method="knn").collect()}
+    assert calls == [["feature", "label", "value", "n"]] and scores["y"] > 0.6 and scores["x"] < 0.05
+
+
+def test_labelled_view_repeats_rows_before_they_are_texts(spark, new_dir):
+    rows = [(k, 10 + k, 1, 5.0, 100.25 * k, "N" if k % 2 else "A", "O") for k in (1, 50, 77, 3850, 113, 101)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(
+        f"{new_dir}/lineitem.parquet")
+    out = views.labelled_v(spark, new_dir)
+    generate = next(line for line in _plan(out).splitlines() if "Generate" in line)
+    assert "destination_port" not in generate and "source_row" not in generate
+    got = sorted((r["source_row"], r["label_raw"]) for r in out.collect())
+    big = 1_000_000_000
+    assert got == sorted([(1001, "DoS Hulk"), (50001, " BENIGN "), (50001 + big, " BENIGN "), (77001, "DoS Hulk"), (77001 + 2 * big, "Bot"),
+                          (3850001, " BENIGN "), (3850001 + big, " BENIGN "), (3850001 + 2 * big, "Bot"), (113001, ""), (101001, "DoS Hulk")])
