@@ -44,6 +44,8 @@ AUDIT_QUERIES = 512
 AUDIT_RECALL = 0.98
 MAX_ROUNDS = 3
 ROWS = 20_000
+#: Hot centres that are broadcast; more are joined like any other table.
+FEW_HOT = 10_000
 
 
 def _matrix(column) -> np.ndarray:
@@ -104,6 +106,11 @@ def _whole_runs(batches, n_keys: int, longest: int):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def _merged(one: DataFrame) -> DataFrame:
+    """*one*, a row a node, told to be merged: a broadcast of it would grow with the table on the driver."""
+    return one.hint("merge")
+
+
 def _can_link() -> Column:
     value = F.col("embedding")
     return F.coalesce(
@@ -208,9 +215,11 @@ def _introduce(lists: DataFrame, nodes: DataFrame) -> DataFrame:
                     .distinct().unionByName(nodes.select(F.col("node").alias("centre"), "node")), "around")
     # a centre that many list is hot: its members are dealt as block pairs, any other's go to one task
     hot = around.groupBy("centre").count().where(F.col("count") > BLOCK).select("centre", F.ceil(F.col("count") / BLOCK).cast("int").alias("columns"))
-    pairs = _block_pairs(salted_join(around, hot, ["centre"], ["node"], "left").withColumn("columns", F.coalesce("columns", F.lit(1))))
-    known = nodes.select("node", "vec").join(worst, "node", "left").select("node", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec")
-    full = salted_join(pairs, known, ["node"], ["centre"]).select("centre", "a", "b", "own", "node", "worst", "vec")
+    hot = stored(hot, "hot")
+    dealt = around.join(F.broadcast(hot), "centre", "left") if hot.count() <= FEW_HOT else salted_join(around, hot, ["centre"], ["node"], "left", wide=True)
+    pairs = _block_pairs(dealt.withColumn("columns", F.coalesce("columns", F.lit(1))))
+    known = nodes.select("node", "vec").join(_merged(worst), "node", "left").select("node", F.coalesce("worst", F.lit(-2.0)).alias("worst"), "vec")
+    full = salted_join(pairs, known, ["node"], ["centre"], wide=True).select("centre", "a", "b", "own", "node", "worst", "vec")
 
     def meet(batches):
         for t in _whole_runs(batches, 3, 1 << 60):  # a block pair has about 2 * BLOCK rows
@@ -233,8 +242,8 @@ def _introduce(lists: DataFrame, nodes: DataFrame) -> DataFrame:
                     ss.append(s[better])
             yield _edges(us, vs, ss)
 
-    dealt = full.repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b", "own", "node")
-    return dealt.mapInArrow(meet, "u long, v long, s double")
+    met = full.repartition("centre", "a", "b").sortWithinPartitions("centre", "a", "b", "own", "node")
+    return met.mapInArrow(meet, "u long, v long, s double")
 
 
 def neighbour_lists(nodes: DataFrame, orderings: range, lists: DataFrame | None = None) -> DataFrame:
@@ -257,9 +266,9 @@ def _enlarged(nodes: DataFrame, roots: DataFrame, saturated: DataFrame, threshol
 
     v is null in the sums of a saturated node u; rows with v are the single links to nodes u that are not saturated.
     """
-    member = roots.join(saturated.select(F.col("u").alias("node"), F.lit(True).alias("full")), "node", "left")
+    member = roots.join(_merged(saturated.select(F.col("u").alias("node"), F.lit(True).alias("full"))), "node", "left")
     sizes = member.groupBy("root").agg(F.count("*").alias("n"), F.count("full").alias("m")).where("m > 0")
-    member = salted_join(member, sizes, ["root"], ["node"]).withColumn("full", F.coalesce("full", F.lit(False)))
+    member = salted_join(member, sizes, ["root"], ["node"], wide=True).withColumn("full", F.coalesce("full", F.lit(False)))
     member = member.join(nodes, "node").select(
         "root", "node", "full", "rows", "vec", F.ceil(F.col("n") / BLOCK).cast("int").alias("columns"), F.ceil(F.col("m") / BLOCK).cast("int").alias("across"))
     h = F.xxhash64("node")
@@ -299,13 +308,13 @@ def _enlarged(nodes: DataFrame, roots: DataFrame, saturated: DataFrame, threshol
 def _counts(nodes: DataFrame, lists: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(node, n_nodes, n_rows) of every node with links, and (node, root)."""
     links = stored(lists.where(F.col("s") >= threshold).select("u", "v"), "links")
-    roots = stored(components(links), "roots")
+    roots = stored(components(links, wide=True), "roots")
     saturated = stored(links.groupBy("u").count().where(F.col("count") >= LIST).select("u"), "saturated")
     more = stored(_enlarged(nodes, roots, saturated, threshold), "more")
     weight = nodes.select(F.col("node").alias("v"), "rows")
-    single = (links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(saturated, "u", "left_anti")
+    single = (links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(_merged(saturated), "u", "left_anti")
               .unionByName(more.where("v is not null").select("u", "v")).distinct())
-    single = salted_join(single, weight, ["v"], ["u"]).groupBy("u").agg(F.count("*").alias("n_nodes"), F.sum("rows").alias("n_rows"))
+    single = salted_join(single, weight, ["v"], ["u"], wide=True).groupBy("u").agg(F.count("*").alias("n_nodes"), F.sum("rows").alias("n_rows"))
     summed = more.where("v is null").groupBy("u").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_rows").alias("n_rows"))
     return single.unionByName(summed).withColumnRenamed("u", "node"), roots
 
@@ -317,7 +326,7 @@ def audit(nodes: DataFrame, counts: DataFrame, threshold: float, queries: int =
     neither a large cluster nor the vectors without a link hide what is missed in small groups.
     """
     size = F.floor(F.log2(F.coalesce("n_nodes", F.lit(0)) + 1)).cast("int")
-    sized = stored(nodes.select("node").join(counts.select("node", "n_nodes"), "node", "left").select("node", F.coalesce("n_nodes", F.lit(0)).alias("found"), size.alias("size")), "sized")
+    sized = stored(nodes.select("node").join(_merged(counts.select("node", "n_nodes")), "node", "left").select("node", F.coalesce("n_nodes", F.lit(0)).alias("found"), size.alias("size")), "sized")
     order = F.xxhash64("node", F.lit(3))
     picked = sized.groupBy("size", F.pmod(order, F.lit(queries)).alias("slot")).agg(F.min_by(F.struct("node", "found"), order).alias("q"), F.count("*").alias("n"))
     picked = stored(picked.select("size", "q.node", "q.found", "n"), "picked")
@@ -386,7 +395,7 @@ def _exact(nodes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     out = stored(dealt.mapInArrow(meet, "u long, v long, n_nodes long, n_rows long"), "exact")
     summed = F.col("v") == F.lit(-(1 << 63))
     counts = out.where(summed).groupBy("u").agg(F.sum("n_nodes").alias("n_nodes"), F.sum("n_rows").alias("n_rows")).withColumnRenamed("u", "node")
-    return counts, stored(components(out.where(~summed).select("u", "v")), "roots")
+    return counts, stored(components(out.where(~summed).select("u", "v"), wide=True), "roots")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -402,13 +411,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     else:
         counts, roots = _exact(nodes, threshold)
         counts = stored(counts, "counts")
-    joined = nodes.select("node", "least", "rows").join(roots, "node", "left").join(counts, "node", "left").select(
+    joined = nodes.select("node", "least", "rows").join(_merged(roots), "node", "left").join(_merged(counts), "node", "left").select(
         "node", "least", F.coalesce("root", "node").alias("root"), (F.coalesce("n_rows", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     joined = stored(joined, "joined")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = stored(salted_join(joined, least, ["root"], ["node"]).select("node", "n_links", "component_id"), "named")
+    named = stored(salted_join(joined, least, ["root"], ["node"], wide=True).select("node", "n_links", "component_id"), "named")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.when(_can_link(), F.xxhash64("label", "embedding")).alias("node"))
-    found = salted_join(rows, named.withColumn("linked", F.lit(True)), ["node"], ["vec_id"], "left")
+    found = salted_join(rows, named.withColumn("linked", F.lit(True)), ["node"], ["vec_id"], "left", wide=True)
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("vec_id"))
     return found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                         F.col("vec_id").eqNullSafe(component).alias("kept"))

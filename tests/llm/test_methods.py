@@ -286,6 +286,40 @@ def test_components(spark):
     assert got == {**{i: 1 for i in (1, 2, 3)}, 4: 4, 5: 4, **{i: 7 for i in range(7, 12)}, **{100 + i: 100 for i in range(50)}}
 
 
+def test_op8_repeats_no_table_on_the_driver(spark, monkeypatch):
+    """Rows repeated for every salt are merged; a broadcast of them grew with the vectors in the driver's heap."""
+    rng = np.random.default_rng(3)
+    x = np.repeat(rng.normal(size=(40, 8)), 4, axis=0) + rng.normal(0, 0.05, (160, 8))
+    vectors = spark.createDataFrame([(i, [float(v) for v in r], i % 2) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    plans = []
+
+    def noted(df, name, keep=common.stored):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(common, "stored", noted)
+    monkeypatch.setattr(nndescent, "stored", noted)
+    got = nndescent.near_duplicates(vectors)
+    plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    salted = [line for p in plans for line in p.splitlines() if "Join " in line and "__salt" in line]
+    assert len(salted) > 5 and all("strategy=merge" in line for line in salted)
+    unit = nndescent._unit(np.float32(x).astype(float))
+    near = (unit @ unit.T >= nndescent.THRESHOLD) & (np.arange(160)[:, None] % 2 == np.arange(160) % 2) & ~np.eye(160, dtype=bool)
+    assert {r.vec_id: r.n_links for r in got.collect()} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
+def test_many_hot_centres_are_joined_like_a_table(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(rng.normal(size=(700, 4)))], "vec_id long, embedding array<float>, label int")
+    nodes = common.stored(nndescent.nodes_of(vectors), "nodes")
+    names = [r.node for r in nodes.select("node").orderBy("node").collect()]
+    lists = spark.createDataFrame([(n, names[0], 0.1) for n in names[1:]], "u long, v long, s double")  # all list one
+    found = lambda: sorted((r.u, r.v) for r in nndescent._introduce(lists, nodes).distinct().collect())
+    few = found()
+    monkeypatch.setattr(nndescent, "FEW_HOT", 0)
+    assert few and found() == few
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op7_warc", "op8_nn_descent"])
 def test_query_equals_sql(spark, name):
     import duckdb
