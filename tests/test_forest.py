@@ -66,3 +66,31 @@ def test_it_learns_and_takes_missing_values(spark, monkeypatch):
     assert md.predict(gone, md.fit_random_forest(gone, 3, trees=3, depth=4)).count() == 1500
     with pytest.raises(ValueError):
         md.fit_random_forest(df.limit(0), 3)
+
+
+def test_queries_fit_on_the_whole_train_part(spark, monkeypatch):
+    """Every learner's query hands its fit all rows of the train part, however many."""
+    n = tq.FIT_ROWS + 500
+    df = spark.range(n).select((F.col("id") % 3).cast("int").alias("y"), F.array(F.col("id").cast("double")).alias("vector"), *[F.col("id").cast("double").alias(c) for c in tq.FEATURES])
+    seen = {}
+
+    class Chain:
+        classes = ["a", "b", "c"]
+
+    class Even:
+        def transform(self, d):
+            return d.withColumn("probability", F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)))
+
+    def fit(name):
+        def run(train, k, *more):
+            seen.setdefault(name, []).append(train.count())
+            return Even()
+        return run
+
+    monkeypatch.setattr(tq, "model_rows", lambda spark, sf_dir: (df, df.limit(30), Chain))
+    for name in ("fit_random_forest", "fit_boosted_trees", "fit_mlp", "fit_linear_svm"):
+        monkeypatch.setattr(md, name, fit(name))
+        getattr(tq, name)(spark, "")
+        assert seen.pop(name) == [n]
+    tq.unseen_class_eval(spark, "")
+    assert seen["fit_random_forest"] == [n - n // 3 - (n % 3 > 1), n - n // 3]
