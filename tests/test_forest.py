@@ -94,3 +94,14 @@ def test_queries_fit_on_the_whole_train_part(spark, monkeypatch):
         assert seen.pop(name) == [n]
     tq.unseen_class_eval(spark, "")
     assert seen["fit_random_forest"] == [n - n // 3 - (n % 3 > 1), n - n // 3]
+
+
+def test_perceptron_parts_stay_bounded(spark, monkeypatch):
+    from flowloom.operators import trained
+
+    monkeypatch.setattr(trained, "PART_ROWS", 100)
+    df, _, _ = rows(spark, 1500)
+    sizes = []
+    monkeypatch.setattr(trained, "cut", lambda d, keep=trained.cut: sizes.append(d.rdd.getNumPartitions()) or keep(d))
+    trained.fit_perceptron(df.select("vector", "y"), 3, (4,), 1, 1)
+    assert sizes[-1] == 15
